@@ -62,3 +62,16 @@ register("reference_key_check")(lambda c: quality.reference_key_check(c.groups))
 
 # ---------------------------------------------------------------- export
 register("export_contract_sample")(lambda c: export.contract_sample(c.stg_titulaires))
+register("resolve_names")(
+    lambda c: enrich.resolve_names(explore.top_unmapped_companies(c.raw, c.groups), c.names))
+
+
+# --------------------------------------------------------------- freshness
+def _last_update(spark, sf_dir):
+    from tenderlake.sources.contracts import last_update
+    return last_update(spark, f"{sf_dir}/orders.parquet")
+
+
+from tenderlake.plans.registry import QUERIES as _Q  # noqa: E402
+
+_Q["last_update"] = _last_update
