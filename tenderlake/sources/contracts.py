@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tenderlake.sources.schemas import (CONTRACT, GROUPS_SEED, NAME_LOOKUP, POPULATION_SEED,
                                         REGISTER_DOCUMENT, RESOLVED_COMPANY)
 
+# Freshness answer when no file exists, and the source label.
 UNKNOWN_DATE = "inconnue"
 SOURCE_LABEL = "DECP data.gouv.fr"
 

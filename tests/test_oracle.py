@@ -46,3 +46,23 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.columns == ["groupe", "annee", "nb_marches", "total_M_eur", "part_marche_pct"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["stg_titulaires", "ranking_by_group_year", "identify_companies",
+                                  "top_unmapped_companies", "departments_per_capita"])
+def test_sort_merge_fallback_gives_same_rows(spark, con, name):
+    """With broadcast disabled (the path for references too big to broadcast),
+    the joins are sort-merge and the rows are unchanged."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = e.queries()[name](spark, SF)
+        p = df._jdf.queryExecution().executedPlan().toString()
+        srows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    if name != "identify_companies":
+        assert "BroadcastHashJoin" not in p
+    cur = con.execute(e.oracle_sql()[name])
+    dcols = [d[0] for d in cur.description]
+    assert rows_of(df.columns, srows) == rows_of(dcols, cur.fetchall())
