@@ -27,9 +27,16 @@ class Catalog:
 
     @classmethod
     def from_driver_tables(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
-        t = bridge.load_tables(spark, sf_dir)
-        return cls(bridge.raw_contracts(t), bridge.groups_reference(t),
-                   bridge.population_reference(t), bridge.name_lookup(t))
+        """Catalog over the driver tables of ``sf_dir``.
+
+        Plans are only declared here (nothing is read or cached); the handles
+        are kept per session and folder, so repeated queries skip rebuilding
+        the same unexecuted plan.
+        """
+        memo = spark.__dict__.setdefault("_tenderlake_catalogs", {})
+        if sf_dir not in memo:
+            memo[sf_dir] = _DriverCatalog(bridge.TableSet(spark, sf_dir))
+        return memo[sf_dir]
 
     @cached_property
     def staged(self) -> DataFrame:
@@ -71,3 +78,26 @@ class Catalog:
     MARTS = ("ranking_by_group_year", "buyer_activity", "concentration_by_cpv",
              "spending_by_department", "procedures_by_buyer", "anomalies",
              "recurring_pairs", "overruns")
+
+
+class _DriverCatalog(Catalog):
+    """Catalog whose inputs are derived from the driver tables on first use."""
+
+    def __init__(self, tables):
+        self._t = tables
+
+    @cached_property
+    def raw(self):
+        return bridge.raw_contracts(self._t)
+
+    @cached_property
+    def groups(self):
+        return bridge.groups_reference(self._t)
+
+    @cached_property
+    def population(self):
+        return bridge.population_reference(self._t)
+
+    @cached_property
+    def names(self):
+        return bridge.name_lookup(self._t)

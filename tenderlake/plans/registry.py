@@ -18,7 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 def register(name: str):
     def deco(fn: Callable[[Catalog], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Catalog.from_driver_tables(spark, sf_dir))
+            # a new DataFrame each call: it is planned afresh (current
+            # settings, no reuse of an earlier run's physical plan)
+            return fn(Catalog.from_driver_tables(spark, sf_dir)).select("*")
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

@@ -41,6 +41,20 @@ def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, Dat
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
+class TableSet(dict):
+    """Driver tables of one folder, each read (lazily) on first access."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark = spark
+        self.sf_dir = sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        self[name] = df
+        return df
+
+
 def _pad14(c):
     return F.lpad(c.cast("string"), 14, "0")
 
@@ -66,8 +80,12 @@ def order_lines(lineitem: DataFrame) -> DataFrame:
 
 def raw_contracts(t: dict[str, DataFrame]) -> DataFrame:
     """The contract register, one row per contract, nested like the source."""
-    orders = t["orders"].select("o_orderkey", "o_custkey", "o_totalprice",
-                                "o_orderdate", "o_orderpriority")
+    # Hash-partition orders on the order key: the per-order line aggregate is
+    # partitioned the same way, so their join needs no further exchange, and
+    # the per-row work after it runs in parallel whatever the file layout.
+    orders = (t["orders"].select("o_orderkey", "o_custkey", "o_totalprice",
+                                 "o_orderdate", "o_orderpriority")
+              .repartition("o_orderkey"))
     customer = t["customer"].select("c_custkey", "c_nationkey", "c_mktsegment")
     part = t["part"].select("p_partkey", "p_name", "p_type", "p_size")
 
