@@ -29,25 +29,35 @@ def contract_sample(stg_titulaires: DataFrame, limit: int = SAMPLE_MAX) -> DataF
 
 # S6
 def export_tables(spark: SparkSession, tables: dict[str, DataFrame], out_dir: str,
-                  fail_fast: bool = True) -> dict[str, object]:
+                  fail_fast: bool = True, parallel_jobs: int = 4) -> dict[str, object]:
     """Write each table to ``out_dir/<name>`` and report its row count.
 
     Counts come from ``DataFrame.observe`` during the write (no second pass).
     A failing table is reported; with ``fail_fast`` the job then fails.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.sql import Observation
 
-    report: dict[str, object] = {}
-    errors = {}
-    for name, df in tables.items():
+    def write_one(name: str, df: DataFrame):
         obs = Observation(name)
         try:
             (df.observe(obs, F.count(F.lit(1)).alias("rows"))
                .write.mode("overwrite").parquet(f"{out_dir}/{name}"))
-            report[name] = obs.get["rows"]
+            return name, obs.get["rows"], None
         except Exception as ex:  # noqa: BLE001 - reported per table
-            errors[name] = f"{type(ex).__name__}: {ex}"
-            report[name] = errors[name]
+            return name, None, f"{type(ex).__name__}: {ex}"
+
+    # The tables are independent jobs, most of them small: submitting a few at
+    # once keeps the executors busy instead of running them one after another.
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel_jobs, len(tables)))) as pool:
+        results = list(pool.map(lambda kv: write_one(*kv), tables.items()))
+    report: dict[str, object] = {}
+    errors = {}
+    for name, rows, err in results:
+        report[name] = rows if err is None else err
+        if err is not None:
+            errors[name] = err
     if errors and fail_fast:
         raise RuntimeError(f"export failed for {sorted(errors)}")
     return report

@@ -22,12 +22,21 @@ from tenderlake.sources import bridge, contracts
 
 def stage(catalog: Catalog, out_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Write staged tables partitioned by year text and read them back."""
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = catalog.raw.sparkSession
     paths = {}
-    for name, df in (("stg_marches_full", catalog.staged), ("stg_titulaires", catalog.stg_titulaires)):
+
+    def write(item):
+        name, df = item
         path = f"{out_dir}/{name}"
         df.write.mode("overwrite").partitionBy("annee").parquet(path)
-        paths[name] = (path, df.schema)
+        return name, path, df.schema
+
+    staged = (("stg_marches_full", catalog.staged), ("stg_titulaires", catalog.stg_titulaires))
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        for name, path, schema in pool.map(write, staged):
+            paths[name] = (path, schema)
     # Read with the written schema: the year stays text (no partition type inference).
     full = spark.read.schema(paths["stg_marches_full"][1]).parquet(paths["stg_marches_full"][0])
     titulaires = spark.read.schema(paths["stg_titulaires"][1]).parquet(paths["stg_titulaires"][0])
