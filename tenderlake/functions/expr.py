@@ -54,6 +54,9 @@ def safe_divide(num: Column, den: Column) -> Column:
     return F.try_divide(num, den)
 
 
+FULL_DATE_PATTERN = r"^\s*\d{4,}[-/]\d{1,2}[-/]\d{1,2}"
+
+
 def year_text(date_text: Column | str) -> Column:
     """Year of a notification date kept as text, e.g. '2019'.
 
@@ -65,7 +68,9 @@ def year_text(date_text: Column | str) -> Column:
         d.try_cast("date"),
         F.regexp_replace(d, "/", "-").try_cast("date"),
     )
-    return F.year(parsed).cast("string")
+    # a full year-month-day is required: a bare '2019' or '2019-05' is not a date
+    full_date = d.rlike(FULL_DATE_PATTERN)
+    return F.when(full_date, F.year(parsed).cast("string"))
 
 
 def in_year_window(annee: Column | str) -> Column:

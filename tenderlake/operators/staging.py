@@ -98,8 +98,14 @@ def stg_titulaires(marches: DataFrame, groups: DataFrame) -> DataFrame:
     otherwise (AQE splits a hot holder id on the contract side).
     """
     g = clean_groups(groups).withColumnRenamed("siret", "g_siret")
-    m = marches.filter(~F.col("flag_montant_aberrant"))
-    return (m.join(g, m.titulaire_siret_1 == g.g_siret, "left")
+    # Contracts without a holder can all share the NULL key; they never match,
+    # so they get a deterministic key that cannot match (leading NUL) and is
+    # spread by hash instead of landing in one sort-merge partition.
+    spread = F.concat(F.lit("\u0000"), F.xxhash64("marche_id", "acheteur_siret", "date_notification",
+                                                   "montant_eur", "objet").cast("string"))
+    m = (marches.filter(~F.col("flag_montant_aberrant"))
+         .withColumn("_join_key", F.coalesce(F.col("titulaire_siret_1"), spread)))
+    return (m.join(g, m._join_key == g.g_siret, "left")
             .select(
                 F.col("marche_id"),
                 F.col("titulaire_siret_1").alias("siret"),

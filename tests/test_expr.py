@@ -60,3 +60,16 @@ def test_map_group_first_match_and_trailing_blank(spark):
                    "CAPGEMINI"]
     enr = [r.g for r in df.select(map_group("nom", KEYWORDS_ENRICHMENT).alias("g")).collect()]
     assert enr[5] == "OPEN" and enr[3] == "INDEPENDANT"
+
+
+def test_year_text_agrees_with_duckdb_on_odd_texts(spark):
+    texts = ["2019-05-01Z", "20220-05-01", "2019/05/01", "2019-5-1", "2019-05-01T10:00:00",
+             "2019-05-01 10:00", "2019", "2019-05", "0202-05-01", "2019-05-01+02:00", " 2019-05-01",
+             "", "2019-13-01", "2020-02-29", "2019-02-29"]
+    got = [r.y for r in spark.createDataFrame([(t,) for t in texts], "d string")
+           .select(year_text("d").alias("y")).collect()]
+    con = duckdb.connect()
+    want = [con.execute("SELECT CAST(EXTRACT(YEAR FROM COALESCE(TRY_CAST(? AS DATE), "
+                        "TRY_CAST(replace(?, '/', '-') AS DATE))) AS VARCHAR)", [t, t]).fetchone()[0]
+            for t in texts]
+    assert got == want
