@@ -14,6 +14,7 @@ from tenderlake.operators import explore
 
 UNKNOWN_NAME = "INCONNU"
 AUTO_SOURCE = "api_auto"
+MAX_BROADCAST_ROWS = 100000
 
 
 def _unique_names(names: DataFrame) -> DataFrame:
@@ -33,11 +34,14 @@ def resolve_names(ids: DataFrame, names: DataFrame) -> DataFrame:
 def identify_companies(raw: DataFrame, names: DataFrame, limit: int = 100) -> DataFrame:
     """Top IT holders with their names.
 
-    The top list has at most ``limit`` (<= 100) rows, a proven bound, so it
-    is the broadcast side and the name table is only streamed.
+    The top list has at most ``limit`` rows (100 by default), a bound fixed
+    before the job runs, so it is the broadcast side and the name table is
+    only streamed; above ``MAX_BROADCAST_ROWS`` the join is not hinted.
     """
     top = explore.companies_to_identify(raw, limit)
-    joined = _unique_names(names).join(F.broadcast(top), "siret", "right")
+    # broadcast only under a fixed row bound; beyond it a plain join
+    small = F.broadcast(top) if limit <= MAX_BROADCAST_ROWS else top
+    joined = _unique_names(names).join(small, "siret", "right")
     return (joined.groupBy("siret", "nb", "total_M")
             .agg(F.coalesce(F.min("nom"), F.lit(UNKNOWN_NAME)).alias("nom"))
             .select("siret", "nom", F.col("nb").alias("nb_marches"), "total_M"))

@@ -7,6 +7,7 @@ read back, so the marts do not recompute the landing and join steps.
 
 from __future__ import annotations
 
+import weakref
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,10 @@ from tenderlake.operators import marts, staging
 from tenderlake.sources import bridge
 
 
+# Declared (unexecuted) plans per live session and input folder.
+_DECLARED: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
 class Catalog:
     """Tables of one run. ``raw`` and ``groups`` are the inputs."""
 
@@ -33,7 +38,7 @@ class Catalog:
         are kept per session and folder, so repeated queries skip rebuilding
         the same unexecuted plan.
         """
-        memo = spark.__dict__.setdefault("_tenderlake_catalogs", {})
+        memo = _DECLARED.setdefault(spark, {})
         if sf_dir not in memo:
             memo[sf_dir] = _DriverCatalog(bridge.TableSet(spark, sf_dir))
         return memo[sf_dir]

@@ -44,6 +44,7 @@ register("group_distribution")(
     lambda c: explore.group_distribution(enrich.identify_companies(c.raw, c.names)))
 register("mapping_coverage")(lambda c: explore.mapping_coverage(c.stg_titulaires))
 register("group_family_mix")(lambda c: explore.group_family_mix(c.stg_titulaires))
+register("group_family_mix_group_1")(lambda c: explore.group_family_mix(c.stg_titulaires, "GROUP_1"))
 
 # ------------------------------------------------------------ enrichment
 register("identify_companies")(lambda c: enrich.identify_companies(c.raw, c.names))

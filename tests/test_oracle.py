@@ -57,7 +57,8 @@ def test_sort_merge_fallback_gives_same_rows(spark, con, name):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = e.queries()[name](spark, SF)
-        p = df._jdf.queryExecution().executedPlan().toString()
+        from test_plans import plan
+        p = plan(df)
         srows = [tuple(r) for r in df.collect()]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
