@@ -90,14 +90,18 @@ def it_category(famille: F.Column) -> F.Column:
     return out.otherwise(F.lit(IT_CATEGORY_DEFAULT))
 
 
-def stg_titulaires(marches: DataFrame, groups: DataFrame) -> DataFrame:
+def stg_titulaires(marches: DataFrame, groups: DataFrame, groups_are_clean: bool = False) -> DataFrame:
     """Contracts with the group of their first holder ('NON MAPPE' if unknown).
 
     The reference is small in practice, but it is not hinted: Spark
     broadcasts it when its size is under the threshold and sort-merges
-    otherwise (AQE splits a hot holder id on the contract side).
+    otherwise. On the sort-merge path AQE splits a hot holder's partition on
+    the contract side; that needs both join inputs to be plain shuffles, so
+    the scheduled job cleans the reference once, writes it, and passes it
+    here with ``groups_are_clean=True`` (no aggregate in front of the join).
     """
-    g = clean_groups(groups).withColumnRenamed("siret", "g_siret")
+    g = (groups if groups_are_clean else clean_groups(groups)).withColumnRenamed("siret", "g_siret")
+    g = g.select("g_siret", "nom_entreprise", "groupe")
     # Contracts without a holder can all share the NULL key; they never match,
     # so they get a deterministic key that cannot match (leading NUL) and is
     # spread by hash instead of landing in one sort-merge partition.

@@ -24,11 +24,12 @@ class Catalog:
     """Tables of one run. ``raw`` and ``groups`` are the inputs."""
 
     def __init__(self, raw: DataFrame, groups: DataFrame, population: DataFrame | None = None,
-                 names: DataFrame | None = None):
+                 names: DataFrame | None = None, groups_are_clean: bool = False):
         self.raw = raw
         self.groups = groups
         self.population = population
         self.names = names
+        self.groups_are_clean = groups_are_clean
 
     @classmethod
     def from_driver_tables(cls, spark: SparkSession, sf_dir: str) -> "Catalog":
@@ -53,7 +54,8 @@ class Catalog:
 
     @cached_property
     def stg_titulaires(self) -> DataFrame:
-        return staging.stg_titulaires(self.stg_marches, self.groups)
+        return staging.stg_titulaires(self.stg_marches, self.groups,
+                                      getattr(self, "groups_are_clean", False))
 
     # marts
     def ranking_by_group_year(self):

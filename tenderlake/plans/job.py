@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tenderlake.operators import explore, quality
 from tenderlake.plans import export
 from tenderlake.plans.catalog import Catalog
+from tenderlake.operators.staging import clean_groups
 from tenderlake.sources import bridge, contracts
 
 
@@ -70,7 +71,12 @@ def build_tables(catalog: Catalog, staged_full: DataFrame, marches: DataFrame,
 def refresh(spark: SparkSession, raw: DataFrame, groups: DataFrame, out_dir: str,
             population: DataFrame | None = None) -> dict[str, object]:
     """Run the whole build from a raw register table; returns row counts."""
-    catalog = Catalog(raw, groups, population)
+    # The reference is cleaned (blank ids out, one row per id) and written
+    # once; the join then reads it as a plain table.
+    ref_path = f"{out_dir}/staging/ref_groupes"
+    clean_groups(groups).write.mode("overwrite").parquet(ref_path)
+    groups = spark.read.parquet(ref_path)
+    catalog = Catalog(raw, groups, population, groups_are_clean=True)
     full, marches, titulaires = stage(catalog, f"{out_dir}/staging")
     tables = build_tables(catalog, full, marches, titulaires)
     return export.export_tables(spark, tables, f"{out_dir}/serving")
