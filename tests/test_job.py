@@ -92,3 +92,18 @@ def test_refresh_from_register_file(spark, scratch):
     direct = job.refresh_from_driver_tables(spark, SF, f"{scratch}/direct")
     for k in ("mart_classement_groupes", "mart_depassements_reels", "mart_anomalies"):
         assert report[k] == direct[k]
+
+
+def test_staged_year_partitions_prune(spark, scratch):
+    import contextlib
+    import io
+
+    from tenderlake.operators import marts
+    from tenderlake.plans.catalog import Catalog
+    t = bridge.load_tables(spark, SF)
+    _, _, st = job.stage(Catalog(bridge.raw_contracts(t), bridge.groups_reference(t)), scratch)
+    assert dict(st.dtypes)["annee"] == "string"
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        marts.buyer_activity(st).explain()
+    assert "PartitionFilters: [isnotnull(annee" in buf.getvalue()
