@@ -100,3 +100,16 @@ def refresh_from_driver_tables(spark: SparkSession, sf_dir: str, out_dir: str) -
     bridge.raw_contracts(t).write.mode("overwrite").parquet(raw_path)
     raw = contracts.read_raw(spark, raw_path)
     return refresh(spark, raw, bridge.groups_reference(t), out_dir, bridge.population_reference(t))
+
+
+def refresh_from_snapshots(spark: SparkSession, drop_dir: str, groups_csv: str, out_dir: str,
+                           population_csv: str | None = None, multiline: bool = True,
+                           checkpoint: str | None = None) -> dict[str, object]:
+    """Land new register snapshots incrementally, then build from the newest."""
+    from tenderlake.streaming.landing import land_snapshots, latest_snapshot
+    raw_path = f"{out_dir}/raw_snapshots"
+    land_snapshots(spark, drop_dir, raw_path, multiline=multiline, checkpoint=checkpoint)
+    raw = latest_snapshot(spark, raw_path)
+    groups = contracts.read_groups_seed(spark, groups_csv)
+    pop = contracts.read_population_seed(spark, population_csv) if population_csv else None
+    return refresh(spark, raw, groups, out_dir, pop)

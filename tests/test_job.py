@@ -107,3 +107,36 @@ def test_staged_year_partitions_prune(spark, scratch):
     with contextlib.redirect_stdout(buf):
         marts.buyer_activity(st).explain()
     assert "PartitionFilters: [isnotnull(annee" in buf.getvalue()
+
+
+def test_export_reports_failing_table(spark, scratch):
+    import pytest
+    from tenderlake.plans import export
+    good = spark.range(5)
+    bad = spark.range(3).select(F.raise_error(F.lit("boom")).alias("x"))
+    report = export.export_tables(spark, {"good": good, "bad": bad}, scratch, fail_fast=False)
+    assert report["good"] == 5 and "boom" in str(report["bad"])
+    assert spark.read.parquet(f"{scratch}/good").count() == 5
+    with pytest.raises(RuntimeError, match="bad"):
+        export.export_tables(spark, {"good": good, "bad": bad}, scratch)
+
+
+def test_refresh_from_snapshots(spark, scratch):
+    t = bridge.load_tables(spark, SF)
+    drop = os.path.join(scratch, "drop")
+    os.makedirs(drop)
+    raw = bridge.raw_contracts(t)
+    # two monthly snapshots as NDJSON files; the newest is the whole register
+    raw.limit(10).toPandas().to_json(os.path.join(drop, "decp_2026-10.json"), orient="records", lines=True)
+    raw.write.mode("overwrite").json(os.path.join(scratch, "tmp_full"))
+    full = [f for f in os.listdir(os.path.join(scratch, "tmp_full")) if f.endswith(".json")]
+    with open(os.path.join(drop, "decp_2026-11.json"), "w") as out:
+        for f in sorted(full):
+            with open(os.path.join(scratch, "tmp_full", f)) as part:
+                out.write(part.read())
+    bridge.groups_reference(t).write.mode("overwrite").option("header", "true").csv(f"{scratch}/groups")
+    report = job.refresh_from_snapshots(spark, drop, f"{scratch}/groups", f"{scratch}/out", multiline=False,
+                                        checkpoint=os.path.join(scratch, "cp"))
+    direct = job.refresh_from_driver_tables(spark, SF, f"{scratch}/direct")
+    assert report["mart_anomalies"] == direct["mart_anomalies"]
+    assert report["mart_depassements_reels"] == direct["mart_depassements_reels"]
