@@ -113,3 +113,33 @@ def refresh_from_snapshots(spark: SparkSession, drop_dir: str, groups_csv: str,
     groups = contracts.read_groups_seed(spark, groups_csv)
     pop = contracts.read_population_seed(spark, population_csv) if population_csv else None
     return refresh(spark, raw, groups, out_dir, pop)
+
+
+def main(argv=None) -> None:
+    """Command line of the refresh (see ``refresh.py`` at the repository root):
+
+    spark-submit --py-files tenderlake.zip refresh.py --register PATH --groups CSV --out DIR
+        [--population CSV] [--ndjson] [--snapshots]
+    """
+    import argparse
+    import json
+
+    from tenderlake.session import build_session
+
+    p = argparse.ArgumentParser(description="Land the register and build every table.")
+    p.add_argument("--register", required=True, help="register file/folder (or drop folder with --snapshots)")
+    p.add_argument("--groups", required=True, help="company -> group reference CSV")
+    p.add_argument("--out", required=True, help="output folder on shared storage")
+    p.add_argument("--population", help="department population CSV")
+    p.add_argument("--ndjson", action="store_true", help="one contract per line instead of one document")
+    p.add_argument("--snapshots", action="store_true", help="land new snapshots incrementally first")
+    a = p.parse_args(argv)
+    spark = build_session()
+    if a.snapshots:
+        report = refresh_from_snapshots(spark, a.register, a.groups, a.out, a.population,
+                                        multiline=not a.ndjson)
+    else:
+        report = refresh_from_files(spark, a.register, a.groups, a.out, a.population,
+                                    multiline=not a.ndjson)
+    print(json.dumps(report, default=str))
+
