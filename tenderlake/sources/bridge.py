@@ -159,7 +159,12 @@ def raw_contracts(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def groups_reference(t: dict[str, DataFrame]) -> DataFrame:
-    """Company -> group reference: every supplier whose key is not a multiple of 8."""
+    """Company -> group reference: every supplier whose key is not a multiple of 8.
+
+    Leaving one supplier in eight out of the reference is what makes some
+    holders unmapped ('NON MAPPE'), as in a real register; it is part of the
+    data, not a way to read less.
+    """
     sk = F.col("s_suppkey")
     return (t["supplier"].filter((sk % 8) != 0)
             .select(_pad14(sk).alias("siret"),
