@@ -85,23 +85,39 @@ def ranking_by_group_year(stg_titulaires: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- A2
 def buyer_activity(stg_titulaires: DataFrame) -> DataFrame:
-    """Per buyer: volume, active years, IT share and publication profile."""
+    """Per buyer: volume, active years, IT share and publication profile.
+
+    Text min/max (first and last year) cannot live in a hash-aggregation
+    buffer, so the contract rows are first hash-aggregated per (buyer, year);
+    the per-buyer step, including the year min/max, runs on that small
+    result. Distinct IT contracts are counted on their own (hash on
+    (buyer, id), then per buyer) and joined back on the buyer, NULL-safe.
+    """
     base = stg_titulaires.filter(~F.col("flag_montant_suspect") & ~F.col("flag_date_suspecte")
                                  & in_year_window("annee"))
     is_it = F.col("famille_cpv") == IT_FAMILY
-    agg = base.groupBy("acheteur_siret").agg(
-        F.count(F.lit(1)).alias("nb_marches_total"),
-        F.countDistinct("annee").alias("nb_annees_actives"),
-        F.countDistinct(F.when(is_it, F.col("marche_id"))).alias("nb_marches_it"),
-        _millions("montant_eur", 2).alias("total_millions_eur"),
-        _millions(F.when(is_it, F.col("montant_eur")).otherwise(F.lit(0.0)), 2).alias("total_millions_it"),
+    per_year = base.groupBy("acheteur_siret", "annee").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("montant_eur").cast(AMOUNT_DECIMAL)).alias("s"),
+        F.sum(F.when(is_it, F.col("montant_eur")).otherwise(F.lit(0.0)).cast(AMOUNT_DECIMAL)).alias("s_it"))
+    per_buyer = (per_year.groupBy("acheteur_siret").agg(
+        F.sum("n").alias("nb_marches_total"),
+        F.count("annee").alias("nb_annees_actives"),  # one row per (buyer, year)
+        round_half_away(F.sum("s").cast("double") / F.lit(1e6), 2).alias("total_millions_eur"),
+        round_half_away(F.sum("s_it").cast("double") / F.lit(1e6), 2).alias("total_millions_it"),
         F.min("annee").alias("premiere_annee"),
-        F.max("annee").alias("derniere_annee"),
-    )
-    return (agg.filter(F.col("nb_marches_total") >= 3)
-            .withColumn("profil_publication",
-                        label_bands(F.col("nb_annees_actives"), BUYER_PROFILE_BANDS,
-                                    BUYER_PROFILE_DEFAULT)))
+        F.max("annee").alias("derniere_annee"))
+        .filter(F.col("nb_marches_total") >= 3))
+    it_ids = (base.filter(is_it & F.col("marche_id").isNotNull())
+              .select("acheteur_siret", "marche_id").distinct()
+              .groupBy(F.col("acheteur_siret").alias("it_buyer")).agg(F.count(F.lit(1)).alias("n_it")))
+    joined = per_buyer.join(it_ids, per_buyer.acheteur_siret.eqNullSafe(it_ids.it_buyer), "left")
+    return joined.select(
+        "acheteur_siret", "nb_marches_total", "nb_annees_actives",
+        F.coalesce(F.col("n_it"), F.lit(0)).alias("nb_marches_it"),
+        "total_millions_eur", "total_millions_it", "premiere_annee", "derniere_annee",
+        label_bands(F.col("nb_annees_actives"), BUYER_PROFILE_BANDS, BUYER_PROFILE_DEFAULT)
+        .alias("profil_publication"))
 
 
 # --------------------------------------------------------------------- A3
@@ -215,25 +231,53 @@ def anomalies(stg_marches: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- A7
+ISO_DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
+
+def _iso_text(code):
+    t = F.lpad(code.cast("string"), 8, "0")
+    return F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 2), F.lit("-"), F.substring(t, 7, 2))
+
+
 def recurring_pairs(stg_titulaires: DataFrame) -> DataFrame:
-    """Buyer/holder pairs meeting on 5 or more IT contracts."""
+    """Buyer/holder pairs meeting on 5 or more IT contracts.
+
+    First and last notification dates are text min/max. Text cannot sit in a
+    hash-aggregation buffer, so ISO dates (yyyy-MM-dd, the register's format)
+    are aggregated as yyyyMMdd numbers, which order exactly like the text;
+    any other date text goes through a separate exact branch (normally empty)
+    joined back on the pair. The contract rows are thus hash-aggregated.
+    """
+    keys = ["acheteur_siret", "siret", "groupe", "nom_entreprise"]
     base = stg_titulaires.filter(~F.col("flag_montant_suspect") & in_year_window("annee")
                                  & (F.col("famille_cpv") == IT_FAMILY)
                                  & F.col("siret").isNotNull() & F.col("acheteur_siret").isNotNull())
-    agg = base.groupBy("acheteur_siret", "siret", "groupe", "nom_entreprise").agg(
+    d = F.col("date_notification")
+    iso = d.rlike(ISO_DATE_PATTERN)
+    code = F.when(iso, F.regexp_replace(d, "-", "").cast("long"))
+    agg = (base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("nb_marches"),
         F.countDistinct("annee").alias("nb_annees_communes"),
         _millions("montant_eur", 2).alias("total_millions_eur"),
-        F.min("date_notification").alias("premier_marche"),
-        F.max("date_notification").alias("dernier_marche"),
-        round_half_away(mean_eur("montant_eur") / F.lit(1e3), 1).alias("montant_moyen_milliers"),
-    )
-    return (agg.filter(F.col("nb_marches") >= 5)
-            .select("acheteur_siret", F.col("siret").alias("titulaire_siret"), "groupe",
-                    "nom_entreprise", "nb_marches", "nb_annees_communes", "total_millions_eur",
-                    "premier_marche", "dernier_marche", "montant_moyen_milliers",
-                    label_bands(F.col("nb_marches"), RECURRENCE_BANDS,
-                                RECURRENCE_DEFAULT).alias("niveau_recurrence")))
+        F.min(code).alias("iso_min"),
+        F.max(code).alias("iso_max"),
+        round_half_away(mean_eur("montant_eur") / F.lit(1e3), 1).alias("montant_moyen_milliers"))
+        .filter(F.col("nb_marches") >= 5))
+    other = (base.filter(d.isNotNull() & ~iso)
+             .groupBy(*[F.col(k).alias("o_" + k) for k in keys])
+             .agg(F.min(d).alias("o_min"), F.max(d).alias("o_max")))
+    cond = None
+    for k in keys:
+        c = agg[k].eqNullSafe(other["o_" + k])
+        cond = c if cond is None else cond & c
+    joined = agg.join(other, cond, "left")
+    return joined.select(
+        "acheteur_siret", F.col("siret").alias("titulaire_siret"), "groupe", "nom_entreprise",
+        "nb_marches", "nb_annees_communes", "total_millions_eur",
+        F.least(_iso_text(F.col("iso_min")), F.col("o_min")).alias("premier_marche"),
+        F.greatest(_iso_text(F.col("iso_max")), F.col("o_max")).alias("dernier_marche"),
+        "montant_moyen_milliers",
+        label_bands(F.col("nb_marches"), RECURRENCE_BANDS, RECURRENCE_DEFAULT).alias("niveau_recurrence"))
 
 
 # --------------------------------------------------------------------- A8

@@ -100,14 +100,25 @@ def search(stg_titulaires: DataFrame, q: str, limit: int = 20) -> DataFrame:
 
 # Q6
 def global_stats(stg_titulaires: DataFrame) -> DataFrame:
+    """Dataset totals (neither flag set).
+
+    Counts and sums are one hash aggregation over the contracts; the first
+    and last year (text min/max, which hash aggregation cannot buffer) come
+    from the per-year aggregate, a handful of rows. The two one-row results
+    are stacked and folded into one row (no cross join).
+    """
     base = stg_titulaires.filter(~F.col("flag_montant_suspect") & ~F.col("flag_date_suspecte"))
-    return base.agg(
+    totals = base.agg(
         F.count(F.lit(1)).alias("total_marches"),
         F.countDistinct("acheteur_siret").alias("nb_acheteurs"),
         F.countDistinct("siret").alias("nb_titulaires"),
-        round_half_away(sum_eur("montant_eur") / F.lit(1e9), 2).alias("total_milliards_eur"),
-        F.min("annee").alias("premiere_annee"),
-        F.max("annee").alias("derniere_annee"))
+        round_half_away(sum_eur("montant_eur") / F.lit(1e9), 2).alias("total_milliards_eur"))
+    years = (base.select("annee").distinct()
+             .agg(F.min("annee").alias("premiere_annee"), F.max("annee").alias("derniere_annee")))
+    cols = ["total_marches", "nb_acheteurs", "nb_titulaires", "total_milliards_eur",
+            "premiere_annee", "derniere_annee"]
+    return (totals.unionByName(years, allowMissingColumns=True)
+            .agg(*[F.max(c).alias(c) for c in cols]))
 
 
 # Q7

@@ -156,3 +156,13 @@ def test_bridge_counts(bridge_catalog):
     levels = {r.niveau_concentration: r["count"]
               for r in c.concentration_by_cpv().groupBy("niveau_concentration").count().collect()}
     assert levels == {"MONOPOLE": 5, "DOMINANT": 5, "MAJEUR": 5, "PRESENT": 65}
+
+
+def test_recurring_dates_are_text_min_max_with_mixed_formats(spark):
+    dates = ["2020-01-05", "2018/01/01", "2021-03-01", "2020-07-07", "2019-02-02", "2021/12/31"]
+    rows = [contract(i, date=d) for i, d in enumerate(dates)]
+    out = marts.recurring_pairs(_titulaires(spark, rows)).collect()
+    assert len(out) == 1
+    assert out[0].premier_marche == min(dates) == "2018/01/01"
+    assert out[0].dernier_marche == max(dates) == "2021/12/31"
+    assert out[0].nb_annees_communes == 4
