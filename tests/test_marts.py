@@ -3,7 +3,6 @@
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from rows import contract, groups_df, raw_df
 from tenderlake.operators import marts, staging

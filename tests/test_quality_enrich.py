@@ -1,6 +1,5 @@
 """Quality checks and reference enrichment on hand-made rows."""
 
-from pyspark.sql import functions as F
 
 from rows import contract, groups_df, raw_df
 from tenderlake.operators import enrich, explore, quality, staging

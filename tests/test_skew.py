@@ -8,7 +8,6 @@ partial aggregation (one partial row per task reaches the reducer).
 import contextlib
 import io
 
-from pyspark.sql import functions as F
 
 from rows import contract, groups_df, raw_df
 from tenderlake.operators import marts, staging
