@@ -31,7 +31,10 @@ def stage(catalog: Catalog, out_dir: str) -> tuple[DataFrame, DataFrame, DataFra
     def write(item):
         name, df = item
         path = f"{out_dir}/{name}"
-        df.write.mode("overwrite").partitionBy("annee").parquet(path)
+        # Rebalance on the year before the partitioned write: every task would
+        # otherwise write one small file per year. AQE sizes the partitions
+        # and splits a year holding much of the data.
+        df.hint("rebalance", "annee").write.mode("overwrite").partitionBy("annee").parquet(path)
         return name, path, df.schema
 
     staged = (("stg_marches_full", catalog.staged), ("stg_titulaires", catalog.stg_titulaires))
