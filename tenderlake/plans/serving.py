@@ -244,3 +244,20 @@ def recurring(recurring_pairs: DataFrame, acheteur_siret: str | None = None, lim
     return (df.orderBy(desc("nb_marches"), asc("acheteur_siret"), asc("titulaire_siret"),
                        asc("groupe"), asc("nom_entreprise"))
             .limit(limit))
+
+
+def open_store(spark, out_dir: str) -> dict[str, DataFrame]:
+    """Tables written by the refresh job (``<out_dir>/serving/<name>``), by name."""
+    import os
+
+    base = f"{out_dir}/serving"
+    names = ["mart_classement_groupes", "mart_acheteurs_actifs", "mart_monopoles_cpv",
+             "mart_geo_departements", "mart_procedures", "mart_anomalies", "mart_recurrents",
+             "mart_depassements_reels", "ref_groupes_esn", "ref_population_dept",
+             "stg_titulaires_sample", "mapping_coverage", "load_profile", "not_null_check"]
+    store = {}
+    for n in names:
+        path = f"{base}/{n}"
+        if "://" in path or os.path.exists(path):
+            store[n] = spark.read.parquet(path)
+    return store

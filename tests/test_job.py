@@ -140,3 +140,15 @@ def test_refresh_from_snapshots(spark, scratch):
     direct = job.refresh_from_driver_tables(spark, SF, f"{scratch}/direct")
     assert report["mart_anomalies"] == direct["mart_anomalies"]
     assert report["mart_depassements_reels"] == direct["mart_depassements_reels"]
+
+
+def test_served_queries_on_written_store(spark, scratch):
+    from tenderlake.plans import serving
+    job.refresh_from_driver_tables(spark, SF, scratch)
+    store = serving.open_store(spark, scratch)
+    top = serving.ranking(store["mart_classement_groupes"]).collect()
+    assert 0 < len(top) <= 15
+    assert serving.monopolies(store["mart_monopoles_cpv"], niveau="PRESENT").count() >= 0
+    per_head = serving.departments_per_capita(store["mart_geo_departements"], store["ref_population_dept"])
+    assert per_head.filter("euros_it_par_habitant IS NOT NULL").count() > 0
+    assert serving.overrun_stats(store["mart_depassements_reels"]).first().nb_marches_depasses > 0
