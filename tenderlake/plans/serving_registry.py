@@ -33,6 +33,9 @@ register("departments_per_capita_europe")(
     lambda c: serving.departments_per_capita(c.spending_by_department(), c.population, "EUROPE"))
 register("procedure_mix")(lambda c: serving.procedure_mix(c.procedures_by_buyer()))
 register("recurring")(lambda c: serving.recurring(c.recurring_pairs()))
+register("procedure_mix_buyer0")(
+    lambda c: serving.procedure_mix(c.procedures_by_buyer(), "00000000000000", 200))
+register("recurring_buyer0")(lambda c: serving.recurring(c.recurring_pairs(), "00000000000000", 200))
 
 # ----------------------------------------------------------- exploration
 register("top_companies")(lambda c: explore.top_companies(c.raw))
