@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.sources.schemas import (CONTRACT, GROUPS_SEED, NAME_LOOKUP, POPULATION_SEED,
-                                        REGISTER_DOCUMENT, RESOLVED_COMPANY)
+from tenderlake.sources.schemas import (CONTRACT, CONTRACT_TEXT, GROUPS_SEED, NAME_LOOKUP,
+                                        POPULATION_SEED, REGISTER_DOCUMENT_TEXT, RESOLVED_COMPANY)
 
 # Freshness answer when no file exists, and the source label.
 UNKNOWN_DATE = "inconnue"
@@ -23,9 +23,29 @@ def read_register(spark: SparkSession, path: str, multiline: bool = True) -> Dat
     line (NDJSON), which Spark splits freely.
     """
     if multiline:
-        doc = spark.read.schema(REGISTER_DOCUMENT).option("multiLine", "true").json(path)
-        return doc.select(F.explode("marches.marche").alias("m")).select("m.*")
-    return spark.read.schema(CONTRACT).json(path)
+        doc = spark.read.schema(REGISTER_DOCUMENT_TEXT).option("multiLine", "true").json(path)
+        contracts = doc.select(F.explode("marches.marche").alias("m")).select("m.*")
+    else:
+        contracts = spark.read.schema(CONTRACT_TEXT).json(path)
+    return typed_contracts(contracts)
+
+
+def typed_contracts(text_contracts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Numbers read as text become doubles (unreadable text -> NULL).
+
+    Columns named in ``keep`` are passed through after the contract columns.
+    """
+    amendments = F.transform(
+        F.col("modifications"),
+        lambda m: F.struct(m.getField("date_modif").alias("date_modif"),
+                           m.getField("montant").try_cast("double").alias("montant")))
+    cols = {
+        "montant": F.col("montant").try_cast("double"),
+        "dureeMois": F.col("dureeMois").try_cast("double"),
+        "modifications": amendments,
+    }
+    return text_contracts.select([cols.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name)
+                                  for f in CONTRACT.fields] + [F.col(k) for k in keep])
 
 
 def land_register(spark: SparkSession, path: str, out_path: str, multiline: bool = True) -> None:

@@ -48,3 +48,20 @@ NAME_LOOKUP = T.StructType([T.StructField("siret", S), T.StructField("nom", S)])
 KEYWORD_TABLE = T.StructType([
     T.StructField("ordinal", T.IntegerType()), T.StructField("keyword", S),
     T.StructField("groupe", S)])
+
+
+def _as_text(dt):
+    """Same shape with every number read as text (JSON numbers or strings)."""
+    if isinstance(dt, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType), True) for f in dt.fields])
+    if isinstance(dt, T.ArrayType):
+        return T.ArrayType(_as_text(dt.elementType))
+    if isinstance(dt, (T.DoubleType, T.IntegerType, T.LongType)):
+        return S
+    return dt
+
+
+# What the landing reads: amounts and durations may be written as numbers or
+# as strings in the source; they are cast once, while landing.
+CONTRACT_TEXT = _as_text(CONTRACT)
+REGISTER_DOCUMENT_TEXT = _as_text(REGISTER_DOCUMENT)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.session import checkpoint_dir
-from tenderlake.sources.schemas import CONTRACT, REGISTER_DOCUMENT
+from tenderlake.sources.contracts import typed_contracts
+from tenderlake.sources.schemas import CONTRACT, CONTRACT_TEXT, REGISTER_DOCUMENT_TEXT
 
 SNAPSHOT_COLUMN = "snapshot"
 
@@ -31,12 +32,14 @@ def land_snapshots(spark: SparkSession, drop_dir: str, raw_path: str, multiline:
     """Land every snapshot file not landed yet, then return."""
     cp = checkpoint or f"{checkpoint_dir(spark)}/register_landing"
     if multiline:
-        src = (spark.readStream.schema(REGISTER_DOCUMENT).option("multiLine", "true").json(drop_dir)
+        src = (spark.readStream.schema(REGISTER_DOCUMENT_TEXT).option("multiLine", "true").json(drop_dir)
                .select(F.explode("marches.marche").alias("m"), _snapshot_name().alias(SNAPSHOT_COLUMN))
                .select("m.*", SNAPSHOT_COLUMN))
     else:
-        src = (spark.readStream.schema(CONTRACT).json(drop_dir)
+        src = (spark.readStream.schema(CONTRACT_TEXT).json(drop_dir)
                .select("*", _snapshot_name().alias(SNAPSHOT_COLUMN)))
+    src = typed_contracts(src, keep=(SNAPSHOT_COLUMN,))
+
     q = (src.writeStream.format("parquet")
          .option("path", raw_path)
          .option("checkpointLocation", cp)

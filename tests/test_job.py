@@ -152,3 +152,19 @@ def test_served_queries_on_written_store(spark, scratch):
     per_head = serving.departments_per_capita(store["mart_geo_departements"], store["ref_population_dept"])
     assert per_head.filter("euros_it_par_habitant IS NOT NULL").count() > 0
     assert serving.overrun_stats(store["mart_depassements_reels"]).first().nb_marches_depasses > 0
+
+
+def test_amounts_written_as_text_are_read(spark, scratch):
+    doc = {"marches": {"marche": [
+        {"id": "1", "montant": "125000.5", "dureeMois": "12", "modifications": [
+            {"date_modif": "2021-01-01", "montant": "300000000"}]},
+        {"id": "2", "montant": 99.5, "dureeMois": 3},
+        {"id": "3", "montant": "n/a"},
+    ]}}
+    path = os.path.join(scratch, "doc.json")
+    with open(path, "w") as f:
+        json.dump(doc, f)
+    rows = {r.id: r for r in contracts.read_register(spark, path).collect()}
+    assert rows["1"].montant == 125000.5 and rows["1"].dureeMois == 12.0
+    assert rows["1"].modifications[0].montant == 3e8
+    assert rows["2"].montant == 99.5 and rows["3"].montant is None
