@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tenderlake.functions.groups import KEYWORDS_ENRICHMENT, KEYWORDS_REFERENCE, map_group
 from tenderlake.operators import explore
 
+# Name for an unresolved id, source tag of rebuilt rows.
 UNKNOWN_NAME = "INCONNU"
 AUTO_SOURCE = "api_auto"
+
 MAX_BROADCAST_ROWS = 100000
 
 

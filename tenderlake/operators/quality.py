@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tenderlake.functions.expr import sum_eur, year_text
 
+# Columns that must not be NULL; length of a company id.
 NOT_NULL_COLUMNS = ("marche_id", "montant_eur", "annee")
 ID_LENGTH = 14
 
