@@ -12,18 +12,54 @@ SAMPLE_COLUMNS = ["marche_id", "groupe", "siret", "nom_entreprise", "montant_eur
 
 
 # S7
-def contract_sample(stg_titulaires: DataFrame, limit: int = SAMPLE_MAX) -> DataFrame:
+# Candidate upper quantiles for the sample's amount cut-off, and the sketch
+# accuracy (rank error at most rows / accuracy).
+CUT_QUANTILES = [0.5, 0.75, 0.9, 0.95, 0.99, 0.995, 0.999, 0.9995, 0.9999, 0.99999]
+CUT_ACCURACY = 10000
+
+
+def _amount_cut(base: DataFrame, limit: int) -> float | None:
+    """An amount t such that at least ``limit`` rows have amount >= t, or None.
+
+    Then every row of the top ``limit`` (amount descending) has amount >= t,
+    so filtering on t first gives exactly the same sample while each task
+    hands on a few rows instead of ``limit`` rows. Two small aggregate jobs.
+    """
+    stats = base.agg(F.count(F.lit(1)).alias("n"),
+                     F.percentile_approx("montant_eur", CUT_QUANTILES, CUT_ACCURACY).alias("q")).first()
+    n, qs = stats["n"], stats["q"]
+    if not n or not qs or n < 4 * limit:
+        return None
+    # highest quantile whose upper tail still holds about twice the limit
+    cut = None
+    for q, value in zip(CUT_QUANTILES, qs):
+        if (1.0 - q) * n >= 2 * limit:
+            cut = value
+    if cut is None:
+        return None
+    kept = base.filter(F.col("montant_eur") >= F.lit(cut)).count()
+    return cut if kept >= limit else None
+
+
+def contract_sample(stg_titulaires: DataFrame, limit: int = SAMPLE_MAX, prefilter: bool = True) -> DataFrame:
     """Largest non-suspect contracts (12 columns, subject cut at 150).
 
     The cap is explicit and ordered (amount, then id), so the sample is
-    reproducible; it is a top-k, so each task keeps at most ``limit`` rows.
+    reproducible. It is a top-k: each task keeps its best ``limit`` rows and
+    one task merges them. With ``prefilter`` an exact amount cut-off is
+    applied first (see ``_amount_cut``), so that merge sees about twice
+    ``limit`` rows in total instead of ``limit`` per task.
     """
     if limit < 0:
         raise ValueError("limit must be >= 0")
-    return (stg_titulaires.filter(~F.col("flag_montant_suspect"))
+    base = (stg_titulaires.filter(~F.col("flag_montant_suspect"))
             .select(*[F.left(F.col("objet"), F.lit(150)).alias("objet") if c == "objet" else F.col(c)
-                      for c in SAMPLE_COLUMNS])
-            .orderBy(F.col("montant_eur").desc_nulls_last(), F.col("marche_id").asc_nulls_last())
+                      for c in SAMPLE_COLUMNS]))
+    if prefilter and limit > 0:
+        cut = _amount_cut(base, limit)
+        if cut is not None:
+            base = base.filter(F.col("montant_eur") >= F.lit(cut))
+    return (base.orderBy(F.col("montant_eur").desc_nulls_last(), F.col("marche_id").asc_nulls_last())
             .limit(limit))
 
 

@@ -168,3 +168,15 @@ def test_amounts_written_as_text_are_read(spark, scratch):
     assert rows["1"].montant == 125000.5 and rows["1"].dureeMois == 12.0
     assert rows["1"].modifications[0].montant == 3e8
     assert rows["2"].montant == 99.5 and rows["3"].montant is None
+
+
+def test_sample_prefilter_is_exact(spark):
+    from tenderlake.plans import export
+    from tenderlake.plans.catalog import Catalog
+    c = Catalog.from_driver_tables(spark, "/root/testdata/sf0.01")
+    for limit in (10, 100, 1000, 3000):
+        cut = export._amount_cut(c.stg_titulaires.filter(~F.col("flag_montant_suspect")), limit)
+        assert cut is not None  # the cut is used at these sizes
+        fast = [tuple(r) for r in export.contract_sample(c.stg_titulaires, limit).collect()]
+        plain = [tuple(r) for r in export.contract_sample(c.stg_titulaires, limit, prefilter=False).collect()]
+        assert fast == plain and len(fast) == limit
