@@ -165,3 +165,17 @@ def test_recurring_dates_are_text_min_max_with_mixed_formats(spark):
     assert out[0].premier_marche == min(dates) == "2018/01/01"
     assert out[0].dernier_marche == max(dates) == "2021/12/31"
     assert out[0].nb_annees_communes == 4
+
+
+def test_approximate_options_stay_close(bridge_catalog):
+    from tenderlake.plans import serving
+    exact = {(r.groupe, r.annee): r for r in bridge_catalog.ranking_by_group_year().collect()}
+    approx = {(r.groupe, r.annee): r for r in
+              marts.ranking_by_group_year(bridge_catalog.stg_titulaires, approx_distinct=True).collect()}
+    assert exact.keys() == approx.keys()
+    for k, r in exact.items():
+        assert abs(approx[k].nb_entites_juridiques - r.nb_entites_juridiques) <= max(2, 0.05 * r.nb_entites_juridiques)
+        assert approx[k].total_millions_eur == r.total_millions_eur
+    e = serving.overrun_stats(bridge_catalog.overruns()).first()
+    a = serving.overrun_stats(bridge_catalog.overruns(), approx_median=True).first()
+    assert abs(a.depassement_median_pct - e.depassement_median_pct) <= 1.0
