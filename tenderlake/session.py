@@ -24,13 +24,16 @@ def build_session(master: str | None = None, app: str = "tenderlake",
     if master:
         b = b.master(master)
     b = b.config("spark.ui.enabled", "false")
-    for k, v in JOB_DEFAULTS.items():
-        b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    # job defaults only where the cluster configuration does not set the key
+    configured = spark.sparkContext.getConf()
+    for k, v in JOB_DEFAULTS.items():
+        if not configured.contains(k) and k not in (extra or {}):
+            spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
