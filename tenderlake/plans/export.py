@@ -41,20 +41,29 @@ def _amount_cut(base: DataFrame, limit: int) -> float | None:
     return cut if kept >= limit else None
 
 
-def contract_sample(stg_titulaires: DataFrame, limit: int = SAMPLE_MAX, prefilter: bool = True) -> DataFrame:
+# Rows the final top-k merge may receive before the cut-off is worth two jobs.
+FUNNEL_BUDGET_ROWS = 5_000_000
+
+
+def contract_sample(stg_titulaires: DataFrame, limit: int = SAMPLE_MAX,
+                    prefilter: bool | None = None) -> DataFrame:
     """Largest non-suspect contracts (12 columns, subject cut at 150).
 
     The cap is explicit and ordered (amount, then id), so the sample is
     reproducible. It is a top-k: each task keeps its best ``limit`` rows and
     one task merges them. With ``prefilter`` an exact amount cut-off is
     applied first (see ``_amount_cut``), so that merge sees about twice
-    ``limit`` rows in total instead of ``limit`` per task.
+    ``limit`` rows in total instead of ``limit`` per task. By default
+    (``prefilter=None``) the cut-off is tried only when tasks x ``limit``
+    exceeds ``FUNNEL_BUDGET_ROWS``; the task count comes from planning.
     """
     if limit < 0:
         raise ValueError("limit must be >= 0")
     base = (stg_titulaires.filter(~F.col("flag_montant_suspect"))
             .select(*[F.left(F.col("objet"), F.lit(150)).alias("objet") if c == "objet" else F.col(c)
                       for c in SAMPLE_COLUMNS]))
+    if prefilter is None:
+        prefilter = limit > 0 and base.rdd.getNumPartitions() * limit > FUNNEL_BUDGET_ROWS
     if prefilter and limit > 0:
         cut = _amount_cut(base, limit)
         if cut is not None:

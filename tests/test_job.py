@@ -177,6 +177,6 @@ def test_sample_prefilter_is_exact(spark):
     for limit in (10, 100, 1000, 3000):
         cut = export._amount_cut(c.stg_titulaires.filter(~F.col("flag_montant_suspect")), limit)
         assert cut is not None  # the cut is used at these sizes
-        fast = [tuple(r) for r in export.contract_sample(c.stg_titulaires, limit).collect()]
+        fast = [tuple(r) for r in export.contract_sample(c.stg_titulaires, limit, prefilter=True).collect()]
         plain = [tuple(r) for r in export.contract_sample(c.stg_titulaires, limit, prefilter=False).collect()]
         assert fast == plain and len(fast) == limit
