@@ -54,8 +54,7 @@ class Catalog:
 
     @cached_property
     def stg_titulaires(self) -> DataFrame:
-        return staging.stg_titulaires(self.stg_marches, self.groups,
-                                      getattr(self, "groups_are_clean", False))
+        return staging.stg_titulaires(self.stg_marches, self.groups, self.groups_are_clean)
 
     # marts
     def ranking_by_group_year(self):
@@ -92,6 +91,7 @@ class _DriverCatalog(Catalog):
 
     def __init__(self, tables):
         self._t = tables
+        self.groups_are_clean = False
 
     @cached_property
     def raw(self):
