@@ -290,10 +290,13 @@ def overruns(staged: DataFrame) -> DataFrame:
     """Contracts whose last amended amount exceeds the initial amount.
 
     ``staged`` is ``staging.staged_contracts`` (it keeps the amendment
-    list). The last amendment with an amount is the array maximum of
+    list). The last dated amendment with an amount is the array maximum of
     (date, amount) structs: a per-row expression, so no shuffle at all.
     """
-    last = F.array_max(F.filter(F.col("modifications"), lambda m: m.getField("montant").isNotNull()))
+    # amendments that can be placed in time and carry an amount
+    dated = F.filter(F.col("modifications"),
+                     lambda m: m.getField("montant").isNotNull() & m.getField("date_modif").isNotNull())
+    last = F.array_max(dated)
     base = (staged.filter(~F.col("flag_montant_suspect"))
             .select("marche_id", "acheteur_siret", F.col("titulaire_siret_1").alias("titulaire_siret"),
                     F.col("montant_eur").alias("montant_initial_eur"),

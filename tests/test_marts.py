@@ -179,3 +179,9 @@ def test_approximate_options_stay_close(bridge_catalog):
     e = serving.overrun_stats(bridge_catalog.overruns()).first()
     a = serving.overrun_stats(bridge_catalog.overruns(), approx_median=True).first()
     assert abs(a.depassement_median_pct - e.depassement_median_pct) <= 1.0
+
+
+def test_overruns_ignore_undated_amendments(spark):
+    mods = [{"date_modif": None, "montant": 9000.0}, {"date_modif": "2021-01-01", "montant": 2000.0}]
+    out = marts.overruns(staging.staged_contracts(raw_df(spark, [contract(1, montant=1000.0, mods=mods)]))).collect()
+    assert [(r.montant_apres_modif_eur, r.date_modif) for r in out] == [(2000.0, "2021-01-01")]
