@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tenderlake.plans.catalog import Catalog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# The same queries as functions of a Catalog (any input tables).
+BUILDERS: dict[str, Callable[[Catalog], DataFrame]] = {}
 
 
 def register(name: str):
@@ -24,6 +26,7 @@ def register(name: str):
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
+        BUILDERS[name] = fn
         return fn
     return deco
 
