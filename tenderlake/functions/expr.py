@@ -35,12 +35,19 @@ def round_half_away(col: Column | str, digits: int = 0) -> Column:
     v = F.abs(x * F.lit(scale))
     frac = v % F.lit(1.0)
     whole = v - frac + F.when(frac >= F.lit(0.5), F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.signum(x) * whole / F.lit(scale)
+    # NaN and infinities (also after scaling) come back unchanged
+    special = F.isnan(v) | (v == F.lit(float("inf")))
+    return F.when(special, x).otherwise(F.signum(x) * whole / F.lit(scale))
+
+
+def to_amount(col: Column | str) -> Column:
+    """Amount as fixed point; NaN, infinities and out-of-range values give NULL."""
+    return _c(col).try_cast(AMOUNT_DECIMAL)
 
 
 def sum_eur(col: Column | str) -> Column:
     """Exact (fixed-point) sum of an amount column, returned as double."""
-    return F.sum(_c(col).cast(AMOUNT_DECIMAL)).cast("double")
+    return F.sum(to_amount(col)).cast("double")
 
 
 def mean_eur(col: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.functions.expr import AMOUNT_DECIMAL, first_holder, in_year_window, round_half_away, sum_eur
+from tenderlake.functions.expr import first_holder, in_year_window, round_half_away, sum_eur, to_amount
 from tenderlake.functions.groups import KEYWORDS_REFERENCE, map_group
 
 IT_PREFIX = "72"
@@ -54,7 +54,7 @@ def top_unmapped_companies(raw: DataFrame, groups: DataFrame,
     """
     agg = (_it_rows(raw, UNMAPPED_AMOUNT_MAX).filter(F.col("siret").isNotNull())
            .groupBy("siret").agg(F.count(F.lit(1)).alias("nb"),
-                                 F.sum(F.col("montant").cast(AMOUNT_DECIMAL)).alias("s")))
+                                 F.sum(to_amount("montant")).alias("s")))
     known = groups.select(F.col("siret").alias("siret")).filter(F.col("siret").isNotNull())
     s = F.col("s").cast("double")
     return (agg.join(known, "siret", "left_anti")
@@ -90,7 +90,7 @@ def mapping_coverage(stg_titulaires: DataFrame) -> DataFrame:
     agg = (base.select(cls.alias("groupe_class"), "montant_eur")
            .groupBy("groupe_class")
            .agg(F.count(F.lit(1)).alias("n"),
-                F.sum(F.col("montant_eur").cast(AMOUNT_DECIMAL)).alias("s")))
+                F.sum(to_amount("montant_eur")).alias("s")))
     everything = Window.partitionBy()
     n_all = F.sum("n").over(everything).cast("double")
     s_all = F.sum("s").over(everything).cast("double")
@@ -110,7 +110,7 @@ def group_family_mix(stg_titulaires: DataFrame, groupe: str | None = None) -> Da
         base = base.filter(F.col("groupe") == F.lit(groupe))
     agg = (base.groupBy("groupe", "famille_cpv")
            .agg(F.count(F.lit(1)).alias("nb_marches"),
-                F.sum(F.col("montant_eur").cast(AMOUNT_DECIMAL)).alias("s")))
+                F.sum(to_amount("montant_eur")).alias("s")))
     group_total = F.sum("s").over(Window.partitionBy("groupe")).cast("double")
     s = F.col("s").cast("double")
     return agg.select(

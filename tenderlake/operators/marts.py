@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.functions.expr import (AMOUNT_DECIMAL, in_year_window, label_bands,
-                                       mean_eur, round_half_away, safe_divide, sum_eur)
+from tenderlake.functions.expr import (in_year_window, label_bands, mean_eur, round_half_away,
+                                       safe_divide, sum_eur, to_amount)
 
 IT_FAMILY = "72"
 UNMAPPED = "NON MAPPE"
@@ -81,7 +81,7 @@ def ranking_by_group_year(stg_titulaires: DataFrame, approx_distinct: bool = Fal
         round_half_away(mean_eur("montant_eur") / F.lit(1e3), 1).alias("moy_milliers_eur"),
         round_half_away(F.max("montant_eur") / F.lit(1e6), 2).alias("max_marche_millions_eur"),
     )
-    year_total = F.sum(F.col("total_millions_eur").cast(AMOUNT_DECIMAL)).over(
+    year_total = F.sum(to_amount("total_millions_eur")).over(
         Window.partitionBy("annee")).cast("double")
     return per.withColumn(
         "part_marche_pct",
@@ -103,8 +103,8 @@ def buyer_activity(stg_titulaires: DataFrame) -> DataFrame:
     is_it = F.col("famille_cpv") == IT_FAMILY
     per_year = base.groupBy("acheteur_siret", "annee").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("montant_eur").cast(AMOUNT_DECIMAL)).alias("s"),
-        F.sum(F.when(is_it, F.col("montant_eur")).otherwise(F.lit(0.0)).cast(AMOUNT_DECIMAL)).alias("s_it"))
+        F.sum(to_amount("montant_eur")).alias("s"),
+        F.sum(to_amount(F.when(is_it, F.col("montant_eur")).otherwise(F.lit(0.0)))).alias("s_it"))
     per_buyer = (per_year.groupBy("acheteur_siret").agg(
         F.sum("n").alias("nb_marches_total"),
         F.count("annee").alias("nb_annees_actives"),  # one row per (buyer, year)
@@ -139,7 +139,7 @@ def concentration_by_cpv(stg_titulaires: DataFrame) -> DataFrame:
                                  & F.col("code_cpv").isNotNull())
     per = base.groupBy("code_cpv", "groupe").agg(
         F.count(F.lit(1)).alias("nb_marches"),
-        F.sum(F.col("montant_eur").cast(AMOUNT_DECIMAL)).alias("s"))
+        F.sum(to_amount("montant_eur")).alias("s"))
     by_code = Window.partitionBy("code_cpv")
     per = (per.withColumn("nb_total", F.sum("nb_marches").over(by_code))
               .withColumn("montant_total", F.sum("s").over(by_code).cast("double"))

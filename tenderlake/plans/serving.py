@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.functions.expr import AMOUNT_DECIMAL, like_literal, round_half_away, sum_eur
+from tenderlake.functions.expr import like_literal, round_half_away, sum_eur, to_amount
 
 
 def _limit(limit: int, max_value: int) -> int:
@@ -23,7 +23,7 @@ def _limit(limit: int, max_value: int) -> int:
 
 def _exact_mean(col: str) -> F.Column:
     """Mean of a rounded-decimal column: exact sum / count."""
-    return F.sum(F.col(col).cast(AMOUNT_DECIMAL)).cast("double") / F.count(col)
+    return F.sum(to_amount(col)).cast("double") / F.count(col)
 
 
 def asc(c: str):

@@ -13,7 +13,8 @@ def test_round_half_away_matches_duckdb_round(spark):
     rng = np.random.default_rng(7)
     vals = [float(v) for v in np.concatenate([
         rng.uniform(-1e6, 1e6, 3000).round(3), rng.uniform(0, 100, 3000),
-        [1.005, 2.675, 0.5, -0.5, 2.5, -2.5, 0.49999999999999994, 1.15, 0.0]])]
+        [1.005, 2.675, 0.5, -0.5, 2.5, -2.5, 0.49999999999999994, 1.15, 0.0,
+         float("inf"), float("-inf"), 1.7e308]])]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     con = duckdb.connect()
     for n in (0, 1, 2):

@@ -40,7 +40,8 @@ def _date():
         st.sampled_from(["2019/05/01", "2019-05-01T10:00:00", "2019", "bad", "", "0202-05-01", None]))
 
 
-amount = st.one_of(st.sampled_from([1.0, 1.01, 0.5, 499999999.0, 5e8, 2e10, None, 25000.0]),
+amount = st.one_of(st.sampled_from([1.0, 1.01, 0.5, 499999999.0, 5e8, 2e10, None, 25000.0,
+                                    float("nan"), float("inf"), 1e17]),
                    st.floats(min_value=2, max_value=5e6, allow_nan=False).map(lambda x: round(x, 2)))
 
 contract = st.fixed_dictionaries({
@@ -93,6 +94,8 @@ TABLES["mart_geo_departements"] = (lambda raw, g: marts.spending_by_department(r
                                    "SELECT * FROM mart_geo_departements", ("mart_geo_departements",))
 TABLES["mart_anomalies"] = (lambda raw, g: marts.anomalies(staging.stg_marches(raw)),
                             "SELECT * FROM mart_anomalies", ("mart_anomalies",))
+TABLES["load_profile"] = (lambda raw, g: __import__("tenderlake.operators.quality", fromlist=["x"])
+                          .load_profile(raw), oracle.QUERY_PARTS["load_profile"][0], ())
 TABLES["mart_depassements_reels"] = (lambda raw, g: marts.overruns(staging.staged_contracts(raw)),
                                      "SELECT * FROM mart_depassements_reels", ("mart_depassements_reels",))
 
