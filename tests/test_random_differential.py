@@ -104,7 +104,7 @@ def _sql(body, marts_needed):
     return "WITH " + ",".join([oracle.STAGING] + [oracle.MARTS[m] for m in marts_needed]) + "\n" + body
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture],
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture],
           phases=[Phase.explicit, Phase.reuse, Phase.generate])  # no shrinking: each example runs Spark jobs
 @given(drawn=st.lists(contract, min_size=40, max_size=160))
 def test_random_registers_match_oracle(spark, tmp_path_factory, drawn):
