@@ -19,14 +19,16 @@ AUTO_SOURCE = "api_auto"
 MAX_BROADCAST_ROWS = 100000
 
 
-def _unique_names(names: DataFrame) -> DataFrame:
+def _names_by_id(names: DataFrame) -> DataFrame:
+    """Lookup rows keyed by the trimmed id; callers keep the smallest name
+    per id, so a duplicated id cannot multiply rows."""
     return names.select(F.trim(F.col("siret")).alias("siret"), "nom")
 
 
 # E1
 def resolve_names(ids: DataFrame, names: DataFrame) -> DataFrame:
     """Attach a name to each id row (left join; one name per id kept)."""
-    resolved = ids.join(_unique_names(names), "siret", "left")
+    resolved = ids.join(_names_by_id(names), "siret", "left")
     keys = [c for c in ids.columns]
     return (resolved.groupBy(*keys)
             .agg(F.coalesce(F.min("nom"), F.lit(UNKNOWN_NAME)).alias("nom")))
@@ -43,7 +45,7 @@ def identify_companies(raw: DataFrame, names: DataFrame, limit: int = 100) -> Da
     top = explore.companies_to_identify(raw, limit)
     # broadcast only under a fixed row bound; beyond it a plain join
     small = F.broadcast(top) if limit <= MAX_BROADCAST_ROWS else top
-    joined = _unique_names(names).join(small, "siret", "right")
+    joined = _names_by_id(names).join(small, "siret", "right")
     return (joined.groupBy("siret", "nb", "total_M")
             .agg(F.coalesce(F.min("nom"), F.lit(UNKNOWN_NAME)).alias("nom"))
             .select("siret", "nom", F.col("nb").alias("nb_marches"), "total_M"))
@@ -71,7 +73,7 @@ def enrich_unmapped(raw: DataFrame, groups: DataFrame, names: DataFrame,
                     keywords=KEYWORDS_ENRICHMENT) -> DataFrame:
     """Unmapped holders above the threshold, named and mapped to a group."""
     unmapped = explore.top_unmapped_companies(raw, groups)
-    named = (unmapped.join(_unique_names(names), "siret", "left")
+    named = (unmapped.join(_names_by_id(names), "siret", "left")
              .groupBy("siret", "total_M")
              .agg(F.coalesce(F.min("nom"), F.lit(UNKNOWN_NAME)).alias("nom_entreprise")))
     return named.select("siret", "nom_entreprise",
