@@ -180,3 +180,14 @@ def test_sample_prefilter_is_exact(spark):
         fast = [tuple(r) for r in export.contract_sample(c.stg_titulaires, limit, prefilter=True).collect()]
         plain = [tuple(r) for r in export.contract_sample(c.stg_titulaires, limit, prefilter=False).collect()]
         assert fast == plain and len(fast) == limit
+
+
+def test_command_line_refresh(spark, scratch, capsys):
+    t = bridge.load_tables(spark, SF)
+    bridge.raw_contracts(t).write.mode("overwrite").json(f"{scratch}/reg")
+    bridge.groups_reference(t).write.mode("overwrite").option("header", "true").csv(f"{scratch}/groups")
+    job.main(["--register", f"{scratch}/reg", "--groups", f"{scratch}/groups", "--out", f"{scratch}/out",
+              "--ndjson"])
+    report = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    direct = job.refresh_from_driver_tables(spark, SF, f"{scratch}/direct")
+    assert report["mart_classement_groupes"] == direct["mart_classement_groupes"] > 0
