@@ -62,3 +62,31 @@ def test_overrun_stats_median_interpolates(spark):
                                "depassement_pct double, depassement_eur double")
     r = serving.overrun_stats(df).first()
     assert r.nb_marches_depasses == 4 and r.depassement_median_pct == 2.5 and r.depassement_max_pct == 10.0
+
+
+MONO_SCHEMA = ("code_cpv string, famille_cpv string, groupe string, rang bigint, nb_marches bigint, "
+               "total_millions_eur double, part_pct double, niveau_concentration string")
+
+
+def test_monopoly_filters_and_top(spark):
+    rows = [("72100000", "72", "G1", 1, 9, 5.0, 80.0, "MONOPOLE"),
+            ("72100000", "72", "G2", 2, 3, 1.0, 15.0, "PRESENT"),
+            ("48000000", "48", "G3", 1, 7, 5.0, 55.0, "DOMINANT"),
+            ("30000000", "30", "G4", 1, 5, 9.0, 40.0, "MAJEUR")]
+    df = spark.createDataFrame(rows, MONO_SCHEMA)
+    assert [r.groupe for r in serving.monopolies(df, famille_cpv="72").collect()] == ["G1", "G2"]
+    assert [r.groupe for r in serving.monopolies(df, niveau="PRESENT").collect()] == ["G2"]
+    # equal totals: the code breaks the tie
+    assert [r.groupe for r in serving.top_monopolies(df).collect()] == ["G3", "G1"]
+
+
+def test_departments_region_is_ignored_and_placeholders_null(spark):
+    df = spark.createDataFrame(
+        [("75", 3, 2.5, 1.0, 0.5, 0.1, 9.0), ("13", 1, 7.0, 0.0, 0.0, 0.0, 7.0), (None, 1, 1.0, 0.0, 0.0, 0.0, 1.0)],
+        "dept string, nb_marches_it bigint, total_M_it double, total_M_logiciels double, "
+        "total_M_telecom double, total_M_materiel double, total_M_tous double")
+    a = serving.departments(df).collect()
+    b = serving.departments(df, region="SUD").collect()
+    assert a == b and [r.dept for r in a] == ["13", "75"]
+    assert all(r.region is None and r.population_2023 is None and r.euros_it_par_habitant is None for r in a)
+    assert serving.department_stats(df).first().asDict() == {"nb_departements": 2, "total_M_it_france": 9.5}
