@@ -27,7 +27,7 @@ BUYERS = [f"B{i:02d}" for i in range(6)]
 PROCS = ["Appel d'offres ouvert", "Appel d'offres restreint", "Procédure adaptée",
          "Marché passé sans publicité ni mise en concurrence préalable", "Procédure avec négociation",
          "Dialogue compétitif", None]
-PLACES = [None, ("75", "Code département"), ("971", "Code département"), ("2A", "Code département"),
+PLACES = [None, (None, "Code département"), ("75", "Code département"), ("971", "Code département"), ("2A", "Code département"),
           ("13001", "Code postal"), ("20000", "Code commune"), ("69003", "Code arrondissement"),
           ("FR", "Code pays"), ("00", "Code département"), ("CO123", "Code commune"), ("44", None)]
 CPVS = ["72000000", "72500000", "48000000", "30200000", "64200000", "32000000", "45000000", "7", None]
@@ -51,8 +51,9 @@ contract = st.fixed_dictionaries({
     "codeCPV": st.sampled_from(CPVS),
     "procedure": st.sampled_from(PROCS),
     "dateNotification": _date(),
-    "buyer": st.sampled_from(BUYERS + [None]),
-    "holders": st.one_of(st.none(), st.just([]), st.lists(st.sampled_from(HOLDERS), min_size=1, max_size=2)),
+    "buyer": st.sampled_from(BUYERS + [None, "NULL_ID"]),
+    "holders": st.one_of(st.none(), st.just([]),
+                         st.lists(st.sampled_from(HOLDERS + ["NULL_STRUCT", "NULL_ID"]), min_size=1, max_size=2)),
     "place": st.sampled_from(PLACES),
     "mods": st.one_of(st.none(), st.lists(st.tuples(_date(), amount), max_size=3)),
 })
@@ -65,8 +66,10 @@ def _rows(drawn):
             "id": f"C{i}",
             "montant": c["montant"], "dureeMois": c["dureeMois"], "objet": c["objet"],
             "codeCPV": c["codeCPV"], "procedure": c["procedure"], "dateNotification": c["dateNotification"],
-            "acheteur": None if c["buyer"] is None else {"id": c["buyer"]},
-            "titulaires": None if c["holders"] is None else [{"titulaire": {"id": h}} for h in c["holders"]],
+            "acheteur": None if c["buyer"] is None else {"id": None if c["buyer"] == "NULL_ID" else c["buyer"]},
+            "titulaires": None if c["holders"] is None else [
+                {"titulaire": None} if h == "NULL_STRUCT" else {"titulaire": {"id": None if h == "NULL_ID" else h}}
+                for h in c["holders"]],
             "lieuExecution": None if c["place"] is None else {"code": c["place"][0], "typeCode": c["place"][1]},
             "modifications": None if c["mods"] is None else [{"date_modif": d, "montant": m} for d, m in c["mods"]],
         })
