@@ -67,3 +67,21 @@ def test_no_python_udf_in_any_query(spark):
     for name, q in e.queries().items():
         p = plan(q(spark, SF))
         assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_contract_rows_are_hash_aggregated(landed):
+    import re
+
+    from tenderlake.plans import serving
+    t = landed.stg_titulaires
+    cases = {
+        "buyer_activity": (marts.buyer_activity(t), r"HashAggregate\(keys=\[acheteur_siret#\d+, annee#\d+\], "
+                                                    r"functions=\[partial_count\(1\)"),
+        "recurring_pairs": (marts.recurring_pairs(t), r"HashAggregate\(keys=\[acheteur_siret#\d+, siret#\d+, "
+                                                      r"groupe#\d+, nom_entreprise#\d+, annee#\d+\], "
+                                                      r"functions=\[partial_count\(1\)"),
+        "global_stats": (serving.global_stats(t), r"HashAggregate\(keys=\[[^\]]*gid#\d+\], "
+                                                  r"functions=\[partial_count\(1\)"),
+    }
+    for name, (df, pattern) in cases.items():
+        assert re.search(pattern, plan(df)), name
