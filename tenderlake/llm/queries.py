@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderlake.llm import packing, urls, warc
+from tenderlake.llm import exact, jaccard, packing, urls, warc
 from tenderlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as deduplicated WARC archives and read back."""
     return warc.archive_pages(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op6_cuckoo_dedup", """
+    WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                               'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
+         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among all documents."""
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op8_trie_jaccard")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy classes of all documents."""
+    return jaccard.linked_classes(table(spark, sf_dir, "documents"))
