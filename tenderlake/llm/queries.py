@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlake.llm import exact, jaccard, packing, urls, warc
+from tenderlake.llm import exact, jaccard, language, packing, quality, urls, warc
 from tenderlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy classes of all documents."""
     return jaccard.linked_classes(table(spark, sf_dir, "documents"))
+
+
+@register("op7_language_fusion")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: text, declared language and host prior."""
+    return language.identify_documents(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "declared", "lang", "posterior", "accepted")
+
+
+@register("op9_quality_qda")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
