@@ -49,14 +49,19 @@ def text_slices(column: pa.Array, limit: int = 1 << 20):
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, powers: Powers):
+def words(data: np.ndarray, offsets: np.ndarray, powers: Powers, plain: bool = False):
     """(hash, document, start, end) of each word: a run of bytes other than
-    0x20 and 0x09-0x0D, A-Z lower-cased, never across documents."""
+    0x20 and 0x09-0x0D, A-Z lower-cased, never across documents; ``plain``:
+    a run of letters, digits and bytes from 128 on."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, z
-    word = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if plain:
+        folded = data | np.uint8(32)
+        word = ((folded >= 97) & (folded <= 122)) | ((data >= 48) & (data <= 57)) | (data >= 128)
+    else:
+        word = ~((data == 32) | ((data >= 9) & (data <= 13)))
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
