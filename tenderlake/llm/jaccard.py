@@ -58,15 +58,15 @@ def set_ids(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches, k: int):
-    """doc_id, n_shingles, sid of each row."""
+    """doc_id, text_key, n_shingles, sid of each row."""
     powers = Powers()
     for b in batches:
         ids, texts = b.column(0), b.column(1)
         for lo, hi, data, offsets in text_slices(texts):
             values, counts = shingle_sets(data, offsets, powers, k)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(counts), pa.array(set_ids(values, counts).view(np.int64))],
-                names=["doc_id", "n_shingles", "sid"])
+                [ids.slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(counts), pa.array(set_ids(values, counts).view(np.int64))],
+                names=["doc_id", "text_key", "n_shingles", "sid"])
 
 
 class _Gather:
@@ -305,9 +305,10 @@ def _links(sets: DataFrame) -> DataFrame:
 
 
 def linked_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, text_key.
 
-    component_id is the smallest doc_id reachable by links. Null, empty and
+    component_id is the smallest doc_id reachable by links; text_key, a hash
+    of the text, tells rows of one doc_id apart. Null, empty and
     wordless texts have no shingles and only themselves; a null doc_id stays
     null and takes part under the ids of its class; rows that repeat a
     doc_id are judged each by its text. Other columns are ignored; an empty
@@ -316,7 +317,8 @@ def linked_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sets = cut(docs.mapInArrow(lambda it: _sets(it, k), "doc_id long, n_shingles long, sid long"), "sets")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    sets = cut(keyed.mapInArrow(lambda it: _sets(it, k), "doc_id long, text_key long, n_shingles long, sid long"), "sets")
     spread = docs.select("text").mapInArrow(lambda it: _smallest(it, k, buckets), POSTINGS)
     likely = cut(spread.groupBy("bucket").applyInArrow(_shared, "sid long, n long, shared long")
                  .groupBy("sid", "n").agg(F.sum("shared").alias("shared"))
@@ -333,14 +335,16 @@ def linked_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                   .select("sid", "doc_id", F.coalesce("component", "sid").alias("class")), "classes")
     low = classes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     known = cut(classes.join(low, "class").select("sid", "component_id"), "class_ids")
-    some = sets.where("n_shingles > 0").join(known, "sid").select("doc_id", "n_shingles", "component_id")
-    none = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    some = sets.where("n_shingles > 0").join(known, "sid").select("doc_id", "n_shingles", "component_id", "text_key")
+    none = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
     return some.unionByName(none)
 
 
 def one_per_class(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with its smallest doc_id, all columns.
+    """The rows of ``docs`` that stay, all columns: of each class those of its smallest doc_id.
 
-    Rows without a doc_id stay; of rows that repeat doc_id and text, all stay (exact dedup comes first)."""
-    gone = linked_classes(docs, k).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    Rows without a doc_id stay, and so do rows that repeat the one that
+    stays (exact dedup comes first)."""
+    gone = linked_classes(docs, k).where("component_id <> doc_id").select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["__id"]) & (F.xxhash64(docs["text"]) == gone["__key"]), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlake.llm import decontaminate, exact, jaccard, language, packing, quality, toxicity, urls, warc
+from tenderlake.llm import decontaminate, exact, jaccard, language, packing, quality, suffixes, toxicity, urls, warc
 from tenderlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +71,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_trie_jaccard")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-copy classes of all documents."""
-    return jaccard.linked_classes(table(spark, sf_dir, "documents"))
+    return jaccard.linked_classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @register("op7_language_fusion")
@@ -97,3 +97,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items held by documents."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op2_sparse_suffixes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that occur again, in all documents."""
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
