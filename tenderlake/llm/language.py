@@ -82,7 +82,7 @@ def _score(batches, logp):
         for lo, hi, data, offsets in text_slices(b.column("text")):
             bins, doc = _trigrams(data, offsets)
             n = np.bincount(doc, minlength=hi - lo)
-            ll = np.stack([np.bincount(doc, weights=flat[k][bins], minlength=hi - lo) for k in range(kinds)], axis=1)
+            ll = np.stack([np.bincount(doc, weights=flat[k][bins], minlength=hi - lo) for k in range(kinds)], axis=1).astype(float)
             ll *= (np.minimum(n, TEXT_WEIGHT) / np.maximum(n, 1))[:, None]
             rows = ids.slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(

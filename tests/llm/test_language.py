@@ -1,0 +1,128 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tenderlake.llm import language as lg
+from tenderlake.llm.queries import op7
+
+EN = "the quick brown fox jumps over the lazy dog and then it was there with them "
+DE = "der schnelle braune fuchs springt und die katze ist nicht mehr mit ihnen dort "
+FR = "le renard brun saute par dessus le chien paresseux et puis il est avec eux "
+ROWS = [(i, t * 3, x, s) for i, (t, x, s) in enumerate(
+    [(EN, "en", "a.org"), (DE, "de", "b.de"), (FR, "fr", "c.fr"), (EN[5:], "en-US", "a.org"), (DE[9:], "DE", "b.de"), (FR[3:], "fr_CA", "c.fr")] * 4)]
+
+
+def identify(df):
+    return {r["id"]: r for r in lg.identify_documents(df).collect()}
+
+
+def test_text_wins_over_a_wrong_declaration(spark, make_docs):
+    got = identify(make_docs(ROWS + [(90, EN, "de", "b.de"), (91, DE, None, None), (92, FR, "xx", "a.org")]))
+    assert all(got[r[0]]["lang"] == r[2][:2].lower() and got[r[0]]["accepted"] for r in ROWS)
+    assert [got[i]["lang"] for i in (90, 91, 92)] == ["en", "de", "fr"]
+
+
+def test_other_evidence_decides_where_text_says_nothing(spark, make_docs):
+    got = identify(make_docs(ROWS + [(90, "", "de", "zz.de"), (91, None, None, "c.fr"), (92, "123 !", None, "b.de"), (93, "a", None, "new.fr")]))
+    assert (got[90]["lang"], got[91]["lang"], got[92]["lang"], got[93]["lang"]) == ("de", "fr", "de", "fr")
+    assert not got[90]["accepted"] and not got[91]["accepted"] and not got[92]["accepted"]
+
+
+def test_gibberish_is_unknown(spark, make_docs):
+    junk = " ".join("qxzvkj wqqxz jjkzv xkcdq zzqwx vvkqj".split() * 5)
+    assert identify(make_docs(ROWS + [(90, junk, "en", "a.org")]))[90]["lang"] == lg.UNKNOWN
+
+
+def plain_identify(rows, languages=lg.LANGUAGES):
+    """The same evidence, row by row."""
+    def bins(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        low = [c + 32 if 65 <= c <= 90 else c for c in data.tolist()]
+        low = [c if 97 <= c <= 122 or c >= 128 else 32 for c in low]
+        out = []
+        for a, b, c in zip(low, low[1:], low[2:]):
+            if not (a == b == 32 or b == c == 32):
+                out.append((((a << 16 | b << 8 | c) * 2654435761) % 2 ** 32) >> 18)
+        return out
+
+    def tag(x):
+        import re
+        m = re.match(r"^\s*([A-Za-z]{2,3})(?:[-_]|\s*$)", x or "")
+        return m[1].lower() if m else ""
+
+    kinds = len(languages) + 1
+    counts = [Counter() for _ in range(kinds)]
+    for _, t, d, _ in rows:
+        if tag(d) in languages:
+            counts[languages.index(tag(d))].update(bins(t))
+    totals = [sum(c.values()) + 0.5 * lg.BINS for c in counts]
+    lls, guesses = [], []
+    for _, t, _, _ in rows:
+        b = bins(t)
+        w = min(len(b), lg.TEXT_WEIGHT) / max(len(b), 1)
+        ll = [w * sum(float(np.float32(math.log((counts[k][x] + 0.5) / totals[k]))) for x in b) for k in range(kinds)]
+        lls.append(ll)
+        guesses.append(ll.index(max(ll)) if b else None)
+    suffix = lambda h: (h or "").rpartition(".")[2] if "." in (h or "") else ""
+    hosts, sufs, everything = {}, {}, Counter()
+    for (_, _, _, h), g in zip(rows, guesses):
+        if g is not None:
+            hosts.setdefault(h or "", Counter())[g] += 1
+            sufs.setdefault(suffix(h), Counter())[g] += 1
+            everything[g] += 1
+    out = []
+    for (i, t, d, h), ll, g in zip(rows, lls, guesses):
+        w = []
+        for k in range(kinds):
+            own = 1.0 if g == k else 0.0
+            hc, sc = hosts.get(h or "", Counter()), sufs.get(suffix(h), Counter())
+            base = (everything[k] - own + 1) / (sum(everything.values()) + kinds)
+            suf = (max(sc[k] - own, 0) + lg.SUFFIX_SMOOTHING * base) / (sum(sc.values()) + lg.SUFFIX_SMOOTHING)
+            prior = (max(hc[k] - own, 0) + lg.HOST_SMOOTHING * suf) / (sum(hc.values()) + lg.HOST_SMOOTHING)
+            prior = prior if k < kinds - 1 else lg.UNKNOWN_PRIOR
+            say = 1.0
+            if tag(d) in languages:
+                say = 1 / len(languages) if k == kinds - 1 else lg.DECLARED_RIGHT if tag(d) == languages[k] else (1 - lg.DECLARED_RIGHT) / (len(languages) - 1)
+            w.append(ll[k] + math.log(prior) + math.log(say))
+        best = w.index(max(w))
+        p = 1 / sum(math.exp(x - max(w)) for x in w)
+        out.append((i, ([*languages, lg.UNKNOWN])[best], p, best < kinds - 1 and p >= 0.5 and g is not None))
+    return out
+
+
+def check(got, want):
+    assert len(got) == len(want)
+    for i, lang, p, accepted in want:
+        assert got[i]["lang"] == lang and got[i]["accepted"] == accepted
+        assert got[i]["posterior"] == pytest.approx(p, rel=1e-6)
+
+
+def test_matches_plain_version(spark, make_docs):
+    rows = ROWS + [(90, EN, "de", "b.de"), (91, DE, None, None), (92, "x", "fr", "a.org"), (93, None, "es", "q.es"), (94, "Ärger", "de", "n.o.de")]
+    check(identify(make_docs(rows)), plain_identify(rows))
+
+
+def test_given_documents(spark, sf):
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    check({r["doc_id"]: r for r in op7(spark, sf).collect()}, plain_identify(rows))
+
+
+def test_rejected_rows_go(spark, make_docs):
+    df = make_docs(ROWS + [(90, "", "de", "b.de"), (90, DE, "de", "b.de"), (None, None, "en", "a.org"), (None, EN, "en", "a.org"), (91, EN * 2000, "en", "a.org")])
+    kept = lg.drop_rejected(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"][:4]) for r in kept.collect() if r["doc_id"] in (None, 90, 91)), key=str) == [(90, "der "), (91, "the "), (None, "the ")]
+
+
+def test_pages(spark):
+    pages = spark.createDataFrame([(1, "http://www.x.de/a", f'<html LANG="de-AT"><script>var the = 1;</script><p>{DE}</p>'), (2, None, None),
+                                   (3, "http://y.org/", f"<html lang=en><b>{EN}")], "page_id long, url string, html string")
+    got = {r["id"]: (r["declared"], r["lang"], r["accepted"]) for r in lg.identify_pages(pages).collect()}
+    assert got[1] == ("de", "de", True) and got[3] == ("en", "en", True) and got[2][2] is False
+
+
+def test_empty_table(spark, make_docs):
+    assert lg.identify_documents(make_docs([])).count() == 0 and lg.drop_rejected(make_docs([])).count() == 0

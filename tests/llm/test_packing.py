@@ -1,0 +1,103 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings, strategies as st
+from tokenizers import Tokenizer
+
+from tenderlake.llm import packing
+from tenderlake.llm.queries import op4, tokenizer_path
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def check(pieces, docs, tokenizer, capacity=2048):
+    ids = {i: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in docs}
+    by_doc, by_seq = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p["doc_id"], []).append((p["start"], p["length"], p["ids_crc32"], p["doc_tokens"], p["ids"]))
+        by_seq.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert set(by_doc) == set(ids)
+    for i, parts in by_doc.items():
+        at = 0
+        for start, length, crc, total, raw in sorted(parts, key=lambda x: x[:4]):
+            want = ids[i][start:start + length].tobytes()
+            assert (start, total, crc) == (at, len(ids[i]), zlib.crc32(want)) and length > 0
+            assert raw is None or bytes(raw) == want
+            at += length
+        assert at == len(ids[i])
+    padding = 0
+    for parts in by_seq.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+        padding += 0 if at & (at - 1) == 0 else capacity - at
+    return padding
+
+
+ODD = ["", None, " \n\t ", "A", "don't we'll 'tis rock'n'roll", "<|endoftext|> x <|startoftext|>", "a\x1cb \x1d", "é\u0301 x\u00a0y\u2028z", "İI ΑΣ ς ß ŉ Ǆ × ÷",
+       "x1y22 #$% (word) \"q\",... a-b_c", "中文 かな 한글 🙂", "\u0085 a \x0b b", "word " * 5000, "z" * 9000, "1" * 3000]
+
+
+def test_pieces_of_odd_documents(spark, make_docs, tokenizer):
+    docs = list(enumerate(ODD)) + [(100 + i, "some words here, again. " * i) for i in range(60)]
+    pieces = packing.pack_documents(make_docs(docs), tokenizer_path()).collect()
+    assert check(pieces, docs, tokenizer) == 0
+
+
+def test_repeated_rows_and_null_ids(spark, make_docs):
+    pieces = packing.pack_documents(make_docs([(1, "a b"), (1, "a b"), (None, "c")]), tokenizer_path(), keep_ids=False).collect()
+    assert sum(p["length"] for p in pieces if p["doc_id"] == 1) == 6
+    assert sum(p["length"] for p in pieces if p["doc_id"] is None) == 2
+
+
+def test_empty_table(spark, make_docs):
+    assert packing.pack_documents(make_docs([]), tokenizer_path()).count() == 0
+
+
+def test_given_documents(spark, sf, tokenizer):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    pieces = [r.asDict() | {"ids": None} for r in op4(spark, sf).collect()]
+    assert check(pieces, docs, tokenizer) == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=80))
+def test_block_holds_each_token_once(sizes):
+    sequences = packing.pack_block(np.array(sizes, np.int64), 64)
+    covered = {}
+    for s in sequences:
+        for i, start, length in s:
+            covered.setdefault(i, []).append((start, length))
+    for i, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(covered.pop(i)):
+            assert start == at
+            at += length
+        assert at == n
+    assert not covered
+    loads = [sum(p[2] for p in s) for s in sequences]
+    rest = [x for x in loads if x < 64]
+    assert max(loads, default=0) <= 64 and all(x & (x - 1) == 0 for x in rest) and len(set(rest)) == len(rest)
+
+
+def test_differencing_is_near_equal():
+    sizes = np.random.default_rng(1).integers(1, 2048, 600)
+    where, loads = packing.difference(sizes, 150)
+    assert np.array_equal(np.bincount(where, weights=sizes, minlength=150), loads)
+    assert loads.max() - loads.min() < 0.2 * loads.mean()
+    _, loads = packing.windows_of(sizes, 2048)
+    assert loads.max() <= 2048 and len(loads) < 1.1 * sizes.sum() / 2048
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abcABC  \n'.,!<|>019_-éÉßİñ×\u0301\x1c\x85"), st.characters(codec="utf-8")), max_size=30), max_size=4))
+def test_encoder_is_the_tokenizer(texts):
+    e = packing.TextEncoder(tokenizer_path())
+    assert e.many(pa.array(texts, pa.string())) == [e.raw(t) for t in texts]

@@ -1,0 +1,71 @@
+import random
+
+import brute
+import pytest
+
+from tenderlake.llm import suffixes
+
+VOCAB = [f"w{i}" for i in range(2000)] + ["the", "of"] * 200
+
+
+def spans(df):
+    return {(r["doc_id"], r["start_word"], r["end_word"]) for r in suffixes.repeated_passages(df).collect()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_planted_passages(spark, make_docs, seed):
+    r = random.Random(seed)
+    passages = [r.choices(VOCAB, k=r.randrange(50, 130)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        w = r.choices(VOCAB, k=r.randrange(0, 200))
+        if i % 2:
+            at = r.randrange(len(w) + 1)
+            w[at:at] = r.choice(passages)
+        rows.append((i, r.choice([" ", "\n"]).join(w).title()))
+    assert spans(make_docs(rows)) == brute.passages(rows)
+
+
+def test_one_common_passage_over_many_tasks(spark, make_docs):
+    r = random.Random(9)
+    passage = r.choices(VOCAB, k=60)
+    rows = [(i, " ".join(r.choices(VOCAB, k=30) + passage + r.choices(VOCAB, k=30))) for i in range(150)]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert spans(make_docs(rows)) == brute.passages(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_odd_rows(spark, make_docs):
+    r = random.Random(3)
+    long, other = " ".join(r.choices(VOCAB, k=80)), " ".join(r.choices(VOCAB, k=49))
+    rows = [(1, None), (2, ""), (3, other), (4, other), (5, long), (6, "X " + long.upper()), (None, long), (8, long + " y " + long),
+            (9, " ".join(r.choices(VOCAB, k=30_000)) + " " + long)]
+    want = brute.passages([x for x in rows if x[0] is not None])
+    assert spans(make_docs(rows)) == want
+    first = {(x["doc_id"], x["first_doc"]) for x in suffixes.repeated_passages(make_docs(rows)).collect()}
+    assert first == {(5, 5), (6, 5), (8, 5), (9, 5)}
+    same = spans(make_docs([(1, long), (1, long)]))
+    assert same == {(1, 0, 80)}
+
+
+def test_repeats_are_cut_but_for_the_first(spark, make_docs):
+    r = random.Random(4)
+    p = " ".join(r.choices(VOCAB, k=70))
+    got = {x["doc_id"]: x["text"] for x in suffixes.cut_repeats(make_docs([(1, "a " + p + " b"), (2, "c\n" + p + "\nd é"), (3, None)])).collect()}
+    assert got == {1: "a " + p + " b", 2: "c\nd é", 3: None}
+
+
+def test_empty_table(spark, make_docs):
+    assert spans(make_docs([])) == set()
+
+
+def test_given_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute.passages([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = spans(docs)
+    words = lambda s: {(d, i) for d, a, z in s for i in range(a, z)}
+    assert {d for d, _, _ in got} == {d for d, _, _ in want}
+    assert words(got) <= words(want) and len(words(got)) >= 0.999 * len(words(want))
