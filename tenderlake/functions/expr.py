@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Amounts are summed in fixed point, so a total does not depend on the order in
-# which partitions are merged. 20 digits with 4 decimals holds 1e16 euros.
+# which partitions are merged. 20 digits with 4 decimals holds 1e16 euros (finer
+# decimals are rounded to the fourth); what doesn't fit is summed apart.
 AMOUNT_DECIMAL = T.DecimalType(20, 4)
 
 # The year window the marts accept (compared as text).
@@ -40,19 +41,32 @@ def round_half_away(col: Column | str, digits: int = 0) -> Column:
     return F.when(special, x).otherwise(F.signum(x) * whole / F.lit(scale))
 
 
+def amount(col: Column | str) -> Column:
+    """A double without NaN: a value that is no number is a missing one."""
+    return F.nanvl(_c(col).cast("double"), F.lit(None).cast("double"))
+
+
 def to_amount(col: Column | str) -> Column:
-    """Amount as fixed point; NaN, infinities and out-of-range values give NULL."""
+    """Amount as fixed point, for amounts that are known to lie within 1e16."""
     return _c(col).try_cast(AMOUNT_DECIMAL)
 
 
 def sum_eur(col: Column | str) -> Column:
-    """Exact (fixed-point) sum of an amount column, returned as double."""
-    return F.sum(to_amount(col)).cast("double")
+    """Sum of an amount column as double; NULL without any amount.
+
+    Exact in fixed point; amounts that the fixed point can't hold (1e16 and
+    more, infinities) are summed as doubles and added, so every counted
+    amount is in the sum."""
+    c = amount(col)
+    fixed = to_amount(c)
+    zero = F.lit(0.0)
+    return F.when(F.count(c) > 0, F.coalesce(F.sum(fixed).cast("double"), zero)
+                  + F.coalesce(F.sum(F.when(fixed.isNull(), c)), zero))
 
 
 def mean_eur(col: Column | str) -> Column:
     """Mean of an amount column: exact sum divided by the non-null count."""
-    c = _c(col)
+    c = amount(col)
     return sum_eur(c) / F.count(c)
 
 

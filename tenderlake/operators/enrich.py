@@ -16,39 +16,38 @@ from tenderlake.operators import explore
 UNKNOWN_NAME = "INCONNU"
 AUTO_SOURCE = "api_auto"
 
-MAX_BROADCAST_ROWS = 100000
+def _names_by_id(names: DataFrame) -> DataFrame:
+    """One name (the smallest) per trimmed id."""
+    return (names.select(F.trim(F.col("siret")).alias("siret"), "nom").filter(F.col("siret").isNotNull())
+            .groupBy("siret").agg(F.min("nom").alias("nom")))
 
 
-def _names_by_id(names: DataFrame) -> DataFrame:
-    """Lookup rows keyed by the trimmed id; callers keep the smallest name
-    per id, so a duplicated id cannot multiply rows."""
-    return names.select(F.trim(F.col("siret")).alias("siret"), "nom")
+def _named(rows: DataFrame, names_by_id: DataFrame) -> DataFrame:
+    return (rows.join(names_by_id, "siret", "left")
+            .withColumn("nom", F.coalesce(F.col("nom"), F.lit(UNKNOWN_NAME))))
 
 
 # E1
 def resolve_names(ids: DataFrame, names: DataFrame) -> DataFrame:
-    """Attach a name to each id row (left join; one name per id kept)."""
-    resolved = ids.join(_names_by_id(names), "siret", "left")
-    keys = [c for c in ids.columns]
-    return (resolved.groupBy(*keys)
-            .agg(F.coalesce(F.min("nom"), F.lit(UNKNOWN_NAME)).alias("nom")))
+    """Attach a name to each id row; rows are neither merged nor multiplied."""
+    return _named(ids, _names_by_id(names))
 
 
 # E2
 def identify_companies(raw: DataFrame, names: DataFrame, limit: int = 100) -> DataFrame:
-    """Top IT holders with their names.
+    """Top IT holders with their names, largest total first.
 
-    The top list has at most ``limit`` rows (100 by default), a bound fixed
-    before the job runs, so it is the broadcast side and the name table is
-    only streamed; above ``MAX_BROADCAST_ROWS`` the join is not hinted.
+    The top list has at most ``limit`` rows, a bound fixed before the job
+    runs: it is broadcast to the name table, which is only streamed, and the
+    names found (one per id) join the list again.
     """
     top = explore.companies_to_identify(raw, limit)
-    # broadcast only under a fixed row bound; beyond it a plain join
-    small = F.broadcast(top) if limit <= MAX_BROADCAST_ROWS else top
-    joined = _names_by_id(names).join(small, "siret", "right")
-    return (joined.groupBy("siret", "nb", "total_M")
-            .agg(F.coalesce(F.min("nom"), F.lit(UNKNOWN_NAME)).alias("nom"))
-            .select("siret", "nom", F.col("nb").alias("nb_marches"), "total_M"))
+    found = (names.select(F.trim(F.col("siret")).alias("siret"), "nom")
+             .join(F.broadcast(top.select("siret")), "siret")
+             .groupBy("siret").agg(F.min("nom").alias("nom")))
+    return (_named(top, found)
+            .select("siret", "nom", F.col("nb").alias("nb_marches"), "total_M")
+            .orderBy(F.col("total_M").desc_nulls_last(), "siret"))
 
 
 # E3
@@ -73,11 +72,10 @@ def enrich_unmapped(raw: DataFrame, groups: DataFrame, names: DataFrame,
                     keywords=KEYWORDS_ENRICHMENT) -> DataFrame:
     """Unmapped holders above the threshold, named and mapped to a group."""
     unmapped = explore.top_unmapped_companies(raw, groups)
-    named = (unmapped.join(_names_by_id(names), "siret", "left")
-             .groupBy("siret", "total_M")
-             .agg(F.coalesce(F.min("nom"), F.lit(UNKNOWN_NAME)).alias("nom_entreprise")))
-    return named.select("siret", "nom_entreprise",
-                        map_group(F.col("nom_entreprise"), keywords).alias("groupe"), "total_M")
+    return (_named(unmapped, _names_by_id(names))
+            .select("siret", F.col("nom").alias("nom_entreprise"),
+                    map_group(F.col("nom"), keywords).alias("groupe"), "total_M")
+            .orderBy(F.col("total_M").desc_nulls_last(), "siret"))
 
 
 # S8
@@ -89,7 +87,7 @@ def append_companies(existing: DataFrame, new: DataFrame) -> DataFrame:
     cols = ["siret", "nom_entreprise", "groupe"]
     fresh = (new.select(F.trim(F.col("siret")).alias("siret"), "nom_entreprise", "groupe")
              .filter(F.col("siret").isNotNull())
-             .join(existing.select("siret").filter(F.col("siret").isNotNull()), "siret", "left_anti")
+             .join(existing.select(F.trim("siret").alias("siret")).filter(F.col("siret").isNotNull()), "siret", "left_anti")
              .groupBy("siret")
              .agg(F.min(F.struct("nom_entreprise", "groupe")).alias("r"))
              .select("siret", "r.nom_entreprise", "r.groupe"))

@@ -50,16 +50,17 @@ def top_unmapped_companies(raw: DataFrame, groups: DataFrame,
 
     Aggregated per holder first (partial aggregation), then an explicit
     anti-join on the holder id, which reuses the aggregate's partitioning.
-    The threshold applies to the unrounded total.
+    The threshold applies to the unrounded total; largest total first.
     """
     agg = (_it_rows(raw, UNMAPPED_AMOUNT_MAX).filter(F.col("siret").isNotNull())
            .groupBy("siret").agg(F.count(F.lit(1)).alias("nb"),
                                  F.sum(to_amount("montant")).alias("s")))
-    known = groups.select(F.col("siret").alias("siret")).filter(F.col("siret").isNotNull())
+    known = groups.select(F.trim("siret").alias("siret")).filter(F.col("siret").isNotNull())
     s = F.col("s").cast("double")
     return (agg.join(known, "siret", "left_anti")
             .filter(s / F.lit(1e6) > F.lit(min_millions))
-            .select("siret", "nb", round_half_away(s / F.lit(1e6), 1).alias("total_M")))
+            .select("siret", "nb", round_half_away(s / F.lit(1e6), 1).alias("total_M"))
+            .orderBy(F.col("total_M").desc_nulls_last(), "siret"))
 
 
 # A12

@@ -92,34 +92,29 @@ def ranking_by_group_year(stg_titulaires: DataFrame, approx_distinct: bool = Fal
 def buyer_activity(stg_titulaires: DataFrame) -> DataFrame:
     """Per buyer: volume, active years, IT share and publication profile.
 
-    Text min/max (first and last year) cannot live in a hash-aggregation
-    buffer, so the contract rows are first hash-aggregated per (buyer, year);
-    the per-buyer step, including the year min/max, runs on that small
-    result. Distinct IT contracts are counted on their own (hash on
-    (buyer, id), then per buyer) and joined back on the buyer, NULL-safe.
+    One pass over the contracts: they are hash-aggregated per (buyer, year,
+    IT contract id), where all other contracts of a buyer's year are one
+    row. The per-buyer step with its distinct counts and the text min/max of
+    the years, which a hash aggregation can't buffer, runs on that.
     """
     base = stg_titulaires.filter(~F.col("flag_montant_suspect") & ~F.col("flag_date_suspecte")
                                  & in_year_window("annee"))
-    is_it = F.col("famille_cpv") == IT_FAMILY
-    per_year = base.groupBy("acheteur_siret", "annee").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(to_amount("montant_eur")).alias("s"),
-        F.sum(to_amount(F.when(is_it, F.col("montant_eur")).otherwise(F.lit(0.0)))).alias("s_it"))
-    per_buyer = (per_year.groupBy("acheteur_siret").agg(
+    is_it = F.coalesce(F.col("famille_cpv") == IT_FAMILY, F.lit(False))
+    cells = base.groupBy("acheteur_siret", "annee", is_it.alias("is_it"),
+                         F.when(is_it, F.col("marche_id")).alias("it_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(to_amount("montant_eur")).alias("s"))
+    per_buyer = (cells.groupBy("acheteur_siret").agg(
         F.sum("n").alias("nb_marches_total"),
-        F.count("annee").alias("nb_annees_actives"),  # one row per (buyer, year)
+        F.countDistinct("annee").alias("nb_annees_actives"),
+        F.countDistinct("it_id").alias("nb_marches_it"),
         round_half_away(F.sum("s").cast("double") / F.lit(1e6), 2).alias("total_millions_eur"),
-        round_half_away(F.sum("s_it").cast("double") / F.lit(1e6), 2).alias("total_millions_it"),
+        round_half_away(F.coalesce(F.sum(F.when(F.col("is_it"), F.col("s"))).cast("double"), F.lit(0.0)) / F.lit(1e6), 2)
+        .alias("total_millions_it"),
         F.min("annee").alias("premiere_annee"),
         F.max("annee").alias("derniere_annee"))
         .filter(F.col("nb_marches_total") >= 3))
-    it_ids = (base.filter(is_it & F.col("marche_id").isNotNull())
-              .select("acheteur_siret", "marche_id").distinct()
-              .groupBy(F.col("acheteur_siret").alias("it_buyer")).agg(F.count(F.lit(1)).alias("n_it")))
-    joined = per_buyer.join(it_ids, per_buyer.acheteur_siret.eqNullSafe(it_ids.it_buyer), "left")
-    return joined.select(
-        "acheteur_siret", "nb_marches_total", "nb_annees_actives",
-        F.coalesce(F.col("n_it"), F.lit(0)).alias("nb_marches_it"),
+    return per_buyer.select(
+        "acheteur_siret", "nb_marches_total", "nb_annees_actives", "nb_marches_it",
         "total_millions_eur", "total_millions_it", "premiere_annee", "derniere_annee",
         label_bands(F.col("nb_annees_actives"), BUYER_PROFILE_BANDS, BUYER_PROFILE_DEFAULT)
         .alias("profil_publication"))
@@ -169,8 +164,9 @@ def department_of(place) -> F.Column:
 def spending_by_department(raw: DataFrame) -> DataFrame:
     """Spending per department, read from the raw register (not staging).
 
-    Departments are few, so the group-by is almost entirely map-side; the
-    department filter runs before the aggregation.
+    Departments and families are few, so contracts are summed per
+    (department, family) almost entirely map-side, one sum per row; the few
+    cells are then folded into columns.
     """
     place = F.col("lieuExecution")
     fam = F.left(F.col("codeCPV"), F.lit(2))
@@ -179,12 +175,16 @@ def spending_by_department(raw: DataFrame) -> DataFrame:
             .select(department_of(place).alias("dept"), fam.alias("fam"), F.col("montant")))
     rows = rows.filter(F.col("dept").isNotNull() & (F.length("dept") == 2)
                        & ~F.col("dept").isin(*EXCLUDED_DEPTS))
-    aggs = [F.count_if(F.col("fam") == IT_FAMILY).alias("nb_marches_it")]
-    for family, name in GEO_FAMILIES:
-        aggs.append(_millions(F.when(F.col("fam") == family, F.col("montant")).otherwise(F.lit(0.0)), 2)
-                    .alias(name))
-    aggs.append(_millions("montant", 2).alias("total_M_tous"))
-    return rows.groupBy("dept").agg(*aggs)
+    cells = rows.groupBy("dept", "fam").agg(F.count(F.lit(1)).alias("n"), F.sum(to_amount("montant")).alias("s"))
+
+    def millions(cond):
+        kept = F.col("s") if cond is None else F.when(cond, F.col("s"))
+        return round_half_away(F.coalesce(F.sum(kept).cast("double"), F.lit(0.0)) / F.lit(1e6), 2)
+
+    return cells.groupBy("dept").agg(
+        F.coalesce(F.sum(F.when(F.col("fam") == IT_FAMILY, F.col("n"))), F.lit(0)).alias("nb_marches_it"),
+        *[millions(F.col("fam") == family).alias(name) for family, name in GEO_FAMILIES],
+        millions(None).alias("total_M_tous"))
 
 
 # --------------------------------------------------------------------- A5
@@ -236,51 +236,32 @@ def anomalies(stg_marches: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------- A7
-ISO_DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-
-
-def _iso_text(code):
-    t = F.lpad(code.cast("string"), 8, "0")
-    return F.concat(F.substring(t, 1, 4), F.lit("-"), F.substring(t, 5, 2), F.lit("-"), F.substring(t, 7, 2))
-
-
 def recurring_pairs(stg_titulaires: DataFrame) -> DataFrame:
     """Buyer/holder pairs meeting on 5 or more IT contracts.
 
-    First and last notification dates are text min/max. Text cannot sit in a
-    hash-aggregation buffer, so ISO dates (yyyy-MM-dd, the register's format)
-    are aggregated as yyyyMMdd numbers, which order exactly like the text;
-    any other date text goes through a separate exact branch (normally empty)
-    joined back on the pair. The contract rows are thus hash-aggregated.
+    First and last notification dates are text min/max, which a hash
+    aggregation can't buffer: contracts are hash-aggregated per (pair, year,
+    date text) first, and the pair's min, max and distinct years come from
+    that smaller result. One scan, no join.
     """
     keys = ["acheteur_siret", "siret", "groupe", "nom_entreprise"]
     base = stg_titulaires.filter(~F.col("flag_montant_suspect") & in_year_window("annee")
                                  & (F.col("famille_cpv") == IT_FAMILY)
                                  & F.col("siret").isNotNull() & F.col("acheteur_siret").isNotNull())
-    d = F.col("date_notification")
-    iso = d.rlike(ISO_DATE_PATTERN)
-    code = F.when(iso, F.regexp_replace(d, "-", "").cast("long"))
-    agg = (base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("nb_marches"),
+    days = base.groupBy(*keys, "annee", "date_notification").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(to_amount("montant_eur")).alias("s"))
+    total = F.sum("s").cast("double")
+    agg = (days.groupBy(*keys).agg(
+        F.sum("n").alias("nb_marches"),
         F.countDistinct("annee").alias("nb_annees_communes"),
-        _millions("montant_eur", 2).alias("total_millions_eur"),
-        F.min(code).alias("iso_min"),
-        F.max(code).alias("iso_max"),
-        round_half_away(mean_eur("montant_eur") / F.lit(1e3), 1).alias("montant_moyen_milliers"))
+        round_half_away(total / F.lit(1e6), 2).alias("total_millions_eur"),
+        F.min("date_notification").alias("premier_marche"),
+        F.max("date_notification").alias("dernier_marche"),
+        round_half_away(total / F.sum("n") / F.lit(1e3), 1).alias("montant_moyen_milliers"))
         .filter(F.col("nb_marches") >= 5))
-    other = (base.filter(d.isNotNull() & ~iso)
-             .groupBy(*[F.col(k).alias("o_" + k) for k in keys])
-             .agg(F.min(d).alias("o_min"), F.max(d).alias("o_max")))
-    cond = None
-    for k in keys:
-        c = agg[k].eqNullSafe(other["o_" + k])
-        cond = c if cond is None else cond & c
-    joined = agg.join(other, cond, "left")
-    return joined.select(
+    return agg.select(
         "acheteur_siret", F.col("siret").alias("titulaire_siret"), "groupe", "nom_entreprise",
-        "nb_marches", "nb_annees_communes", "total_millions_eur",
-        F.least(_iso_text(F.col("iso_min")), F.col("o_min")).alias("premier_marche"),
-        F.greatest(_iso_text(F.col("iso_max")), F.col("o_max")).alias("dernier_marche"),
+        "nb_marches", "nb_annees_communes", "total_millions_eur", "premier_marche", "dernier_marche",
         "montant_moyen_milliers",
         label_bands(F.col("nb_marches"), RECURRENCE_BANDS, RECURRENCE_DEFAULT).alias("niveau_recurrence"))
 
@@ -295,7 +276,8 @@ def overruns(staged: DataFrame) -> DataFrame:
     """
     # amendments that can be placed in time and carry an amount
     dated = F.filter(F.col("modifications"),
-                     lambda m: m.getField("montant").isNotNull() & m.getField("date_modif").isNotNull())
+                     lambda m: m.getField("montant").isNotNull() & ~F.isnan(m.getField("montant"))
+                     & m.getField("date_modif").isNotNull())
     last = F.array_max(dated)
     base = (staged.filter(~F.col("flag_montant_suspect"))
             .select("marche_id", "acheteur_siret", F.col("titulaire_siret_1").alias("titulaire_siret"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tenderlake.functions.expr import sum_eur, year_text
+from tenderlake.functions.expr import amount, mean_eur, sum_eur, year_text
 
 # Columns that must not be NULL; length of a company id.
 NOT_NULL_COLUMNS = ("marche_id", "montant_eur", "annee")
@@ -15,12 +15,12 @@ ID_LENGTH = 14
 # S2
 def load_profile(raw: DataFrame) -> DataFrame:
     """Row count and amount statistics after a load."""
-    m = F.col("montant")
+    m = amount("montant")
     return raw.agg(
         F.count(F.lit(1)).alias("nb_lignes"),
         F.count(m).alias("total"),
         sum_eur(m).alias("total_euros"),
-        (sum_eur(m) / F.count(m)).alias("moyenne"),
+        mean_eur(m).alias("moyenne"),
         F.min(m).alias("min_montant"),
         F.max(m).alias("max_montant"),
         F.count_if(m <= F.lit(1.0)).alias("nb_montant_max_1"))
@@ -44,12 +44,17 @@ def unparsable_dates(raw: DataFrame) -> DataFrame:
 
 # C3
 def reference_key_check(groups: DataFrame) -> DataFrame:
-    """Blank, wrong-length and duplicated ids of the group reference."""
-    per_id = groups.groupBy("siret").agg(F.count(F.lit(1)).alias("n"))
-    sid = F.col("siret")
-    blank = sid.isNull() | (F.trim(sid) == "")
+    """Blank, wrong-length, duplicated and blank-padded ids of the group reference.
+
+    Ids are compared without surrounding blanks, as the group join does; an
+    id that carries some is reported as SPACED."""
+    sid = F.coalesce(F.trim("siret"), F.lit(""))
+    per_id = groups.select(sid.alias("siret"), (sid != F.col("siret")).alias("spaced")).groupBy("siret").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("spaced").alias("spaced"))
+    blank = F.col("siret") == ""
     issues = F.array_compact(F.array(
         F.when(blank, F.lit("BLANK")),
-        F.when(~blank & (F.length(F.trim(sid)) != ID_LENGTH), F.lit("LENGTH")),
-        F.when(F.col("n") > 1, F.lit("DUPLICATE"))))
+        F.when(~blank & (F.length("siret") != ID_LENGTH), F.lit("LENGTH")),
+        F.when(F.col("n") > 1, F.lit("DUPLICATE")),
+        F.when(~blank & (F.col("spaced") > 0), F.lit("SPACED"))))
     return per_id.select("siret", F.explode(issues).alias("issue"), "n")

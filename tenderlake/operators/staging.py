@@ -70,19 +70,26 @@ def stg_marches(raw: DataFrame) -> DataFrame:
 
 
 def clean_groups(groups: DataFrame) -> DataFrame:
-    """Group reference with blank ids dropped and one row per id.
+    """Group reference with trimmed ids, blank ones dropped, one row per id.
 
     A duplicated id would multiply contracts in the left join; the row kept
-    is the smallest (groupe, nom_entreprise), so the choice is deterministic.
+    is the smallest (groupe, nom_entreprise), absent values last, so the
+    choice is deterministic.
     """
-    sid = F.col("siret")
-    return (groups.filter(sid.isNotNull() & (F.trim(sid) != ""))
+    key = F.struct(F.col("groupe").isNull().alias("no_group"), "groupe",
+                   F.col("nom_entreprise").isNull().alias("no_name"), "nom_entreprise")
+    return (groups.select(F.trim("siret").alias("siret"), "nom_entreprise", "groupe")
+            .filter(F.length("siret") > 0)
             .groupBy("siret")
-            .agg(F.min(F.struct("groupe", "nom_entreprise")).alias("g"))
+            .agg(F.min(key).alias("g"))
             .select("siret", F.col("g.nom_entreprise").alias("nom_entreprise"),
                     F.col("g.groupe").alias("groupe")))
 
 
+#: parts that a holder's contracts are dealt into where the reference is cleaned in line
+HOLDER_PARTS = 16
+
+
 def it_category(famille: F.Column) -> F.Column:
     out = None
     for fam, label in IT_CATEGORY:
@@ -90,33 +97,52 @@ def it_category(famille: F.Column) -> F.Column:
     return out.otherwise(F.lit(IT_CATEGORY_DEFAULT))
 
 
-def stg_titulaires(marches: DataFrame, groups: DataFrame, groups_are_clean: bool = False) -> DataFrame:
-    """Contracts with the group of their first holder ('NON MAPPE' if unknown).
+def linked_contracts(staged: DataFrame, groups: DataFrame, groups_are_clean: bool = False) -> DataFrame:
+    """Staged contracts with name and group of their first holder.
 
     The reference is small in practice, but it is not hinted: Spark
     broadcasts it when its size is under the threshold and sort-merges
     otherwise. On the sort-merge path AQE splits a hot holder's partition on
-    the contract side; that needs both join inputs to be plain shuffles, so
-    the scheduled job cleans the reference once, writes it, and passes it
-    here with ``groups_are_clean=True`` (no aggregate in front of the join).
+    the contract side; that needs both join inputs to be plain shuffles, as
+    in the scheduled job, which cleans the reference once, writes it, and
+    passes it here with ``groups_are_clean=True``. An aggregate in front of
+    the join would disable the split, so in-line cleaning salts instead: a
+    reference row is repeated for HOLDER_PARTS parts, and each contract of a
+    holder joins in one of them.
     """
-    g = (groups if groups_are_clean else clean_groups(groups)).withColumnRenamed("siret", "g_siret")
-    g = g.select("g_siret", "nom_entreprise", "groupe")
+    g = (groups if groups_are_clean else clean_groups(groups)).select(
+        F.col("siret").alias("_siret"), "nom_entreprise", "groupe")
     # Contracts without a holder can all share the NULL key; they never match,
     # so they get a deterministic key that cannot match (leading NUL) and is
     # spread by hash instead of landing in one sort-merge partition.
     spread = F.concat(F.lit("\u0000"), F.xxhash64("marche_id", "acheteur_siret", "date_notification",
                                                    "montant_eur", "objet").cast("string"))
-    m = (marches.filter(~F.col("flag_montant_aberrant"))
-         .withColumn("_join_key", F.coalesce(F.col("titulaire_siret_1"), spread)))
-    return (m.join(g, m._join_key == g.g_siret, "left")
+    m = staged.withColumn("_key", F.coalesce(F.col("titulaire_siret_1"), spread))
+    on = F.col("_key") == F.col("_siret")
+    if not groups_are_clean:
+        parts = F.sequence(F.lit(0).cast("long"), F.lit(HOLDER_PARTS - 1).cast("long"))
+        g = g.withColumn("_g_part", F.explode(parts))
+        m = m.withColumn("_part", F.pmod(F.xxhash64("marche_id", "acheteur_siret", "date_notification", "montant_eur"),
+                                         F.lit(HOLDER_PARTS)))
+        on = on & (F.col("_part") == F.col("_g_part"))
+    return (m.join(g, on, "left")
+            .select(*staged.columns, "nom_entreprise", F.coalesce(F.col("groupe"), F.lit(UNMAPPED)).alias("groupe")))
+
+
+def linked_to_titulaires(linked: DataFrame) -> DataFrame:
+    return (linked.filter(~F.col("flag_montant_aberrant"))
             .select(
                 F.col("marche_id"),
                 F.col("titulaire_siret_1").alias("siret"),
-                F.col("nom_entreprise"),
-                F.coalesce(F.col("groupe"), F.lit(UNMAPPED)).alias("groupe"),
+                F.col("nom_entreprise"), "groupe",
                 "montant_eur", "duree_mois", "objet", "code_cpv", "famille_cpv",
                 "procedure_type", "date_notification", "annee", "acheteur_siret",
                 "flag_montant_suspect", "flag_date_suspecte",
                 it_category(F.col("famille_cpv")).alias("categorie_it"),
             ))
+
+
+def stg_titulaires(marches: DataFrame, groups: DataFrame, groups_are_clean: bool = False) -> DataFrame:
+    """Contracts with the group of their first holder ('NON MAPPE' if unknown)."""
+    kept = marches.filter(~F.col("flag_montant_aberrant"))
+    return linked_to_titulaires(linked_contracts(kept, groups, groups_are_clean))

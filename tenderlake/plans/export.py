@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLE_MAX = 50000
@@ -11,65 +11,40 @@ SAMPLE_COLUMNS = ["marche_id", "groupe", "siret", "nom_entreprise", "montant_eur
                   "flag_date_suspecte"]
 
 
-# S7
-# Candidate upper quantiles for the sample's amount cut-off, and the sketch
-# accuracy (rank error at most rows / accuracy).
-CUT_QUANTILES = [0.5, 0.75, 0.9, 0.95, 0.99, 0.995, 0.999, 0.9995, 0.9999, 0.99999]
-CUT_ACCURACY = 10000
-
-
-def _amount_cut(base: DataFrame, limit: int) -> float | None:
-    """An amount t such that at least ``limit`` rows have amount >= t, or None.
-
-    Then every row of the top ``limit`` (amount descending) has amount >= t,
-    so filtering on t first gives exactly the same sample while each task
-    hands on a few rows instead of ``limit`` rows. Two small aggregate jobs.
-    """
-    stats = base.agg(F.count(F.lit(1)).alias("n"),
-                     F.percentile_approx("montant_eur", CUT_QUANTILES, CUT_ACCURACY).alias("q")).first()
-    n, qs = stats["n"], stats["q"]
-    if not n or not qs or n < 4 * limit:
-        return None
-    # highest quantile whose upper tail still holds about twice the limit
-    cut = None
-    for q, value in zip(CUT_QUANTILES, qs):
-        if (1.0 - q) * n >= 2 * limit:
-            cut = value
-    if cut is None:
-        return None
-    kept = base.filter(F.col("montant_eur") >= F.lit(cut)).count()
-    return cut if kept >= limit else None
-
+# Amount classes for the cut-off: this many per factor e.
+CLASSES = 200
+# Parts in which the sample's candidates are ranked before the last merge.
+PARTS = 8
 
-# Rows the final top-k merge may receive before the cut-off is worth two jobs.
-FUNNEL_BUDGET_ROWS = 5_000_000
 
-
-def contract_sample(stg_titulaires: DataFrame, limit: int = SAMPLE_MAX,
-                    prefilter: bool | None = None) -> DataFrame:
+# S7
+def contract_sample(stg_titulaires: DataFrame, limit: int = SAMPLE_MAX) -> DataFrame:
     """Largest non-suspect contracts (12 columns, subject cut at 150).
 
     The cap is explicit and ordered (amount, then id), so the sample is
-    reproducible. It is a top-k: each task keeps its best ``limit`` rows and
-    one task merges them. With ``prefilter`` an exact amount cut-off is
-    applied first (see ``_amount_cut``), so that merge sees about twice
-    ``limit`` rows in total instead of ``limit`` per task. By default
-    (``prefilter=None``) the cut-off is tried only when tasks x ``limit``
-    exceeds ``FUNNEL_BUDGET_ROWS``; the task count comes from planning.
+    reproducible. One lazy plan for every size: a histogram of amount classes
+    gives the class below which nothing can be among the first ``limit``
+    rows; what is left is ranked in PARTS parts, each of which hands on at
+    most ``limit`` rows, so that neither many tasks nor equal amounts fill
+    the last merge.
     """
     if limit < 0:
         raise ValueError("limit must be >= 0")
     base = (stg_titulaires.filter(~F.col("flag_montant_suspect"))
             .select(*[F.left(F.col("objet"), F.lit(150)).alias("objet") if c == "objet" else F.col(c)
-                      for c in SAMPLE_COLUMNS]))
-    if prefilter is None:
-        prefilter = limit > 0 and base.rdd.getNumPartitions() * limit > FUNNEL_BUDGET_ROWS
-    if prefilter and limit > 0:
-        cut = _amount_cut(base, limit)
-        if cut is not None:
-            base = base.filter(F.col("montant_eur") >= F.lit(cut))
-    return (base.orderBy(F.col("montant_eur").desc_nulls_last(), F.col("marche_id").asc_nulls_last())
-            .limit(limit))
+                      for c in SAMPLE_COLUMNS])
+            # not suspect: over 1 euro, so the logarithm is positive and keeps the order
+            .withColumn("_class", F.floor(F.log("montant_eur") * F.lit(CLASSES))))
+    above = F.sum("n").over(Window.orderBy(F.col("_class").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    # classes number a few thousand at most; those before which less than ``limit`` rows stand can hold one of the first
+    needed = (base.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).withColumn("above", above)
+              .filter(F.coalesce(F.col("above"), F.lit(0)) < limit).agg(F.min("_class")))
+    order = [F.col("montant_eur").desc_nulls_last(), F.col("marche_id").asc_nulls_last()]
+    part = Window.partitionBy("_part").orderBy(*order)
+    return (base.filter(F.col("_class") >= needed.scalar())
+            .withColumn("_part", F.pmod(F.xxhash64("marche_id", "acheteur_siret", "objet"), F.lit(PARTS)))
+            .withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= limit)
+            .orderBy(*order).limit(limit).select(*SAMPLE_COLUMNS))
 
 
 # S6
@@ -104,5 +79,6 @@ def export_tables(spark: SparkSession, tables: dict[str, DataFrame], out_dir: st
         if err is not None:
             errors[name] = err
     if errors and fail_fast:
-        raise RuntimeError(f"export failed for {sorted(errors)}")
+        reasons = "; ".join(f"{name}: {str(err).splitlines()[0]}" for name, err in sorted(errors.items()))
+        raise RuntimeError(f"export failed for {sorted(errors)}: {reasons}")
     return report

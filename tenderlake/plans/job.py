@@ -1,9 +1,9 @@
 """The scheduled refresh as one Spark batch job.
 
-land register -> write staged tables (partitioned by year) -> read them back
--> build every analytical table -> write the serving store.
+land register -> write the staged contracts once (partitioned by year) -> read
+them back -> build every analytical table -> write the serving store -> publish.
 
-Writing the staged tables and reading them back cuts the lineage: the marts
+Writing the staged contracts and reading them back cuts the lineage: the marts
 share one materialised input instead of recomputing the landing and the join
 five times, and a lost executor only recomputes from the written files. All
 paths are on the caller's shared storage; nothing uses a machine-local
@@ -19,33 +19,26 @@ from tenderlake.plans import export
 from tenderlake.plans.catalog import Catalog
 from tenderlake.operators.staging import clean_groups
 from tenderlake.sources import bridge, contracts
+from tenderlake.sources.versions import new_version, publish, version_path
 
 
 def stage(catalog: Catalog, out_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Write staged tables partitioned by year text and read them back."""
-    from concurrent.futures import ThreadPoolExecutor
+    """Write the staged contracts with their groups once and read them back.
+
+    One shuffle and one write, partitioned by year text: the two staged
+    tables and the amendment list are projections of it (year stays text).
+    The rebalance on the year lets AQE size the files and split a year that
+    holds much of the data. A contract above the aberrant bound is in the
+    staged table but has no place in the linked one.
+    """
+    from tenderlake.operators import staging
 
     spark = catalog.raw.sparkSession
-    paths = {}
-
-    def write(item):
-        name, df = item
-        path = f"{out_dir}/{name}"
-        # Rebalance on the year before the partitioned write: every task would
-        # otherwise write one small file per year. AQE sizes the partitions
-        # and splits a year holding much of the data.
-        df.hint("rebalance", "annee").write.mode("overwrite").partitionBy("annee").parquet(path)
-        return name, path, df.schema
-
-    staged = (("stg_marches_full", catalog.staged), ("stg_titulaires", catalog.stg_titulaires))
-    with ThreadPoolExecutor(max_workers=2) as pool:
-        for name, path, schema in pool.map(write, staged):
-            paths[name] = (path, schema)
-    # Read with the written schema: the year stays text (no partition type inference).
-    full = spark.read.schema(paths["stg_marches_full"][1]).parquet(paths["stg_marches_full"][0])
-    titulaires = spark.read.schema(paths["stg_titulaires"][1]).parquet(paths["stg_titulaires"][0])
-    from tenderlake.operators.staging import STG_MARCHES_COLUMNS
-    return full, full.select(*STG_MARCHES_COLUMNS), titulaires
+    joined = staging.linked_contracts(catalog.staged, catalog.groups, catalog.groups_are_clean)
+    path = f"{out_dir}/staging/contracts"
+    joined.hint("rebalance", "annee").write.partitionBy("annee").parquet(path)
+    full = spark.read.schema(joined.schema).parquet(path)
+    return full, full.select(*staging.STG_MARCHES_COLUMNS), staging.linked_to_titulaires(full)
 
 
 def build_tables(catalog: Catalog, staged_full: DataFrame, marches: DataFrame,
@@ -61,6 +54,7 @@ def build_tables(catalog: Catalog, staged_full: DataFrame, marches: DataFrame,
         "mart_recurrents": marts.recurring_pairs(titulaires),
         "mart_depassements_reels": marts.overruns(staged_full),
         "ref_groupes_esn": catalog.groups,
+        "stg_titulaires": titulaires,
         "stg_titulaires_sample": export.contract_sample(titulaires),
         "mapping_coverage": explore.mapping_coverage(titulaires),
         "load_profile": quality.load_profile(catalog.raw),
@@ -73,16 +67,23 @@ def build_tables(catalog: Catalog, staged_full: DataFrame, marches: DataFrame,
 
 def refresh(spark: SparkSession, raw: DataFrame, groups: DataFrame, out_dir: str,
             population: DataFrame | None = None) -> dict[str, object]:
-    """Run the whole build from a raw register table; returns row counts."""
+    """Run the whole build from a raw register table; returns row counts.
+
+    Everything is written to a new version of ``out_dir``, published when
+    all tables are written: a failing table leaves the store as it was.
+    """
+    version = new_version()
+    path = version_path(out_dir, version)
     # The reference is cleaned (blank ids out, one row per id) and written
     # once; the join then reads it as a plain table.
-    ref_path = f"{out_dir}/staging/ref_groupes"
-    clean_groups(groups).write.mode("overwrite").parquet(ref_path)
+    ref_path = f"{path}/staging/ref_groupes"
+    clean_groups(groups).write.parquet(ref_path)
     groups = spark.read.parquet(ref_path)
     catalog = Catalog(raw, groups, population, groups_are_clean=True)
-    full, marches, titulaires = stage(catalog, f"{out_dir}/staging")
-    tables = build_tables(catalog, full, marches, titulaires)
-    return export.export_tables(spark, tables, f"{out_dir}/serving")
+    full, marches, titulaires = stage(catalog, path)
+    report = export.export_tables(spark, build_tables(catalog, full, marches, titulaires), f"{path}/serving")
+    publish(spark, out_dir, version)
+    return report
 
 
 def refresh_from_files(spark: SparkSession, register_path: str, groups_csv: str, out_dir: str,
@@ -100,7 +101,9 @@ def refresh_from_driver_tables(spark: SparkSession, sf_dir: str, out_dir: str) -
     """The same build on the register derived from the driver tables."""
     t = bridge.load_tables(spark, sf_dir)
     raw_path = f"{out_dir}/raw_marches"
-    bridge.raw_contracts(t).write.mode("overwrite").parquet(raw_path)
+    version = new_version()
+    bridge.raw_contracts(t).write.parquet(version_path(raw_path, version))
+    publish(spark, raw_path, version)
     raw = contracts.read_raw(spark, raw_path)
     return refresh(spark, raw, bridge.groups_reference(t), out_dir, bridge.population_reference(t))
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenderlake.sources import versions
 from tenderlake.functions.expr import like_literal, round_half_away, sum_eur, to_amount
 
 
@@ -102,23 +103,19 @@ def search(stg_titulaires: DataFrame, q: str, limit: int = 20) -> DataFrame:
 def global_stats(stg_titulaires: DataFrame) -> DataFrame:
     """Dataset totals (neither flag set).
 
-    Counts and sums are one hash aggregation over the contracts; the first
-    and last year (text min/max, which hash aggregation cannot buffer) come
-    from the per-year aggregate, a handful of rows. The two one-row results
-    are stacked and folded into one row (no cross join).
+    One scan: the first and last year (text min/max, which a hash
+    aggregation can't buffer) come from the set of years, which is small
+    whatever the data.
     """
     base = stg_titulaires.filter(~F.col("flag_montant_suspect") & ~F.col("flag_date_suspecte"))
-    totals = base.agg(
+    years = F.collect_set("annee")
+    return base.agg(
         F.count(F.lit(1)).alias("total_marches"),
         F.countDistinct("acheteur_siret").alias("nb_acheteurs"),
         F.countDistinct("siret").alias("nb_titulaires"),
-        round_half_away(sum_eur("montant_eur") / F.lit(1e9), 2).alias("total_milliards_eur"))
-    years = (base.select("annee").distinct()
-             .agg(F.min("annee").alias("premiere_annee"), F.max("annee").alias("derniere_annee")))
-    cols = ["total_marches", "nb_acheteurs", "nb_titulaires", "total_milliards_eur",
-            "premiere_annee", "derniere_annee"]
-    return (totals.unionByName(years, allowMissingColumns=True)
-            .agg(*[F.max(c).alias(c) for c in cols]))
+        round_half_away(sum_eur("montant_eur") / F.lit(1e9), 2).alias("total_milliards_eur"),
+        F.array_min(years).alias("premiere_annee"),
+        F.array_max(years).alias("derniere_annee"))
 
 
 # Q7
@@ -229,38 +226,41 @@ def departments_per_capita(spending: DataFrame, population: DataFrame, region: s
 
 
 # Q14
-def procedure_mix(procedures: DataFrame, acheteur_siret: str | None = None, limit: int = 50) -> DataFrame:
-    limit = _limit(limit, 200)
+def procedure_mix(procedures: DataFrame, acheteur_siret: str | None = None, limit: int = 50,
+                  offset: int = 0) -> DataFrame:
     df = procedures
     if acheteur_siret:
         df = df.filter(F.col("acheteur_siret") == F.lit(acheteur_siret))
-    return (df.orderBy(asc("acheteur_siret"), desc("nb_marches"), asc("categorie_procedure"))
-            .limit(limit))
+    return _page(df.orderBy(asc("acheteur_siret"), desc("nb_marches"), asc("categorie_procedure")), limit, offset)
 
 
 # Q15
-def recurring(recurring_pairs: DataFrame, acheteur_siret: str | None = None, limit: int = 50) -> DataFrame:
-    limit = _limit(limit, 200)
+def recurring(recurring_pairs: DataFrame, acheteur_siret: str | None = None, limit: int = 50,
+              offset: int = 0) -> DataFrame:
     df = recurring_pairs
     if acheteur_siret:
         df = df.filter(F.col("acheteur_siret") == F.lit(acheteur_siret))
-    return (df.orderBy(desc("nb_marches"), asc("acheteur_siret"), asc("titulaire_siret"),
-                       asc("groupe"), asc("nom_entreprise"))
-            .limit(limit))
+    return _page(df.orderBy(desc("nb_marches"), asc("acheteur_siret"), asc("titulaire_siret"),
+                            asc("groupe"), asc("nom_entreprise")), limit, offset)
+
+
+def _page(ordered: DataFrame, limit: int, offset: int) -> DataFrame:
+    if limit < 0 or offset < 0:
+        raise ValueError("limit and offset must be >= 0")
+    return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
+
+
+# tables of a published store
+STORE_TABLES = ("mart_classement_groupes", "mart_acheteurs_actifs", "mart_monopoles_cpv", "mart_geo_departements", "mart_procedures",
+                "mart_anomalies", "mart_recurrents", "mart_depassements_reels", "ref_groupes_esn", "ref_population_dept",
+                "stg_titulaires", "stg_titulaires_sample", "mapping_coverage", "load_profile", "not_null_check")
 
 
 def open_store(spark, out_dir: str) -> dict[str, DataFrame]:
-    """Tables written by the refresh job (``<out_dir>/serving/<name>``), by name."""
-    import os
-
-    base = f"{out_dir}/serving"
-    names = ["mart_classement_groupes", "mart_acheteurs_actifs", "mart_monopoles_cpv",
-             "mart_geo_departements", "mart_procedures", "mart_anomalies", "mart_recurrents",
-             "mart_depassements_reels", "ref_groupes_esn", "ref_population_dept",
-             "stg_titulaires_sample", "mapping_coverage", "load_profile", "not_null_check"]
-    store = {}
-    for n in names:
-        path = f"{base}/{n}"
-        if "://" in path or os.path.exists(path):
-            store[n] = spark.read.parquet(path)
-    return store
+    """Tables of the newest published store of the refresh job, by name.
+
+    Search and global figures (Q5, Q6) are served from the whole
+    ``stg_titulaires``; the sample is only for download."""
+    base = f"{versions.current(spark, out_dir)}/serving"
+    found = {n: versions.read_if_there(lambda n=n: spark.read.parquet(f"{base}/{n}")) for n in STORE_TABLES}
+    return {n: df for n, df in found.items() if df is not None}

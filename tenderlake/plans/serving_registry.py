@@ -70,12 +70,8 @@ register("resolve_names")(
     lambda c: enrich.resolve_names(explore.top_unmapped_companies(c.raw, c.groups), c.names))
 
 
-# --------------------------------------------------------------- freshness
-def _last_update(spark, sf_dir):
-    from tenderlake.sources.contracts import last_update
-    return last_update(spark, f"{sf_dir}/orders.parquet")
-
-
+# ------------------------------------------------------------ files
+from tenderlake.plans import file_queries  # noqa: E402
 from tenderlake.plans.registry import QUERIES as _Q  # noqa: E402
 
-_Q["last_update"] = _last_update
+_Q.update(file_queries.QUERIES)

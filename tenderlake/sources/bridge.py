@@ -5,10 +5,15 @@ derived, by fixed rules, from orders / customer / lineitem / part /
 supplier / nation / region. The same rules are written in SQL for the
 DuckDB oracle (``oracle.py``); both give the same rows.
 
-Plan shape: lineitem is reduced to one row per order in a single grouped
-pass (lead line and last returned line together, partial aggregation on the
-map side), then joined to orders on the key it is already partitioned by;
-customer and part are joined after. Nothing is broadcast by hint: Spark's
+Every line of an order is a holder of its contract, every returned line an
+amendment (in line order, not in date order), so "first holder" and "last
+amendment" are the operators' work. Some dates are written with slashes or
+not at all readable, and the group reference has blank, short, padded and
+repeated ids.
+
+Plan shape: lineitem is gathered per order in a single grouped pass (an order
+has a handful of lines), then joined to orders on the key it is already
+partitioned by; customer and part are joined after. Nothing is broadcast by hint: Spark's
 size threshold decides, with a sort-merge join beyond it.
 """
 
@@ -35,6 +40,7 @@ PROCEDURE_BY_PRIORITY = [
 PROCEDURE_EVEN = "Procédure avec négociation"
 PROCEDURE_ODD = "Dialogue compétitif"
 DATE_SHIFT_MONTHS = 264
+UNREADABLE_DATE = "à préciser"
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> dict[str, DataFrame]:
@@ -68,14 +74,14 @@ def _divisible(k, n: int):
 
 
 def order_lines(lineitem: DataFrame) -> DataFrame:
-    """One row per order: its lead line and its last returned line."""
+    """One row per order: its lines and its returned lines, in line order."""
     li = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
                          "l_returnflag", "l_shipdate", "l_extendedprice")
     returned = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") != 7)
     return li.groupBy("l_orderkey").agg(
-        F.min(F.struct("l_linenumber", "l_suppkey", "l_partkey")).alias("lead"),
-        F.max(F.when(returned, F.struct("l_shipdate", "l_extendedprice"))).alias("amend"),
-    )
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("lines"),
+        F.array_sort(F.collect_list(F.when(returned, F.struct("l_linenumber", "l_shipdate", "l_extendedprice")))).alias("amends"),
+    ).withColumn("lead", F.get("lines", 0))
 
 
 def raw_contracts(t: dict[str, DataFrame]) -> DataFrame:
@@ -95,7 +101,6 @@ def raw_contracts(t: dict[str, DataFrame]) -> DataFrame:
          .join(part, F.col("lead.l_partkey") == F.col("p_partkey"), "left"))
 
     k = F.col("o_orderkey")
-    s = F.col("lead.l_suppkey")
     ptype = F.col("p_type")
 
     montant = (F.when(_divisible(k, 97), F.lit(1.0))
@@ -116,19 +121,27 @@ def raw_contracts(t: dict[str, DataFrame]) -> DataFrame:
     for prio, label in PROCEDURE_BY_PRIORITY:
         proc = proc.when(F.col("o_orderpriority") == prio, F.lit(label))
     proc = proc.when(_divisible(k, 2), F.lit(PROCEDURE_EVEN)).otherwise(F.lit(PROCEDURE_ODD))
-    date_notif = F.when(_divisible(k, 109), F.lit(None).cast("string")).otherwise(_shift(F.col("o_orderdate")))
+    day = _shift(F.col("o_orderdate"))
+    date_notif = (F.when(_divisible(k, 109), F.lit(None).cast("string"))
+                  .when(_divisible(k, 113), F.lit(UNREADABLE_DATE))
+                  .when(_divisible(k, 23), F.replace(day, F.lit("-"), F.lit("/")))
+                  .otherwise(day))
     cust = F.col("o_custkey")
     buyer_num = (F.when(_divisible(k, 17), F.lit(9000000) + F.year("o_orderdate"))
                  .when((k % 3) == 0, cust % 3)
                  .when((k % 3) == 1, F.lit(100) + cust % 60)
                  .otherwise(F.lit(1000) + cust))
-    holder_num = (F.when((ptype == "PROMO") & ((s % 5) != 0), F.lit(1))
-                  .when((ptype == "STANDARD") & ((s % 5) < 3), F.lit(2))
-                  .when((ptype == "LARGE") & ((s % 10) < 2), F.lit(3))
-                  .when(ptype == "ECONOMY", s % 9)
-                  .otherwise(s))
-    holders = F.when(F.col("lead").isNull(), F.lit(None)).otherwise(
-        F.array(F.struct(F.struct(_pad14(holder_num).alias("id")).alias("titulaire"))))
+    def holder(line):
+        s = line.getField("l_suppkey")
+        num = (F.when(line.getField("l_linenumber") != F.col("lead.l_linenumber"), s)
+               .when((ptype == "PROMO") & ((s % 5) != 0), F.lit(1))
+               .when((ptype == "STANDARD") & ((s % 5) < 3), F.lit(2))
+               .when((ptype == "LARGE") & ((s % 10) < 2), F.lit(3))
+               .when((ptype == "ECONOMY") & ~_divisible(k, 4), s % 9)
+               .otherwise(s))
+        return F.struct(F.struct(_pad14(num).alias("id")).alias("titulaire"))
+
+    holders = F.transform("lines", holder)
     nat = F.lpad((F.col("c_nationkey") + 1).cast("string"), 2, "0")
     place = (F.when(_divisible(k, 13), F.lit(None))
              .when((k % 4) == 0, F.struct(nat.alias("code"), F.lit("Code département").alias("typeCode")))
@@ -137,9 +150,9 @@ def raw_contracts(t: dict[str, DataFrame]) -> DataFrame:
              .when((k % 4) == 2, F.struct(F.concat(nat, F.lit("000")).alias("code"),
                                           F.lit("Code commune").alias("typeCode")))
              .otherwise(F.struct(F.lit("FR").alias("code"), F.lit("Code pays").alias("typeCode"))))
-    amendments = F.when(F.col("amend").isNull(), F.lit(None)).otherwise(
-        F.array(F.struct(_shift(F.col("amend.l_shipdate")).alias("date_modif"),
-                         (F.col("amend.l_extendedprice") * F.lit(6)).alias("montant"))))
+    amendments = F.when(F.size("amends") > 0, F.transform("amends", lambda x: F.struct(
+        _shift(x.getField("l_shipdate")).alias("date_modif"),
+        (x.getField("l_extendedprice") * F.lit(6)).alias("montant"))))
 
     out = j.select(
         k.cast("string").alias("id"),
@@ -159,18 +172,23 @@ def raw_contracts(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def groups_reference(t: dict[str, DataFrame]) -> DataFrame:
-    """Company -> group reference: every supplier whose key is not a multiple of 8.
+    """Company -> group reference: every supplier whose key is not a multiple
+    of 8, and for every seventh a second row whose id is blank, short or padded.
 
     Leaving one supplier in eight out of the reference is what makes some
     holders unmapped ('NON MAPPE'), as in a real register; it is part of the
     data, not a way to read less.
     """
     sk = F.col("s_suppkey")
-    return (t["supplier"].filter((sk % 8) != 0)
-            .select(_pad14(sk).alias("siret"),
-                    F.col("s_name").alias("nom_entreprise"),
-                    F.when(_divisible(sk, 5), F.lit("INDEPENDANT"))
-                    .otherwise(F.concat(F.lit("GROUP_"), (sk % 5).cast("string"))).alias("groupe")))
+    group = F.concat(F.lit("GROUP_"), (sk % 5).cast("string"))
+    clean = (t["supplier"].filter((sk % 8) != 0)
+             .select(_pad14(sk).alias("siret"), F.col("s_name").alias("nom_entreprise"),
+                     F.when(_divisible(sk, 5), F.lit("INDEPENDANT")).otherwise(group).alias("groupe")))
+    odd_id = (F.when((sk % 3) == 0, F.lit("  ")).when((sk % 3) == 1, sk.cast("string"))
+              .otherwise(F.concat(F.lit(" "), _pad14(sk))))
+    odd = t["supplier"].filter(_divisible(sk, 7)).select(
+        odd_id.alias("siret"), F.concat("s_name", F.lit(" bis")).alias("nom_entreprise"), group.alias("groupe"))
+    return clean.unionByName(odd)
 
 
 def population_reference(t: dict[str, DataFrame]) -> DataFrame:

@@ -26,12 +26,6 @@ CONTRACT = T.StructType([
     T.StructField("modifications", T.ArrayType(AMENDMENT)),
 ])
 
-# Whole register document: {"marches": {"marche": [contract, ...]}}
-REGISTER_DOCUMENT = T.StructType([
-    T.StructField("marches", T.StructType([
-        T.StructField("marche", T.ArrayType(CONTRACT))]))
-])
-
 GROUPS_SEED = T.StructType([
     T.StructField("siret", S), T.StructField("nom_entreprise", S), T.StructField("groupe", S)])
 
@@ -45,11 +39,6 @@ RESOLVED_COMPANY = T.StructType([
 
 NAME_LOOKUP = T.StructType([T.StructField("siret", S), T.StructField("nom", S)])
 
-KEYWORD_TABLE = T.StructType([
-    T.StructField("ordinal", T.IntegerType()), T.StructField("keyword", S),
-    T.StructField("groupe", S)])
-
-
 def _as_text(dt):
     """Same shape with every number read as text (JSON numbers or strings)."""
     if isinstance(dt, T.StructType):
@@ -63,5 +52,13 @@ def _as_text(dt):
 
 # What the landing reads: amounts and durations may be written as numbers or
 # as strings in the source; they are cast once, while landing.
-CONTRACT_TEXT = _as_text(CONTRACT)
-REGISTER_DOCUMENT_TEXT = _as_text(REGISTER_DOCUMENT)
+# Amendments come flat or wrapped like holders, {"modification": {...}}; both are read.
+def _with_wrapped_amendments(contract: T.StructType) -> T.StructType:
+    flat = _as_text(AMENDMENT)
+    either = T.ArrayType(T.StructType([*flat.fields, T.StructField("modification", flat)]))
+    return T.StructType([T.StructField(f.name, either if f.name == "modifications" else f.dataType) for f in contract.fields])
+
+
+CONTRACT_TEXT = _with_wrapped_amendments(_as_text(CONTRACT))
+REGISTER_DOCUMENT_TEXT = T.StructType([
+    T.StructField("marches", T.StructType([T.StructField("marche", T.ArrayType(CONTRACT_TEXT))]))])

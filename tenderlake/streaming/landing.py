@@ -22,21 +22,26 @@ SNAPSHOT_COLUMN = "snapshot"
 
 
 def _snapshot_name() -> F.Column:
-    # file name without folder and extension, e.g. 'decp_2026-11'
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return F.regexp_replace(name, r"\.[^.]*$", "")
+    """The month in the file's name, '2026-11' in 'decp_2026-11_part2', else its name without extension:
+    a month that comes in several files is one snapshot."""
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[^.]*$", "")
+    month = F.regexp_extract(name, r"(\d{4}-\d{2})", 1)
+    return F.when(month != "", month).otherwise(name)
 
 
 def land_snapshots(spark: SparkSession, drop_dir: str, raw_path: str, multiline: bool = True,
                    checkpoint: str | None = None) -> None:
-    """Land every snapshot file not landed yet, then return."""
+    """Land every snapshot file not landed yet, then return.
+
+    A file that can't be read to its end, or a line that is no JSON, fails
+    the landing: the files of that trigger are then not committed."""
     cp = checkpoint or f"{checkpoint_dir(spark)}/register_landing"
     if multiline:
-        src = (spark.readStream.schema(REGISTER_DOCUMENT_TEXT).option("multiLine", "true").json(drop_dir)
+        src = (spark.readStream.schema(REGISTER_DOCUMENT_TEXT).option("multiLine", "true").option("mode", "FAILFAST").json(drop_dir)
                .select(F.explode("marches.marche").alias("m"), _snapshot_name().alias(SNAPSHOT_COLUMN))
                .select("m.*", SNAPSHOT_COLUMN))
     else:
-        src = (spark.readStream.schema(CONTRACT_TEXT).json(drop_dir)
+        src = (spark.readStream.schema(CONTRACT_TEXT).option("mode", "FAILFAST").json(drop_dir)
                .select("*", _snapshot_name().alias(SNAPSHOT_COLUMN)))
     src = typed_contracts(src, keep=(SNAPSHOT_COLUMN,))
 

@@ -74,13 +74,3 @@ def test_year_text_agrees_with_duckdb_on_odd_texts(spark):
                         "TRY_CAST(replace(?, '/', '-') AS DATE))) AS VARCHAR)", [t, t]).fetchone()[0]
             for t in texts]
     assert got == want
-
-
-def test_keyword_table_from_data(spark):
-    from tenderlake.functions.groups import keywords_from_table
-    from tenderlake.sources.schemas import KEYWORD_TABLE
-    table = spark.createDataFrame([(2, "STERIA", "SOPRA STERIA"), (1, "SOPRA", "SOPRA GROUP")], KEYWORD_TABLE)
-    kws = keywords_from_table(table)
-    assert kws == [("SOPRA", "SOPRA GROUP"), ("STERIA", "SOPRA STERIA")]
-    df = spark.createDataFrame([("SOPRA STERIA",), ("STERIA",)], "nom string")
-    assert [r.g for r in df.select(map_group("nom", kws).alias("g")).collect()] == ["SOPRA GROUP", "SOPRA STERIA"]

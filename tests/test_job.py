@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rows import contract
 from tenderlake.operators import enrich
 from tenderlake.plans import job
-from tenderlake.sources import bridge, contracts
+from tenderlake.sources import bridge, contracts, versions
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,10 +42,10 @@ def test_seeds_keep_leading_zeros(spark, scratch):
         f.write("siret,nom_entreprise,groupe\n00012345678901,ACME,INDEPENDANT\n")
     p = os.path.join(scratch, "pop.csv")
     with open(p, "w") as f:
-        f.write("dept,nom_dept,population_2023,region\n01,Ain,659000,Auvergne\n")
+        f.write("dept,nom_dept,population_2023,region\n09,Nulle-Part,12345,NORD\n")
     assert contracts.read_groups_seed(spark, g).first().siret == "00012345678901"
     r = contracts.read_population_seed(spark, p).first()
-    assert r.dept == "01" and r.population_2023 == 659000
+    assert r.dept == "09" and r.population_2023 == 12345
 
 
 def test_lookup_json_and_reference_csv(spark, scratch):
@@ -76,10 +76,9 @@ def test_refresh_writes_every_table(spark, scratch):
                  "mart_geo_departements", "mart_procedures", "mart_anomalies", "mart_recurrents",
                  "mart_depassements_reels", "ref_groupes_esn", "stg_titulaires_sample"):
         assert name in report
-        assert spark.read.parquet(f"{scratch}/serving/{name}").count() == report[name]
-    # staged tables are partitioned by year and keep the year as text
-    st = spark.read.parquet(f"{scratch}/staging/stg_titulaires")
-    assert os.path.isdir(f"{scratch}/staging/stg_titulaires/annee=2019")
+        assert spark.read.parquet(f"{versions.current(spark, scratch)}/serving/{name}").count() == report[name]
+    # the staged contracts are written once, partitioned by year
+    assert os.path.isdir(f"{versions.current(spark, scratch)}/staging/contracts/annee=2019")
     assert report["mart_classement_groupes"] > 0
 
 
@@ -148,7 +147,13 @@ def test_served_queries_on_written_store(spark, scratch):
     store = serving.open_store(spark, scratch)
     top = serving.ranking(store["mart_classement_groupes"]).collect()
     assert 0 < len(top) <= 15
-    assert serving.monopolies(store["mart_monopoles_cpv"], niveau="PRESENT").count() >= 0
+    present = serving.monopolies(store["mart_monopoles_cpv"], niveau="PRESENT").collect()
+    assert present and {r.niveau_concentration for r in present} == {"PRESENT"}
+    # search and figures come from all contracts, not from the sample
+    from tenderlake.plans.catalog import Catalog
+    whole = Catalog.from_driver_tables(spark, SF).stg_titulaires
+    for served in (lambda t: serving.search(t, "50%_net", 100), serving.global_stats):
+        assert [tuple(r) for r in served(store["stg_titulaires"]).collect()] == [tuple(r) for r in served(whole).collect()]
     per_head = serving.departments_per_capita(store["mart_geo_departements"], store["ref_population_dept"])
     assert per_head.filter("euros_it_par_habitant IS NOT NULL").count() > 0
     assert serving.overrun_stats(store["mart_depassements_reels"]).first().nb_marches_depasses > 0
@@ -170,16 +175,82 @@ def test_amounts_written_as_text_are_read(spark, scratch):
     assert rows["2"].montant == 99.5 and rows["3"].montant is None
 
 
-def test_sample_prefilter_is_exact(spark):
+def _sample_rows(spark, rows):
+    """Staged rows (id, amount) with the sample's columns."""
+    from tenderlake.plans import export
+    df = spark.createDataFrame(rows, "marche_id string, montant_eur double")
+    cols = {c: F.lit("x") for c in export.SAMPLE_COLUMNS if c not in df.columns}
+    return df.withColumns(cols | {"flag_montant_suspect": F.lit(False), "flag_date_suspecte": F.lit(False)})
+
+
+def test_sample_is_exact_with_ties(spark):
+    import random
+
+    from tenderlake.plans import export
+    r = random.Random(1)
+    rows = [(f"m{i:05d}", r.choice([5.0, 5.0, 5.0, 1e6, r.uniform(1.01, 1e8)])) for i in range(4000)]
+    t = _sample_rows(spark, rows).repartition(7)
+    want = sorted(rows, key=lambda x: (-x[1], x[0]))
+    for limit in (0, 1, 10, 1500, 3000, 5000):
+        got = [(x.marche_id, x.montant_eur) for x in export.contract_sample(t, limit).collect()]
+        assert got == want[:limit]
+    assert export.contract_sample(t.limit(0), 10).count() == 0
+
+
+def test_sample_is_declared_without_jobs(spark):
     from tenderlake.plans import export
     from tenderlake.plans.catalog import Catalog
-    c = Catalog.from_driver_tables(spark, "/root/testdata/sf0.01")
-    for limit in (10, 100, 1000, 3000):
-        cut = export._amount_cut(c.stg_titulaires.filter(~F.col("flag_montant_suspect")), limit)
-        assert cut is not None  # the cut is used at these sizes
-        fast = [tuple(r) for r in export.contract_sample(c.stg_titulaires, limit, prefilter=True).collect()]
-        plain = [tuple(r) for r in export.contract_sample(c.stg_titulaires, limit, prefilter=False).collect()]
-        assert fast == plain and len(fast) == limit
+    t = Catalog.from_driver_tables(spark, SF).stg_titulaires
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("declare-sample", "")
+    try:
+        export.contract_sample(t)
+        assert not tracker.getJobIdsForGroup("declare-sample")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_truncated_document_leaves_the_raw_table_alone(spark, scratch):
+    import pytest
+    good, bad = os.path.join(scratch, "good.json"), os.path.join(scratch, "bad.json")
+    with open(good, "w") as f:
+        json.dump({"marches": {"marche": [contract(1), contract(2)]}}, f)
+    with open(good) as f, open(bad, "w") as g:
+        g.write(f.read()[:-30])
+    contracts.land_register(spark, good, f"{scratch}/raw")
+    for path in (bad, os.path.join(scratch, "empty.json")):
+        if path != bad:
+            with open(path, "w") as f:
+                f.write('{"marches": {"marche": []}}')
+        with pytest.raises(Exception):
+            contracts.land_register(spark, path, f"{scratch}/raw")
+        assert contracts.read_raw(spark, f"{scratch}/raw").count() == 2
+
+
+def test_broken_lines_are_counted_and_kept(spark, scratch):
+    lines = [json.dumps({"id": "1", "montant": "12,5", "dureeMois": "x", "modifications": [{"montant": "?", "date_modif": "2020-01-01"}]}),
+             json.dumps({"id": "2", "montant": 7, "modifications": [{"modification": {"montant": "9", "date_modif": "2021-01-01"}}, {"other": 1}]}),
+             '{"id": "3", "montant": 4', "", json.dumps({"id": "4", "montant": "NaN"})]
+    path = os.path.join(scratch, "reg.ndjson")
+    with open(path, "w") as f:
+        f.write("\n".join(lines))
+    report = contracts.land_register(spark, path, f"{scratch}/raw", multiline=False)
+    assert report == {"contracts": 3, "broken_lines": 1, "montant": 2, "dureeMois": 1, "modifications.montant": 1, "modifications": 1}
+    raw = {r.id: r for r in contracts.read_raw(spark, f"{scratch}/raw").collect()}
+    assert raw["1"].montant is None and raw["4"].montant is None
+    assert (raw["2"].modifications[0].date_modif, raw["2"].modifications[0].montant) == ("2021-01-01", 9.0)
+    assert [r.value for r in spark.read.text(f"{scratch}/raw/rejects/*").collect()] == [lines[2]]
+
+
+def test_failing_refresh_leaves_the_store_alone(spark, scratch, monkeypatch):
+    import pytest
+    from tenderlake.plans import serving
+    job.refresh_from_driver_tables(spark, SF, scratch)
+    before = versions.current(spark, scratch)
+    monkeypatch.setattr(job, "build_tables", lambda *a: {"mart_anomalies": spark.range(3).select(F.raise_error(F.lit("boom")).alias("x"))})
+    with pytest.raises(RuntimeError, match="boom"):
+        job.refresh_from_driver_tables(spark, SF, scratch)
+    assert versions.current(spark, scratch) == before and serving.open_store(spark, scratch)["mart_anomalies"].count() > 0
 
 
 def test_command_line_refresh(spark, scratch, capsys):

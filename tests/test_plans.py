@@ -3,8 +3,8 @@ anti-join, one scan for anomalies, no Python UDF anywhere."""
 
 import pytest
 
-import __spark_entry__ as e
 from tenderlake.operators import explore, marts
+from tenderlake.plans import registry, serving
 from tenderlake.plans.catalog import Catalog
 from tenderlake.sources import bridge, contracts
 
@@ -64,7 +64,7 @@ def test_filters_pushed_to_scan(landed):
 
 
 def test_no_python_udf_in_any_query(spark):
-    for name, q in e.queries().items():
+    for name, q in registry.QUERIES.items():
         p = plan(q(spark, SF))
         assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
 
@@ -72,16 +72,27 @@ def test_no_python_udf_in_any_query(spark):
 def test_contract_rows_are_hash_aggregated(landed):
     import re
 
-    from tenderlake.plans import serving
     t = landed.stg_titulaires
     cases = {
-        "buyer_activity": (marts.buyer_activity(t), r"HashAggregate\(keys=\[acheteur_siret#\d+, annee#\d+\], "
+        "buyer_activity": (marts.buyer_activity(t), r"HashAggregate\(keys=\[acheteur_siret#\d+, annee#\d+, .*?\], "
                                                     r"functions=\[partial_count\(1\)"),
         "recurring_pairs": (marts.recurring_pairs(t), r"HashAggregate\(keys=\[acheteur_siret#\d+, siret#\d+, "
-                                                      r"groupe#\d+, nom_entreprise#\d+, annee#\d+\], "
+                                                      r"groupe#\d+, nom_entreprise#\d+, annee#\d+, date_notification#\d+\], "
                                                       r"functions=\[partial_count\(1\)"),
-        "global_stats": (serving.global_stats(t), r"HashAggregate\(keys=\[[^\]]*gid#\d+\], "
-                                                  r"functions=\[partial_count\(1\)"),
     }
     for name, (df, pattern) in cases.items():
         assert re.search(pattern, plan(df)), name
+
+
+def test_one_scan_of_the_staged_table(landed, spark, tmp_path):
+    landed.stg_titulaires.write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    for df in (marts.buyer_activity(t), marts.recurring_pairs(t), serving.global_stats(t)):
+        assert plan(df).count("FileScan parquet") == 1
+
+
+def test_top_list_is_broadcast_to_the_names(landed, spark):
+    from tenderlake.operators import enrich
+    names = spark.createDataFrame([("1", "A")], "siret string, nom string")
+    p = plan(enrich.identify_companies(landed.raw, names))
+    assert "Inner, BuildRight" in p

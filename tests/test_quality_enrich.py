@@ -11,10 +11,10 @@ def test_reference_key_check(spark):
                           (None, "C", "G"), ("123", "D", "G"), (" 1234567890123 ", "E", "G")])
     got = [(r.siret, r.issue, r.n) for r in quality.reference_key_check(g).collect()]
     assert ("12345678901234", "DUPLICATE", 2) in got
-    assert ("", "BLANK", 1) in got and (None, "BLANK", 1) in got
+    assert ("", "BLANK", 2) in got and ("", "DUPLICATE", 2) in got  # '' and NULL are one blank id
     assert ("123", "LENGTH", 1) in got
-    assert (" 1234567890123 ", "LENGTH", 1) in got  # 13 characters once trimmed
-    assert len(got) == 5
+    assert ("1234567890123", "LENGTH", 1) in got and ("1234567890123", "SPACED", 1) in got
+    assert len(got) == 6
 
 
 def test_unparsable_dates_and_not_null(spark):
@@ -33,6 +33,26 @@ def test_load_profile(spark):
             r.nb_montant_max_1) == (3, 2, 4.0, 2.0, 1.0, 3.0, 1)
 
 
+def test_load_profile_figures_agree(spark):
+    raw = raw_df(spark, [contract(1, montant=10.0), contract(2, montant=2e16), contract(3, montant=float("nan"))])
+    r = quality.load_profile(raw).first()
+    assert (r.nb_lignes, r.total, r.total_euros, r.moyenne, r.min_montant, r.max_montant) == (
+        3, 2, 2e16 + 10.0, (2e16 + 10.0) / 2, 10.0, 2e16)
+
+
+def test_padded_reference_id_joins(spark):
+    raw = raw_df(spark, [contract(1, holder="12345678901234")])
+    groups = groups_df(spark, [(" 12345678901234", "Padded", "GROUP_P")])
+    assert staging.stg_titulaires(staging.stg_marches(raw), groups).first().groupe == "GROUP_P"
+
+
+def test_resolve_names_keeps_repeated_rows(spark):
+    ids = spark.createDataFrame([("1", 5), ("1", 5), ("2", 6)], "siret string, nb int")
+    names = spark.createDataFrame([("1", "B"), (" 1", "A")], "siret string, nom string")
+    got = sorted(tuple(r) for r in enrich.resolve_names(ids, names).collect())
+    assert got == [("1", 5, "A"), ("1", 5, "A"), ("2", 6, "INCONNU")]
+
+
 def test_unmapped_threshold_and_append(spark):
     rows = [contract(i, montant=6e6, holder="U1") for i in range(2)]          # 12 M: kept
     rows += [contract(10, montant=9e6, holder="U2")]                          # 9 M: below

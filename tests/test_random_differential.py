@@ -104,10 +104,10 @@ TABLES["mart_depassements_reels"] = (lambda raw, g: marts.overruns(staging.stage
 
 
 def _sql(body, marts_needed):
-    return "WITH " + ",".join([oracle.STAGING] + [oracle.MARTS[m] for m in marts_needed]) + "\n" + body
+    return oracle._with([oracle.STAGING] + [oracle.MARTS[m] for m in marts_needed], body)
 
 
-@settings(max_examples=int(os.environ.get("RANDOM_EXAMPLES", "3")), deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture],
+@settings(max_examples=int(os.environ.get("RANDOM_EXAMPLES", "8")), deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture],
           phases=[Phase.explicit, Phase.reuse, Phase.generate])  # no shrinking: each example runs Spark jobs
 @given(drawn=st.lists(contract, min_size=40, max_size=160))
 def test_random_registers_match_oracle(spark, tmp_path_factory, drawn):
@@ -133,7 +133,7 @@ POP = [("75", "Paris", 2100000, "EUROPE"), ("13", "Bouches", 2000000, "SUD"), ("
        ("2A", "Corse-du-Sud", 160000, "SUD")]
 
 
-@settings(max_examples=int(os.environ.get("RANDOM_EXAMPLES", "2")), deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture],
+@settings(max_examples=int(os.environ.get("RANDOM_EXAMPLES", "4")), deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture],
           phases=[Phase.explicit, Phase.reuse, Phase.generate])
 @given(drawn=st.lists(contract, min_size=60, max_size=200))
 def test_every_registered_query_on_random_registers(spark, tmp_path_factory, drawn):

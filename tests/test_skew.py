@@ -9,8 +9,11 @@ import contextlib
 import io
 
 
+from pyspark.sql import functions as F
+
 from rows import contract, groups_df, raw_df
 from tenderlake.operators import marts, staging
+from tenderlake.plans import registry
 
 SKEW_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -71,3 +74,17 @@ def test_hot_holder_join_and_buyer_aggregates(spark):
     assert sum(counts.values()) == 1500
     assert counts["NON MAPPE"] == 500 + 250  # holder-less plus the unmapped H-odd holders
     assert buyers["BIG"] == 1000
+
+
+def test_hot_holder_is_dealt_out_on_the_registered_path(spark):
+    """The reference is cleaned in line there: the join is salted."""
+    raw = raw_df(spark, _skewed_rows()).repartition(8)
+    groups = groups_df(spark, [("HOT", "Hot Co", "GROUP_HOT")])
+    with conf(spark, SKEW_CONF | {"spark.sql.shuffle.partitions": "32"}):
+        t = staging.stg_titulaires(staging.stg_marches(raw), groups)
+        per_task = [r["count"] for r in t.filter("siret = 'HOT'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 500 and len(per_task) >= 6 and max(per_task) < 200
+    with conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        with contextlib.redirect_stdout(io.StringIO()) as buf:
+            registry.QUERIES["stg_titulaires"](spark, "/root/testdata/sf0.001").explain()
+    assert "SortMergeJoin" in buf.getvalue() and "_part" in buf.getvalue()
