@@ -172,33 +172,38 @@ def _shared(t: pa.Table) -> pa.Table:
     return pa.table({"sid": sid.view(np.int64), "n": z[at].astype(np.int64), "shared": count.astype(np.int64)})
 
 
-def _ranked(t: pa.Table) -> pa.Table:
-    """(sid, n, part): a set's shared shingles in this bucket as (frequency, hash) pairs."""
+_RANKED = pa.schema([("part", pa.int32()), ("sid", pa.binary()), ("n", pa.binary()), ("df", pa.binary()), ("hash", pa.binary())])
+RANKED = "part int, sid binary, n binary, df binary, hash binary"
+
+
+def _ranked(t: pa.Table, parts: int) -> pa.Table:
+    """A bucket's shared shingles, each with its set and frequency, dealt out again by set: a row per part."""
     h, s, z, df = _meet(t)
-    order = np.argsort(s, kind="stable")
-    pairs = np.empty((len(h), 2), np.uint64)
-    pairs[:, 0], pairs[:, 1] = df[order], h[order]
-    sid, at, count = np.unique(s[order], return_index=True, return_counts=True)
-    return pa.table({"sid": sid.view(np.int64), "n": z[order][at].astype(np.int64),
-                     "part": pa.array([pairs[a:a + c].tobytes() for a, c in zip(at.tolist(), count.tolist())], pa.binary())})
+    part = (s % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((s, part))
+    h, s, z, df, part = h[order], s[order], z[order], df[order], part[order]
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+    cols = [part[cuts[:-1]], *([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] for x in (s, z.astype(np.int32), df.astype(np.int64), h))]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, _RANKED.types)], schema=_RANKED)
 
 
 _ORDERED = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("tokens", pa.binary()),
                       ("prefix", pa.list_(pa.int64()))])
 
 
-def _ordered(batches):
-    """Each set's shared shingles in global order, rarest first, and those of its prefix."""
-    for b in batches:
-        rows = []
-        for sid, n, parts in zip(*(c.to_pylist() for c in b.columns)):
-            pairs = np.frombuffer(b"".join(parts), np.uint64).reshape(-1, 2)
-            if len(pairs) < need(n):
-                continue
-            tokens = pairs[np.lexsort((pairs[:, 1], pairs[:, 0])), 1]
-            rows.append((sid, n, len(tokens), tokens.tobytes(), tokens[:len(tokens) - need(n) + 1].view(np.int64).tolist()))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ORDERED.types)], schema=_ORDERED)
+def _ordered(t: pa.Table) -> pa.Table:
+    """Each set's shared shingles in global order, rarest first, and those of its prefix; sets with too few are left out."""
+    s, n, df, h = (np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()])
+                   for c, k in (("sid", np.uint64), ("n", np.int32), ("df", np.int64), ("hash", np.uint64)))
+    order = np.lexsort((h, df, s))
+    s, n, h = s[order], n[order], h[order]
+    _, begin, m = np.unique(s, return_index=True, return_counts=True)
+    rows = []
+    for a, size in zip(begin.tolist(), m.tolist()):
+        whole, tokens = int(n[a]), h[a:a + size]
+        if size >= need(whole):
+            rows.append((int(s[a].view(np.int64)), whole, size, tokens.tobytes(), tokens[:size - need(whole) + 1].view(np.int64).tolist()))
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, _ORDERED.types)], schema=_ORDERED)
 
 
 class Trie:
@@ -327,9 +332,8 @@ def linked_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     wanted = one.join(likely, "sid").select(F.col("sid"), F.col("doc_id").alias("id"))
     whole = (docs.join(wanted, docs["doc_id"] == wanted["id"]).select("sid", "text")
              .mapInArrow(lambda it: _whole(it, k, buckets), POSTINGS))
-    ordered = cut(whole.groupBy("bucket").applyInArrow(_ranked, "sid long, n long, part binary")
-                  .groupBy("sid", "n").agg(F.collect_list("part").alias("parts"))
-                  .mapInArrow(_ordered, "sid long, n long, m long, tokens binary, prefix array<long>"), "ordered")
+    ordered = cut(whole.groupBy("bucket").applyInArrow(lambda t: _ranked(t, buckets), RANKED)
+                  .groupBy("part").applyInArrow(_ordered, "sid long, n long, m long, tokens binary, prefix array<long>"), "ordered")
     linked = components(cut(_links(ordered), "links"))
     classes = cut(one.join(linked, one["sid"] == linked["id"], "left")
                   .select("sid", "doc_id", F.coalesce("component", "sid").alias("class")), "classes")
