@@ -118,14 +118,14 @@ def identify(docs: DataFrame, languages=LANGUAGES) -> DataFrame:
     hosts = cut(scored.groupBy("host", "suffix").agg(F.array(*per).alias("host_n")), "hosts")
     up = [F.sum(F.col("host_n")[k]) for k in range(kinds)]
     suffixes = hosts.groupBy("suffix").agg(F.array(*up).alias("suffix_n"))
-    overall = hosts.agg(F.array(*[F.coalesce(x, F.lit(0.0)) for x in up]).alias("all_n"))
-    levels = cut(hosts.join(suffixes, "suffix").crossJoin(F.broadcast(overall)).drop("suffix"), "levels")  # overall is one row
+    levels = cut(hosts.join(suffixes, "suffix").drop("suffix"), "levels")
+    overall = hosts.agg(*[F.coalesce(x, F.lit(0.0)) for x in up]).first()  # a number per language
 
     d = scored.join(levels, "host")
     own = lambda k: F.when(F.col("guess") == k, 1.0).otherwise(0.0)  # noqa: E731  a document doesn't vote for itself
 
     def prior(k: int) -> Column:
-        base = (F.col("all_n")[k] - own(k) + 1.0) / (F.aggregate("all_n", F.lit(0.0), lambda a, x: a + x) + kinds)
+        base = (F.lit(overall[k]) - own(k) + 1.0) / F.lit(sum(overall) + kinds)
         suf = (F.greatest(F.col("suffix_n")[k] - own(k), F.lit(0.0)) + SUFFIX_SMOOTHING * base) / (
             F.aggregate("suffix_n", F.lit(0.0), lambda a, x: a + x) + SUFFIX_SMOOTHING)
         host = (F.greatest(F.col("host_n")[k] - own(k), F.lit(0.0)) + HOST_SMOOTHING * suf) / (
