@@ -16,89 +16,116 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tenderlake.llm.textops import Powers, hash_spans, text_slices
+
 CAPACITY = 2048
 BLOCK_TAILS = 768
 END_ID = 1
-#: encoded words kept by a task (an entry takes some 200 bytes)
-CACHED_WORDS = 400_000
+#: text whose different words are encoded together
+GROUP_BYTES = 32 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-class WordEncoder:
-    """Token ids as little-endian uint32 bytes, encoded word by word.
+class TextEncoder:
+    """Token ids as little-endian uint32 bytes, by encoding each different word of a group of texts once.
 
     For tokenizers like ``word_bpe_49k``: white space is dropped, runs of
-    letters and of symbols are separate, upper case is folded. A text's ids
-    are then those of its words, and a word is encoded once. A word of plain
-    Latin letters goes to the tokenizer's BPE model without its normalizer,
-    which finds nothing to do there. Characters that str.split() takes for
-    white space and the tokenizer doesn't (0x1c-0x1f), and the markers of
-    special tokens, send the whole text through the tokenizer instead.
+    letters, single digits and runs of symbols are separate words, upper case
+    is folded. Words are found and told apart by 64-bit hashes in numpy, and
+    one of each goes to the tokenizer's BPE model, past its normalizer and
+    splitter. Texts for which those would do more go through the whole
+    tokenizer: with an apostrophe (it may begin a word), with characters
+    beyond U+023F or that aren't letters, with markers of special tokens.
     """
 
     def __init__(self, path: str):
         import json
+        import os
 
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             plain = json.load(f)
         plain |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
         self.model = Tokenizer.from_str(json.dumps(plain))
         # byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.words: dict[str, bytes] = {}
+        hidden = [b for b in range(256) if b not in shown]  # the space among them: it never gets here but between words
+        self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden) if b != 32}
+        self.powers = Powers()
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, new: set[str]) -> None:
-        known, parts, letters, other = self.words, {}, set(), set()
-        for w in new:
-            core = w.rstrip(".,;:!?")
-            low = core.lower()
-            if core and core.isalpha() and max(low) < "\u0250" and max(core) < "\u0130":
-                parts[w] = (low, w[len(core):])
-                if low not in known:
-                    letters.add(low)
-                if len(core) < len(w) and parts[w][1] not in known:
-                    other.add(parts[w][1])
-            else:
-                other.add(w)
-        letters, other = list(letters), list(other)
-        mapped = [w.encode().decode("latin-1").translate(self.alphabet) for w in letters]
-        for w, e in zip(letters, self.model.encode_batch_fast(mapped, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (low, tail) in parts.items():
-            if w != low:
-                known[w] = known[low] + known[tail] if tail else known[low]
-
-    def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
-
-    def many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; unknown words of all texts are encoded together."""
-        whole = {i for i, t in enumerate(texts) if any(m in t for m in self.marks) or any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        split = [() if i in whole else t.split() for i, t in enumerate(texts)]
-        new = set().union(*split).difference(self.words)
-        if new:
-            self.learn(new)
-        known = self.words
-        return [self.raw(t) if i in whole else b"".join([known[w] for w in s]) for i, (t, s) in enumerate(zip(texts, split))]
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def spans(self, data: np.ndarray, offsets: np.ndarray):
+        """(hash, document, start, end) of each word, and which documents need the whole tokenizer."""
+        docs = len(offsets) - 1
+        kind = np.full(len(data), 2, np.uint8)  # symbols
+        folded = data | np.uint8(32)
+        kind[((folded >= 97) & (folded <= 122)) | (data >= 128)] = 1
+        kind[(data >= 48) & (data <= 57)] = 3
+        kind[(data == 32) | ((data >= 9) & (data <= 13))] = 0
+        before = np.concatenate(([0], data[:-1])) if len(data) else data
+        odd = (data == 39) | ((data >= 0xC0) & ((data < 0xC3) | (data > 0xC8))) | ((data == 124) & (before == 60))
+        odd |= ((before == 0xC3) & ((data == 0x97) | (data == 0xB7))) | ((before == 0xC4) & (data == 0xB0))
+        total = np.concatenate(([0], np.cumsum(odd)))
+        special = total[offsets[1:]] > total[offsets[:-1]]
+        first = kind > 0
+        last = first.copy()
+        same = (kind[1:] == kind[:-1]) & (kind[1:] != 3)
+        at = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+        same[at - 1] = False
+        first[1:] &= ~same
+        last[:-1] &= ~same
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        doc = np.searchsorted(offsets, start, "right") - 1
+        fine = ~special[doc]
+        start, end, doc = start[fine], end[fine], doc[fine]
+        return hash_spans(data, start, end, self.powers), doc, start, end, special
+
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text."""
+        slices, parts, special = [], [], []
+        for lo, hi, data, offsets in text_slices(texts):
+            h, doc, start, end, whole = self.spans(data, offsets)
+            slices.append((data, start, end))
+            parts.append((h, doc + lo))
+            special += (lo + np.flatnonzero(whole)).tolist()
+        out = [b""] * len(texts)
+        h, doc = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        if len(h):
+            _, at, where = np.unique(h, return_index=True, return_inverse=True)
+            edge, words = np.cumsum([0, *(len(p[0]) for p in parts)]), np.empty(len(at), object)
+            for (data, start, end), a, z in zip(slices, edge, edge[1:]):
+                mine = np.flatnonzero((at >= a) & (at < z))
+                raw = data.tobytes()
+                words[mine] = [raw[i:j] for i, j in zip(start[at[mine] - a].tolist(), end[at[mine] - a].tolist())]
+            lower = b" ".join(words).decode().lower().encode()  # no word holds a space
+            mapped = lower.decode("latin-1").translate(self.alphabet).split(" ")
+            coded = [array("I", e.ids) for e in self.model.encode_batch_fast(mapped, add_special_tokens=False)]
+            size = np.array([len(c) for c in coded], np.int64)
+            flat = np.frombuffer(b"".join(coded), "<u4")
+            n = size[where]
+            ids = flat[np.repeat((np.cumsum(size) - size)[where] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+            per = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
+            edge = (4 * np.concatenate(([0], np.cumsum(per)))).tolist()
+            out = [ids[a:z] for a, z in zip(edge, edge[1:])]
+        for d in special:
+            out[d] = self.raw(texts[d].as_py())
+        return out
 
 
 def difference(sizes: np.ndarray, windows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,27 +208,24 @@ def pack_block(sizes: np.ndarray, capacity: int = CAPACITY) -> list[list[tuple[i
     return out
 
 
-def encoded(batches, encode, chars: int = 1 << 20):
-    """(doc_id, ids) of each row, encoded by the megabyte of text."""
-    ids, texts, size = [], [], 0
+def encoded(batches, encode):
+    """(doc_id, ids) of each row, encoded in groups of about GROUP_BYTES."""
     for b in batches:
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-            ids.append(doc_id)
-            texts.append(text.as_py() or "")
-            size += len(texts[-1])
-            if size >= chars or len(texts) >= 4096:
-                yield from zip(ids, encode.many(texts))
-                ids, texts, size = [], [], 0
-    yield from zip(ids, encode.many(texts))
+        lo, size = 0, 0
+        for i, n in enumerate(pa.compute.binary_length(b.column(1)).fill_null(0).to_pylist()):
+            size += n
+            if size >= GROUP_BYTES:
+                yield from zip(b.column(0).slice(lo, i + 1 - lo).to_pylist(), encode.many(b.column(1).slice(lo, i + 1 - lo)))
+                lo, size = i + 1, 0
+        if lo < b.num_rows:
+            yield from zip(b.column(0).slice(lo).to_pylist(), encode.many(b.column(1).slice(lo)))
 
 
 def _packer(path: str, capacity: int, block_tails: int, end_id: int, keep_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encode, task = WordEncoder(path), TaskContext.get().partitionId() << 40
+        encode, task = TextEncoder(path), TaskContext.get().partitionId() << 40
         made, rows, tails = 0, [], []
 
         def piece(doc, ids, start, length, total, offset):

@@ -70,14 +70,18 @@ def words(data: np.ndarray, offsets: np.ndarray, powers: Powers, plain: bool = F
     at = offsets[1:][offsets[1:] > 0] - 1
     last[at] = word[at]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return hash_spans(data, start, end, powers), np.searchsorted(offsets, start, "right") - 1, start, end
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, A-Z lower-cased."""
     low = data.astype(np.uint64)
     low[(data >= 65) & (data <= 90)] += np.uint64(32)
-    up, down = powers.to(n)
-    total = np.zeros(n + 1, np.uint64)
+    up, down = powers.to(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((low + np.uint64(1)) * up, out=total[1:])
     h = (total[end] - total[start]) * down[start]
-    h = mix(h + (end - start).astype(np.uint64) * _COEF[63])
-    return h, np.searchsorted(offsets, start, "right") - 1, start, end
+    return mix(h + (end - start).astype(np.uint64) * _COEF[63])
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
