@@ -33,8 +33,9 @@ def read_register_text(spark: SparkSession, path: str, multiline: bool = True) -
     if multiline:
         doc = (spark.read.schema(REGISTER_DOCUMENT_TEXT).option("multiLine", "true").option("mode", "FAILFAST").json(path))
         return doc.select(F.explode("marches.marche").alias("m")).select("m.*", F.lit(None).cast("string").alias(BROKEN))
-    return (spark.read.schema(T.StructType([*CONTRACT_TEXT.fields, T.StructField(BROKEN, T.StringType())]))
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path))
+    line = T.StructType([*CONTRACT_TEXT.fields, T.StructField(BROKEN, T.StringType())])
+    return (spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+            .select(F.from_json("value", line, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("m")).select("m.*"))
 
 
 def read_register(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:

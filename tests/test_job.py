@@ -126,7 +126,8 @@ def test_refresh_from_snapshots(spark, scratch):
     os.makedirs(drop)
     raw = bridge.raw_contracts(t)
     # two monthly snapshots as NDJSON files; the newest is the whole register
-    raw.limit(10).toPandas().to_json(os.path.join(drop, "decp_2026-10.json"), orient="records", lines=True)
+    with open(os.path.join(drop, "decp_2026-10.json"), "w") as out:
+        out.write("\n".join(r[0] for r in raw.limit(10).select(F.to_json(F.struct("*"))).collect()))
     raw.write.mode("overwrite").json(os.path.join(scratch, "tmp_full"))
     full = [f for f in os.listdir(os.path.join(scratch, "tmp_full")) if f.endswith(".json")]
     with open(os.path.join(drop, "decp_2026-11.json"), "w") as out:

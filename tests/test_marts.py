@@ -149,12 +149,12 @@ def test_bridge_counts(bridge_catalog):
     c = bridge_catalog
     assert c.stg_marches.count() == 14438
     profiles = {r.profil_publication: r["count"] for r in c.buyer_activity().groupBy("profil_publication").count().collect()}
-    assert profiles == {"REGULIER": 92, "OCCASIONNEL": 678, "PONCTUEL": 19}
+    assert profiles == {"REGULIER": 91, "OCCASIONNEL": 672, "PONCTUEL": 19}
     assert c.overruns().count() == 5948
     assert c.spending_by_department().count() == 25
     levels = {r.niveau_concentration: r["count"]
               for r in c.concentration_by_cpv().groupBy("niveau_concentration").count().collect()}
-    assert levels == {"MONOPOLE": 5, "DOMINANT": 5, "MAJEUR": 5, "PRESENT": 65}
+    assert levels == {"MONOPOLE": 5, "DOMINANT": 5, "MAJEUR": 5, "PRESENT": 70}
 
 
 def test_recurring_dates_are_text_min_max_with_mixed_formats(spark):
