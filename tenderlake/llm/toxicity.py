@@ -93,10 +93,8 @@ class Model:
         n = np.bincount(segment, minlength=segments)
         return np.bincount(segment, weights=per_gram[grams], minlength=segments) / np.maximum(n, 1) + float(self.bias[1] - self.bias[0])
 
-    def train(self, bags, labels, epochs: int, rate: float, batch: int = 512, seed: int = SEED) -> None:
-        """Adagrad on segments: ``bags`` = (grams, first gram of each segment), ``labels`` 0 or 1."""
-        grams, first = bags
-        size = np.diff(np.append(first, len(grams)))
+    def train(self, grams, first, size, labels, epochs: int, rate: float, batch: int = 512, seed: int = SEED) -> None:
+        """Adagrad on segments: n-grams ``first`` to ``first + size`` of ``grams`` each, ``labels`` 0 or 1."""
         g2 = [np.full(x.shape, 1e-6, np.float32) for x in (self.table, self.weights, self.bias)]
         r = np.random.default_rng(seed)
         share = np.array([0.5 / max(1, (labels == k).sum()) for k in (0, 1)]) * len(labels)
@@ -106,7 +104,7 @@ class Model:
                 mine = order[lo:lo + batch]
                 n = size[mine]
                 begin = np.cumsum(n) - n
-                g = grams[np.repeat(first[mine] - begin, n) + np.arange(n.sum())]
+                g = grams[np.repeat(first[mine] - begin, n) + np.arange(n.sum())].astype(np.int64)
                 mean = np.add.reduceat(self.table[g], begin, axis=0) / n[:, None]
                 logits = mean @ self.weights + self.bias
                 p = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -137,13 +135,26 @@ class Model:
 
 
 def _bags(texts):
-    col = pa.array(texts, pa.string())
-    out, base, base_doc = [], 0, 0
-    for lo, hi, data, offsets in text_slices(col):
-        grams, segment, owner = subwords(data, offsets)
-        out.append((grams.astype(np.int32), segment + base, owner + lo))
-        base += len(owner)
-    return tuple(np.concatenate(x) if out else np.zeros(0, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+    """(buckets of all n-grams, two bytes each, first n-gram of each segment, document of each segment)."""
+    grams, sizes, owners = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, _, data, offsets in text_slices(pa.array(texts, pa.string())):
+        g, segment, owner = subwords(data, offsets)
+        grams.append(g.astype(np.uint16))
+        sizes.append(np.bincount(segment, minlength=len(owner)))
+        owners.append(owner + lo)
+    sizes = np.concatenate(sizes)
+    return np.concatenate(grams), np.cumsum(sizes) - sizes, np.concatenate(owners)
+
+
+def _bag_odds(model, grams, first, step: int = 20_000) -> np.ndarray:
+    """Log-odds of each segment, some thousand segments at a time."""
+    per_gram, out = model.weight_of(), np.empty(len(first))
+    ends = np.append(first, len(grams))
+    for lo in range(0, len(first), step):
+        hi = min(lo + step, len(first))
+        sums = np.add.reduceat(per_gram[grams[ends[lo]:ends[hi]]].astype(float), first[lo:hi] - ends[lo])
+        out[lo:hi] = sums / np.diff(ends[lo:hi + 1])
+    return out + float(model.bias[1] - model.bias[0])
 
 
 def _top(odds, owner, docs, rng=None):
@@ -163,27 +174,22 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 6) -> Model:
     if len(set(labels.tolist())) < 2:
         model.logistic = np.array([0.0, 0.0, -3.0 if not labels.any() else 3.0])
         return model
-    grams, segment, owner = _bags(texts)
+    grams, first, owner = _bags(texts)
     fitted = np.arange(len(texts)) % 4 != 3  # the rest is for the final logistic
-    first = np.searchsorted(segment, np.arange(len(owner)))
-    some = np.append(grams, 0)
-    per_segment = np.diff(np.append(first, len(grams)))
+    sizes = np.diff(np.append(first, len(grams)))  # every word has an n-gram, so no segment is empty
 
     def train(chosen, epochs, rate, seed):
-        chosen = chosen[fitted[owner[chosen]] & (per_segment[chosen] > 0)]
-        n = per_segment[chosen]
-        begin = np.cumsum(n) - n
-        g = some[np.repeat(first[chosen] - begin, n) + np.arange(n.sum())]
-        model.train((g, begin), labels[owner[chosen]], epochs, rate, seed=seed)
+        chosen = chosen[fitted[owner[chosen]]]
+        model.train(grams, first[chosen], sizes[chosen], labels[owner[chosen]], epochs, rate, seed=seed)
 
     r = np.random.default_rng(SEED)
     train(np.arange(len(owner)), 2, 0.1, SEED)
     for k in range(rounds):
-        odds = model.segment_odds(model.weight_of(), grams, segment, len(owner))
+        odds = _bag_odds(model, grams, first)
         top = _top(odds, owner, len(texts))
         other = _top(odds, owner, len(texts), r)
         train(np.concatenate([top, other[labels[owner[other]] == 0]]), 3, 0.05, SEED + k)
-    odds = model.segment_odds(model.weight_of(), grams, segment, len(owner))
+    odds = _bag_odds(model, grams, first)
     best = np.full(len(texts), -20.0)
     np.maximum.at(best, owner, odds)
     x = np.stack([best, np.log1p(np.bincount(owner, minlength=len(texts))), np.ones(len(texts))], axis=1)[~fitted]
