@@ -165,11 +165,36 @@ def _meet(t: pa.Table):
     return h[many], s[many], z[many], df[many]
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """(sid, n, shared): how many of a set's hashes in this bucket others have too."""
+def _by_part(part: np.ndarray, columns: list[np.ndarray], schema: pa.Schema) -> pa.Table:
+    """Rows of (part, each column's bytes): what a bucket has for each part of the sets."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
+    cols = [part[cuts[:-1]], *([c[order][a:b].tobytes() for a, b in zip(cuts, cuts[1:])] for c in columns)]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, schema.types)], schema=schema)
+
+
+def _gathered(t: pa.Table, kinds: dict[str, type]) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()]) for c, k in kinds.items()]
+
+
+_SHARED = pa.schema([("part", pa.int32()), ("sid", pa.binary()), ("n", pa.binary()), ("shared", pa.binary())])
+SHARED = "part int, sid binary, n binary, shared binary"
+
+
+def _shared(t: pa.Table, parts: int) -> pa.Table:
+    """How many of each set's hashes in this bucket others have too, dealt out by set."""
     _, s, z, _ = _meet(t)
     sid, at, count = np.unique(s, return_index=True, return_counts=True)
-    return pa.table({"sid": sid.view(np.int64), "n": z[at].astype(np.int64), "shared": count.astype(np.int64)})
+    return _by_part((sid % np.uint64(parts)).astype(np.int32), [sid, z[at].astype(np.int32), count.astype(np.int32)], _SHARED)
+
+
+def _likely(t: pa.Table) -> pa.Table:
+    """The sets of a part of which enough hashes are shared."""
+    s, n, shared = _gathered(t, {"sid": np.uint64, "n": np.int32, "shared": np.int32})
+    sid, at, where = np.unique(s, return_index=True, return_inverse=True)
+    total = np.bincount(where, weights=shared, minlength=len(sid))
+    return pa.table({"sid": sid[total > np.floor(EXTRA * n[at])].view(np.int64)})
 
 
 _RANKED = pa.schema([("part", pa.int32()), ("sid", pa.binary()), ("n", pa.binary()), ("df", pa.binary()), ("hash", pa.binary())])
@@ -179,12 +204,9 @@ RANKED = "part int, sid binary, n binary, df binary, hash binary"
 def _ranked(t: pa.Table, parts: int) -> pa.Table:
     """A bucket's shared shingles, each with its set and frequency, dealt out again by set: a row per part."""
     h, s, z, df = _meet(t)
-    part = (s % np.uint64(parts)).astype(np.int32)
-    order = np.lexsort((s, part))
-    h, s, z, df, part = h[order], s[order], z[order], df[order], part[order]
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else [0]
-    cols = [part[cuts[:-1]], *([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])] for x in (s, z.astype(np.int32), df.astype(np.int64), h))]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, _RANKED.types)], schema=_RANKED)
+    order = np.argsort(s, kind="stable")
+    h, s, z, df = h[order], s[order], z[order], df[order]
+    return _by_part((s % np.uint64(parts)).astype(np.int32), [s, z.astype(np.int32), df.astype(np.int64), h], _RANKED)
 
 
 _ORDERED = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("m", pa.int64()), ("tokens", pa.binary()),
@@ -193,8 +215,7 @@ _ORDERED = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("m", pa.int64()),
 
 def _ordered(t: pa.Table) -> pa.Table:
     """Each set's shared shingles in global order, rarest first, and those of its prefix; sets with too few are left out."""
-    s, n, df, h = (np.concatenate([np.frombuffer(x, k) for x in t.column(c).to_pylist()])
-                   for c, k in (("sid", np.uint64), ("n", np.int32), ("df", np.int64), ("hash", np.uint64)))
+    s, n, df, h = _gathered(t, {"sid": np.uint64, "n": np.int32, "df": np.int64, "hash": np.uint64})
     order = np.lexsort((h, df, s))
     s, n, h = s[order], n[order], h[order]
     _, begin, m = np.unique(s, return_index=True, return_counts=True)
@@ -325,9 +346,8 @@ def linked_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     sets = cut(keyed.mapInArrow(lambda it: _sets(it, k), "doc_id long, text_key long, n_shingles long, sid long"), "sets")
     spread = docs.select("text").mapInArrow(lambda it: _smallest(it, k, buckets), POSTINGS)
-    likely = cut(spread.groupBy("bucket").applyInArrow(_shared, "sid long, n long, shared long")
-                 .groupBy("sid", "n").agg(F.sum("shared").alias("shared"))
-                 .where(F.col("shared") > F.floor(F.lit(EXTRA) * F.col("n"))).select("sid"), "likely")
+    likely = cut(spread.groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), SHARED)
+                 .groupBy("part").applyInArrow(_likely, "sid long"), "likely")
     one = sets.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     wanted = one.join(likely, "sid").select(F.col("sid"), F.col("doc_id").alias("id"))
     whole = (docs.join(wanted, docs["doc_id"] == wanted["id"]).select("sid", "text")
