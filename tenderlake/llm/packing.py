@@ -30,7 +30,7 @@ CAPACITY = 2048
 BLOCK_TAILS = 768
 END_ID = 1
 #: text whose different words are encoded together
-GROUP_BYTES = 32 << 20
+GROUP_BYTES = 6 << 20
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
