@@ -1,18 +1,16 @@
 """Repeated passages by a sparse suffix array.
 
-Of a text's suffixes those at minimiser positions are kept: the words with the
-smallest k-gram hash in any window of consecutive ones, which depends on the
-words alone, so two copies of a passage keep suffixes at the same places. The
-kept suffixes of all documents are sorted, neighbours compared to the right,
-and matches extended to the left. A passage longer than a suffix's stored words
-is the union of its suffixes' matches.
-
-A repeated passage of MIN_WORDS words holds a kept suffix in its first WINDOW
-words, so copies share the PREFIX words from there; suffixes whose prefix
-occurs once are dropped before any text is sorted. Passages of MIN_WORDS +
-WINDOW words and more are always found; shorter ones from MIN_WORDS on, unless
-a third text agrees with one copy for longer on one side and stands between
-the two in the order.
+Of a text's suffixes those at minimiser positions are anchors: the words with
+the smallest k-gram hash in any window of consecutive ones, which depends on the
+words alone, so two copies of a passage have anchors at the same places. A run
+of MIN_WORDS words has an anchor among its first WINDOW words, and all PREFIX
+words from there; so where a run occurs again, its anchor's prefix does.
+
+Around anchors whose prefix occurs again, the suffixes that can begin a run
+with that anchor are sorted over all documents by (a hash of) their first
+MIN_WORDS words, and neighbours compared. Every run of MIN_WORDS words that
+occurs again is found, whatever sorts between; a longer passage is the union
+of its runs.
 """
 
 from __future__ import annotations
@@ -30,8 +28,6 @@ GRAM = 8
 WINDOW = 26
 #: words that the copies of a passage share from a kept position on
 PREFIX = MIN_WORDS - WINDOW + 1
-#: words stored on either side of the prefix
-SIDE = 25
 
 
 def kept_positions(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -71,92 +67,114 @@ def _anchors(batches):
                     names=["key", "doc_id", "pos"])
 
 
-_SUFFIX = pa.schema([("key", pa.int64()), ("right", pa.binary(4 * SIDE)), ("left", pa.binary(4 * SIDE)), ("doc_id", pa.int64()),
-                     ("pos", pa.int32()), ("first_doc", pa.int64())])
-SUFFIX = "key long, right binary, left binary, doc_id long, pos int, first_doc long"
+_SUFFIX = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
+SUFFIX = "key long, doc_id long, start int"
 
 
 def _suffixes(batches):
-    """The words after the prefix and before the position (nearest first) of each anchor.
-
-    Words are 32-bit hashes, big-endian, so bytes sort as word sequences do;
-    0 stands for no word."""
+    """The suffixes that begin a run of MIN_WORDS words around one of the anchors given: a hash of the run, doc_id, first word."""
     powers = Powers()
     for b in batches:
         ids, anchors = b.column(0).to_numpy(), b.column(2)
         for lo, hi, data, offsets in text_slices(b.column(1)):
             h, doc, _, _ = words(data, offsets, powers)
-            code = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-            code = np.concatenate([code, np.zeros(1, np.uint32)])
             part = anchors.slice(lo, hi - lo)
-            n = np.diff(part.offsets.to_numpy())
-            flat = part.flatten()
-            pos, key, first_doc = (flat.field(i).to_numpy() for i in range(3))
             begin = np.searchsorted(doc, np.arange(hi - lo + 1))
-            owner = np.repeat(np.arange(hi - lo), n)
-            at = pos + begin[owner]
-            fits = at + PREFIX <= begin[owner + 1]  # another row of the same id may be shorter
-            at, owner, pos, key, first_doc = at[fits], owner[fits], pos[fits], key[fits], first_doc[fits]
-            same = prefix_keys(h, at).view(np.int64) == key
-            at, owner, pos, key, first_doc = at[same], owner[same], pos[same], key[same], first_doc[same]
-            for a in range(0, len(at), 20_000):
-                z = slice(a, a + 20_000)
-                right = at[z, None] + PREFIX + np.arange(SIDE)
-                right = np.where(right < begin[owner[z] + 1][:, None], right, len(h))
-                left = at[z, None] - 1 - np.arange(SIDE)
-                left = np.where(left >= begin[owner[z]][:, None], left, len(h))
-                side = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SIDE), len(x), [None, pa.py_buffer(code[x].astype(">u4").tobytes())]) for x in (right, left)]
+            owner = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
+            at = part.flatten().to_numpy() + begin[owner]
+            # another row of the same id may be shorter
+            first, last = np.maximum(at - WINDOW + 1, begin[owner]), np.minimum(at, begin[owner + 1] - MIN_WORDS)
+            some = first <= last
+            edge = np.zeros(len(h) + 1, np.int64)
+            np.add.at(edge, first[some], 1)
+            np.add.at(edge, last[some] + 1, -1)
+            start = np.flatnonzero(np.cumsum(edge[:-1]))
+            key = grams(h, MIN_WORDS)[start].view(np.int64)
+            for a in range(0, len(start), 100_000):
+                z = slice(a, a + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[z]), side[0].cast(pa.binary()), side[1].cast(pa.binary()), pa.array(ids[lo + owner[z]]),
-                     pa.array(pos[z]), pa.array(first_doc[z])], names=_SUFFIX.names)
-
-
-def compare(key, right, left, pos):
-    """For each row but the last against the next one: (words matched to the left, from the position on); 0, 0 under MIN_WORDS."""
-    def common(x):
-        same = (x[1:] == x[:-1]) & (x[1:] != 0)
-        return np.logical_and.accumulate(same, axis=1).sum(axis=1)
-
-    before, after = common(left), PREFIX + common(right)
-    good = (key[1:] == key[:-1]) & (before + after >= MIN_WORDS)
-    return np.where(good, before, 0), np.where(good, after, 0)
-
+                    [pa.array(key[z]), pa.array(ids[lo + doc[start[z]]]), pa.array((start[z] - begin[doc[start[z]]]).astype(np.int32))], schema=_SUFFIX)
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(-1, SIDE)
 
-
-_SPAN = "doc_id long, start int, end int, first_doc long, key long, right binary, left binary, pos int"
+_RUN = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("first_doc", pa.int64()), ("key", pa.int64()), ("kind", pa.int8())])
+RUN = "doc_id long, start int, first_doc long, key long, kind byte"
+#: a run that occurs again (with its key if equal to the task's first); a task's first or last suffix that has an equal one there; one that has none
+FOUND, EDGE, ALONE = range(3)
 
 
 def _neighbours(batches):
-    """Spans of suffixes that match a neighbour; and the first and last suffix, for the neighbours beyond this task."""
-    names = [x.split()[0] for x in _SPAN.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
-
-    def edge(row):
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(
-            (row["doc_id"], None, None, row["first_doc"], row["key"], row["right"], row["left"], row["pos"]), types)], names=names)
+    """Suffixes, sorted, that equal a neighbour, each with the first document of its equals; and the first and last suffix, for the neighbours beyond this task."""
+    def rows(doc, start, first, key, kind):
+        return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip((doc, start, first, key, kind), _RUN.types)], schema=_RUN)
 
-    last = None
+    head = last = None  # [key, doc_id, start, first_doc, whether it has an equal]
+    several = False
     for b in batches:
         if not b.num_rows:
             continue
-        if last is None:
-            yield edge(b.slice(0, 1).to_pylist()[0])
-        t = pa.Table.from_batches([b] if last is None else [last, b]).combine_chunks()
-        last = b.slice(b.num_rows - 1, 1)
-        key, pos, ids, first = (t.column(c).to_numpy() for c in ("key", "pos", "doc_id", "first_doc"))
-        before, after = compare(key, _matrix(t.column("right")), _matrix(t.column("left")), pos)
-        hit = np.flatnonzero(after)
+        key, doc, start = (b.column(i).to_numpy() for i in range(3))
+        if last is not None:
+            key, doc, start = np.append(last[0], key), np.append(last[1], doc), np.append(last[2], start)
+        several |= len(key) > 1
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        run = np.cumsum(new) - 1
+        first = doc[np.flatnonzero(new)][run]
+        again = ~new
+        again[:-1] |= ~new[1:]
+        told = last is not None and last[4]
+        if last is not None:
+            first[run == 0] = last[3]
+        if head is None:
+            head = [key[0], doc[0], start[0], doc[0], False]
+        if again[0] and not told and key[0] == head[0] and start[0] == head[2] and doc[0] == head[1]:
+            head[4] = True
+        hit = again.copy()
+        if told:
+            hit[0] = False
+            again[0] = True
+        last = [key[-1], doc[-1], start[-1], first[-1], bool(again[-1])]
+        hit = np.flatnonzero(hit)
         if len(hit):
-            row = np.concatenate([hit, hit + 1])
-            start, end = pos[row] - np.tile(before[hit], 2), pos[row] + np.tile(after[hit], 2)
-            none = [pa.nulls(len(row), x) for x in types[4:]]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)),
-                                              pa.array(first[row]), *none], names=names)
-    if last is not None:
-        yield edge(last.to_pylist()[0])
+            yield rows(doc[hit], start[hit], first[hit], pa.array(key[hit], mask=key[hit] != head[0]), np.full(len(hit), FOUND, np.int8))
+    if head is not None:
+        for k, d, s, f, equal in [head, last] if several else [head]:
+            yield rows([d], [s], [f], [k], [EDGE if equal else ALONE])
+
+
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """One row per run of MIN_WORDS words of ``docs`` (doc_id, text) that occurs again:
+    doc_id, start, first_doc (the smallest doc_id that holds this run)."""
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    anchors = cut(docs.mapInArrow(_anchors, "key long, doc_id long, pos int"), "anchors")
+    often = cut(anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "often")
+    wanted = anchors.join(often, "key").groupBy("doc_id").agg(F.collect_list("pos").alias("anchors"))  # a document's own, as many as its words allow
+    found = cut(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_suffixes, SUFFIX), "suffixes")
+    order = ["key", "doc_id", "start"]
+    runs = cut(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, RUN), "runs")
+    # equal suffixes on either side of a task's end: two rows a task reach the driver
+    ends: dict[int, list] = {}
+    for r in runs.where(F.col("kind") != FOUND).collect():
+        ends.setdefault(r["key"], []).append(r)
+    ends = {k: v for k, v in ends.items() if len(v) > 1}
+    low = {k: min(r["first_doc"] for r in v) for k, v in ends.items()}
+    spark = docs.sparkSession
+    heads = spark.createDataFrame(list(low.items()), "key long, low long")
+    runs = (runs.where(F.col("kind") == FOUND)
+            .join(F.broadcast(heads), "key", "left")
+            .select("doc_id", "start", F.coalesce("low", "first_doc").alias("first_doc")))
+    extra = [(r["doc_id"], r["start"], low[k]) for k, v in ends.items() for r in v if r["kind"] == ALONE]
+    return runs.unionByName(spark.createDataFrame(extra, runs.schema)) if extra else runs
+
+
+def merged(runs: DataFrame) -> DataFrame:
+    """Overlapping and touching runs of a document as one row: doc_id, start_word, end_word, first_doc."""
+    w = Window.partitionBy("doc_id").orderBy("start")
+    runs = runs.withColumn("gap", F.col("start") - F.lag("start").over(w))
+    runs = runs.withColumn("passage", F.sum(F.when(F.col("gap") <= MIN_WORDS, 0).otherwise(1)).over(w))
+    return runs.groupBy("doc_id", "passage").agg(
+        F.min("start").cast("long").alias("start_word"), (F.max("start") + MIN_WORDS).cast("long").alias("end_word"),
+        F.min("first_doc").alias("first_doc")).drop("passage")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -170,34 +188,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows without doc_id have none; rows that repeat a doc_id are one
     document; other columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    anchors = cut(docs.mapInArrow(_anchors, "key long, doc_id long, pos int"), "anchors")
-    often = cut(anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").drop("n"), "often")
-    wanted = (anchors.join(often, "key").groupBy("doc_id")
-              .agg(F.collect_list(F.struct("pos", "key", "first_doc")).alias("anchors")))  # a document's own, as many as its words allow
-    found = cut(docs.join(wanted, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_suffixes, SUFFIX), "suffixes")
-    order = ["key", "right", "left", "doc_id", "pos"]
-    spans = cut(found.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _SPAN), "spans")
-    # neighbours on either side of a task's end: two rows a task reach the driver
-    ends = sorted(spans.where("key is not null").collect(), key=lambda r: (r["key"], bytes(r["right"]), bytes(r["left"]), r["doc_id"], r["pos"]))
-    extra = []
-    for a, b in zip(ends, ends[1:]):
-        key = np.array([a["key"], b["key"]])
-        side = [np.frombuffer(bytes(a[c]) + bytes(b[c]), ">u4").reshape(2, SIDE) for c in ("right", "left")]
-        before, after = compare(key, *side, None)
-        if after[0]:
-            extra += [(r["doc_id"], r["pos"] - int(before[0]), r["pos"] + int(after[0]), r["first_doc"]) for r in (a, b)]
-    spans = spans.where("key is null").select("doc_id", "start", "end", "first_doc")
-    if extra:
-        spans = spans.unionByName(docs.sparkSession.createDataFrame(extra, spans.schema))
-    spans = spans.groupBy("doc_id", "start").agg(F.max("end").alias("end"), F.min("first_doc").alias("first_doc"))
-    w = Window.partitionBy("doc_id").orderBy("start")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    spans = spans.withColumn("passage", F.sum("new").over(w))
-    return spans.groupBy("doc_id", "passage").agg(
-        F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"),
-        (F.max("end") - F.min("start")).cast("long").alias("n_words"), F.min("first_doc").alias("first_doc")).drop("passage")
+    return merged(repeated_runs(docs)).select(
+        "doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc")
 
 
 def _without(batches):

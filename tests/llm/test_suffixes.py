@@ -69,3 +69,22 @@ def test_given_documents(spark, sf):
     words = lambda s: {(d, i) for d, a, z in s for i in range(a, z)}
     assert {d for d, _, _ in got} == {d for d, _, _ in want}
     assert words(got) <= words(want) and len(words(got)) >= 0.999 * len(words(want))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_among_near_copies(spark, make_docs, seed):
+    """Short passages with partly agreeing texts between their copies in the order."""
+    r = random.Random(seed)
+    rows = []
+    for _ in range(12):
+        base = r.choices(VOCAB, k=200)
+        at = r.randrange(60, 100)
+        passage = base[at:at + r.randrange(50, 76)]
+        texts = [r.choices(VOCAB, k=30) + passage + r.choices(VOCAB, k=30)]
+        for _ in range(8):
+            near = list(base)
+            for _ in range(r.randrange(1, 4)):
+                near[at + r.randrange(len(passage))] = r.choice(VOCAB)
+            texts.append(near)
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate([base, *texts])]
+    assert spans(make_docs(rows)) == brute.passages(rows)
