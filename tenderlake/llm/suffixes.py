@@ -171,10 +171,13 @@ def merged(runs: DataFrame) -> DataFrame:
     """Overlapping and touching runs of a document as one row: doc_id, start_word, end_word, first_doc."""
     w = Window.partitionBy("doc_id").orderBy("start")
     runs = runs.withColumn("gap", F.col("start") - F.lag("start").over(w))
-    runs = runs.withColumn("passage", F.sum(F.when(F.col("gap") <= MIN_WORDS, 0).otherwise(1)).over(w))
+    runs = runs.withColumn("new", F.when(F.col("gap") <= MIN_WORDS, 0).otherwise(1))
+    runs = runs.withColumn("passage", F.sum("new").over(w))
+    # one document holds the whole of a row if it is the first of every run, with none left out between
+    whole = (F.min("first_doc") == F.max("first_doc")) & F.min((F.col("new") == 1) | (F.col("gap") <= 1))
     return runs.groupBy("doc_id", "passage").agg(
         F.min("start").cast("long").alias("start_word"), (F.max("start") + MIN_WORDS).cast("long").alias("end_word"),
-        F.min("first_doc").alias("first_doc")).drop("passage")
+        F.when(whole, F.min("first_doc")).otherwise(F.col("doc_id")).alias("first_doc")).drop("passage")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -184,7 +187,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     Words are runs of characters other than white space, A-Z lower-cased;
     a passage has MIN_WORDS of them at least and may occur again in the same
     document. Overlapping passages of a document are one row. first_doc is
-    the smallest doc_id that holds some part of it. Null and empty texts and
+    the smallest doc_id of every run of MIN_WORDS words of the row; a row
+    whose runs have different ones, or none somewhere, has its own doc_id
+    (``repeated_runs`` tells each run's). Null and empty texts and
     rows without doc_id have none; rows that repeat a doc_id are one
     document; other columns are ignored; an empty table gives no rows.
     """
@@ -213,7 +218,10 @@ def _without(batches):
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of ``docs`` with repeated passages left only in the smallest doc_id that has them."""
-    later = repeated_passages(docs).where("first_doc <> doc_id").groupBy("doc_id").agg(
+    """(doc_id, text) of ``docs`` without the runs of MIN_WORDS words that a smaller doc_id has too.
+
+    Runs are judged one by one, so every word of a passage stays in the
+    smallest doc_id that holds it in a run that occurs again."""
+    later = merged(repeated_runs(docs).where("first_doc <> doc_id")).groupBy("doc_id").agg(
         F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     return docs.select("doc_id", "text").join(later, "doc_id", "left").mapInArrow(_without, "doc_id long, text string")

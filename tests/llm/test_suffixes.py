@@ -88,3 +88,18 @@ def test_passages_among_near_copies(spark, make_docs, seed):
             texts.append(near)
         rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate([base, *texts])]
     assert spans(make_docs(rows)) == brute.passages(rows)
+
+
+def test_chained_and_partly_shared_passages_keep_a_copy(spark, make_docs):
+    r = random.Random(8)
+    a, b, c, d = (r.sample(range(10 ** 6), k=60) for _ in range(4))
+    text = lambda *parts: " ".join(f"v{x}" for p in parts for x in p)
+    rows = [(3, text(a)), (7, text(a, b)), (9, text(b)),  # chained
+            (11, text(c[:40])), (12, text(c, [1])), (13, text([2], c)),  # the smallest id has 40 words only
+            (20, text(d)), (21, text(d[20:], a[:40])), (22, text(d[:55], [3]))]
+    df = make_docs(rows)
+    got = {x["doc_id"]: x["text"].strip() for x in suffixes.cut_repeats(df).collect()}
+    assert got == {3: text(a), 7: text(b), 9: "", 11: text(c[:40]), 12: text(c, [1]), 13: text([2]),
+                   20: text(d), 21: text(d[20:], a[:40]), 22: text([3])}
+    first = {x["doc_id"]: x["first_doc"] for x in suffixes.repeated_passages(df).collect()}
+    assert first == {3: 3, 7: 7, 9: 7, 12: 12, 13: 12, 20: 20, 22: 20}
