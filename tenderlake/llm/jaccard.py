@@ -12,7 +12,8 @@
    each set walks it: a node's shingles are matched once for all sets below,
    a subtree is pruned by the overlap that remaining lengths still allow, or
    when it is in the walker's component already (one more link would tell
-   nothing new about components).
+   nothing new about components). Where links are counted, this last rule is
+   left out, so each link is met.
 
 All steps are exact: they drop only sets or subtrees that can't link.
 """
@@ -264,10 +265,12 @@ class Trie:
         return root
 
 
-def join_block(sids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray]) -> list[tuple[int, int]]:
+def join_block(sids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray], chunk: np.ndarray | None = None, inner=()):
     """Links that connect what 100 * |a & b| >= PERCENT * |a | b| connects among the sets given.
 
-    ``tokens``: their shingles that others share too; ``sizes``: of the whole sets."""
+    ``tokens``: their shingles that others share too; ``sizes``: of the whole
+    sets. With ``chunk`` (of each set) also how many links each set has, as
+    (links, counts): all links, but inside a chunk only of the chunks ``inner``."""
     flat, local = np.unique(np.concatenate(tokens), return_inverse=True)
     rank = np.empty(len(flat), np.int64)  # most frequent first: shared paths are long
     rank[np.argsort(-np.bincount(local), kind="stable")] = np.arange(len(flat))
@@ -277,17 +280,19 @@ def join_block(sids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray]) ->
         at += len(t)
     trie = Trie(seqs, np.asarray(sizes, np.int64))
     sids = np.asarray(sids)[trie.order]
+    every = chunk is not None
+    counts, of = np.zeros(len(seqs), np.int64), [int(c) for c in np.asarray(chunk)[trie.order]] if every else []
     part = np.arange(len(seqs))  # component of each sequence
     seam = np.concatenate(([0], np.cumsum(part[1:] != part[:-1])))
     links, has = [], np.zeros(len(flat), bool)
     for x, (seq, n) in enumerate(zip(trie.seqs, trie.sizes.tolist())):
-        if not seam[-1]:
+        if not seam[-1] and not every:
             break
         has[seq] = True
         found, stack = [], [(trie.root, 0)]
         while stack:
             (lo, hi, begin, end, least, longest, done, children), overlap = stack.pop()
-            if hi <= x + 1 or (seam[lo] == seam[hi - 1] and part[lo] == part[x]):
+            if hi <= x + 1 or (not every and seam[lo] == seam[hi - 1] and part[lo] == part[x]):
                 continue
             if end > begin:
                 overlap += int(np.count_nonzero(has[trie.seqs[lo][begin:end]]))
@@ -295,15 +300,24 @@ def join_block(sids: np.ndarray, sizes: np.ndarray, tokens: list[np.ndarray]) ->
             if (100 + PERCENT) * bound < PERCENT * (n + max(least, 0)):
                 continue
             for y in range(max(lo, x + 1), done):
-                if part[y] != part[x] and (100 + PERCENT) * overlap >= PERCENT * (n + int(trie.sizes[y])):
+                if (every or part[y] != part[x]) and (100 + PERCENT) * overlap >= PERCENT * (n + int(trie.sizes[y])):
                     found.append(y)
             stack += [(c, overlap) for c in children]
         has[seq] = False
+        if every:
+            here = [y for y in found if of[y] != of[x] or of[x] in inner]
+            counts[here] += 1
+            counts[x] += len(here)
+            found = [y for y in found if part[y] != part[x]]
         if found:
             for y in found:
                 links.append((int(sids[x]), int(sids[y])))
                 part[part == part[y]] = part[x]
             seam = np.concatenate(([0], np.cumsum(part[1:] != part[:-1])))
+    if every:
+        back = np.empty(len(seqs), np.int64)
+        back[trie.order] = counts
+        return links, back
     return links
 
 
@@ -313,8 +327,23 @@ def _link(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
 
-def _links(sets: DataFrame) -> DataFrame:
-    """(a, b): links between sets that connect all that link."""
+def _link_and_count(t: pa.Table) -> pa.Table:
+    """Connecting links as (a, b, 0), and (a, a, links of a counted here)."""
+    if t.num_rows < 2:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "n_links")})
+    i, j, sids = t.column("i")[0].as_py(), t.column("j")[0].as_py(), t.column("sid").to_numpy()
+    # a chunk is part of several pairs: its inner links count in the pair with chunk 0, those of chunk 0 in its pair with chunk 1
+    inner = {j} | ({0} if j <= 1 else set()) if i == 0 else set()
+    links, counts = join_block(sids, t.column("n").to_numpy(), [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()],
+                               t.column("mine").to_numpy(), inner)
+    some = np.flatnonzero(counts)
+    a, b = (np.array([x[c] for x in links], np.int64) for c in (0, 1))
+    return pa.table({"a": np.concatenate([a, sids[some]]), "b": np.concatenate([b, sids[some]]),
+                     "n_links": np.concatenate([np.zeros(len(links), np.int64), counts[some]])})
+
+
+def _links(sets: DataFrame, count: bool = False) -> DataFrame:
+    """(a, b): links between sets that connect all that link; ``count``: also rows (a, a, n_links) of part counts."""
     token = F.explode("prefix").alias("token")
     low = sets.select("sid", token).groupBy("token").agg(F.min("sid").alias("low"), F.count("*").alias("n")).where("n > 1")
     edges = sets.select("sid", token).join(low, "token").where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))
@@ -326,12 +355,13 @@ def _links(sets: DataFrame) -> DataFrame:
     # a block of several chunks is joined chunk with chunk, so that no task holds it whole
     other = F.when(F.col("chunks") > 1, F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != mine)).otherwise(F.array(F.lit(0)))
     s = (s.withColumn("other", F.explode(other)).withColumns({"i": F.least(mine, "other"), "j": F.greatest(mine, "other")})
-         .select("component", "i", "j", "sid", "n", "tokens"))
-    return s.groupBy("component", "i", "j").applyInArrow(_link, "a long, b long")
+         .select("component", "i", "j", "sid", "n", "tokens", *([mine.alias("mine")] if count else [])))
+    return s.groupBy("component", "i", "j").applyInArrow(*((_link_and_count, "a long, b long, n_links long") if count else (_link, "a long, b long")))
 
 
-def linked_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, text_key.
+def linked_classes(docs: DataFrame, k: int = SHINGLE, count: bool = False) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, text_key;
+    ``count``: and n_links, the number of other shingle sets that its own links to.
 
     component_id is the smallest doc_id reachable by links; text_key, a hash
     of the text, tells rows of one doc_id apart. Null, empty and
@@ -354,13 +384,19 @@ def linked_classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
              .mapInArrow(lambda it: _whole(it, k, buckets), POSTINGS))
     ordered = cut(whole.groupBy("bucket").applyInArrow(lambda t: _ranked(t, buckets), RANKED)
                   .groupBy("part").applyInArrow(_ordered, "sid long, n long, m long, tokens binary, prefix array<long>"), "ordered")
-    linked = components(cut(_links(ordered), "links"))
+    links = cut(_links(ordered, count), "links")
+    linked = components(links.select("a", "b"))
     classes = cut(one.join(linked, one["sid"] == linked["id"], "left")
                   .select("sid", "doc_id", F.coalesce("component", "sid").alias("class")), "classes")
     low = classes.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    known = cut(classes.join(low, "class").select("sid", "component_id"), "class_ids")
-    some = sets.where("n_shingles > 0").join(known, "sid").select("doc_id", "n_shingles", "component_id", "text_key")
-    none = sets.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
+    known = classes.join(low, "class").select("sid", "component_id")
+    columns = ["doc_id", "n_shingles", "component_id", "text_key"]
+    if count:
+        total = links.where("a = b").groupBy("a").agg(F.sum("n_links").alias("n_links"))
+        known = known.join(total, known["sid"] == total["a"], "left").select("sid", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        columns.append("n_links")
+    some = sets.where("n_shingles > 0").join(cut(known, "class_ids"), "sid").select(columns)
+    none = sets.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")}).select(columns)
     return some.unionByName(none)
 
 

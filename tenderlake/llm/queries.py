@@ -87,6 +87,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked_classes(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+@register("op8_jaccard_links")
+def op8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-copy classes of all documents, and each one's number of links to different texts."""
+    return jaccard.linked_classes(table(spark, sf_dir, "documents"), count=True).drop("text_key")
+
+
 @register("op7_language_fusion")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document: text, declared language and host prior."""

@@ -105,3 +105,27 @@ def test_shingle_sets_of_slices():
         got += [tuple(x) for x in np.split(values, np.cumsum(counts)[:-1])]
     assert [len(x) for x in got] == [0, 5, 0, 1, 2, 1, 1]
     assert got[3] == got[5] and got[3] != got[6]
+
+
+def link_counts(rows, k=5):
+    """{id: number of other shingle sets that its own links to}"""
+    sets = {}
+    for i, t in rows:
+        w = brute.ws_words(t)
+        sets[i] = frozenset(tuple(w[j:j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+    different = set(sets.values()) - {frozenset()}
+    return {i: sum(a != b and 100 * len(a & b) >= 75 * len(a | b) for b in different) if a else 0 for i, a in sets.items()}
+
+
+@pytest.mark.parametrize("shingles", [6_000_000, 900, 300])
+def test_every_link_counts_once(spark, make_docs, monkeypatch, shingles):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles)
+    r = random.Random(1)
+    base = [f"x{i}" for i in range(100)]
+    group = [" ".join(f"y{r.random()}" if j == at else w for j, w in enumerate(base)) for at in r.sample(range(100), 30)]
+    rows = [*noisy_rows(11), *enumerate(group + group[:3], 1000)]
+    want = link_counts(rows)
+    assert max(want.values()) == 29
+    got = jaccard.linked_classes(make_docs(rows), count=True).collect()
+    assert {x["doc_id"]: x["n_links"] for x in got} == want
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute.near_classes(rows)
