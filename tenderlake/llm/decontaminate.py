@@ -5,15 +5,15 @@ word under the pointer) moves on or holds; what it reads at each step is an
 embedding in which sequences a few edits apart agree at most steps, as walks
 fall into step again behind an edit. Tables sample a few steps of a walk;
 windows of items and of documents that agree on all of a table's steps are
-candidates. Windows start at every word of an item and every other word of a
-document, and are shorter for short items. Several tables over several
-walks give the recall; the exact edit distance between the whole item and
-the document around the window then decides.
+candidates. Windows start at every word of items and documents, and are
+shorter for short items. Several tables over several walks give the recall;
+the exact edit distance between the whole item and the document around the
+window then decides.
 
 With agreement a at a step, one window pair is found with probability
-1 - (1 - a ** SAMPLED) ** (WALKS * TABLES_PER_WALK): 0.99 at a = 0.8. A leak
-offers a pair for every other word, and a run of WINDOW + 1 unedited words is
-found unless its walks all stand still.
+1 - (1 - a ** sampled) ** (walks * tables), and a leak offers a pair for every
+alignment. SCHEME sets the three numbers per window length so that leaks with
+MAX_EDITS are found with RECALL at any item length.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ WINDOW = 16
 WINDOWS = (6, 8, 12, WINDOW)
 #: a shorter item is no evidence that a document holds it
 MIN_WORDS = 8
-WALKS, TABLES_PER_WALK, SAMPLED = 4, 3, 5
-#: words from one window of a document to the next; items have a window at every word, so all alignments meet
-STRIDE = 2
+#: walks, tables per walk and steps sampled per table for each window length, set for RECALL of leaks with MAX_EDITS
+SCHEME = {6: (10, 4, 2), 8: (10, 4, 3), 12: (6, 4, 3), WINDOW: (8, 4, 4)}
+#: share of the leaks found that have just MAX_EDITS, whatever the item's length
+RECALL = 0.99
 #: word edits (insert, delete, substitute) a leak may have, as a share of the item's words
 MAX_EDITS = 0.3
 #: words of items in one pass over the documents; a larger benchmark takes several passes
@@ -55,19 +56,20 @@ def window_of(n: int) -> int:
 def _steps(window: int) -> list[list[np.ndarray]]:
     """The sampled steps of each table, one from each part of a walk over ``window`` words."""
     r = np.random.default_rng(SEED)
-    bounds = [window * q // SAMPLED for q in range(SAMPLED + 1)]
-    return [[np.array([r.integers(a, max(a + 1, b)) for a, b in zip(bounds, bounds[1:])]) for _ in range(TABLES_PER_WALK)]
-            for _ in range(WALKS)]
+    walks, tables, sampled = SCHEME[window]
+    bounds = [window * q // sampled for q in range(sampled + 1)]
+    return [[np.array([r.integers(a, max(a + 1, b)) for a, b in zip(bounds, bounds[1:])]) for _ in range(tables)]
+            for _ in range(walks)]
 
 
 def _coefficients() -> np.ndarray:
     r = np.random.default_rng(SEED + 1)
-    return r.integers(1, 1 << 63, (WALKS, WINDOW), dtype=np.uint64) | np.uint64(1)
+    return r.integers(1, 1 << 63, (max(s[0] for s in SCHEME.values()), WINDOW), dtype=np.uint64) | np.uint64(1)
 
 
-def table_keys(h: np.ndarray, windows: list[int], stride: int = 1):
+def table_keys(h: np.ndarray, windows: list[int]):
     """(window length, table, key of the window, whether it counts) for all
-    tables, of the windows at every ``stride``-th word.
+    tables, of the windows at every word.
 
     A walk that mostly stood still has read too few words to tell windows
     apart: what moved on by less than a third of the window doesn't count.
@@ -77,24 +79,25 @@ def table_keys(h: np.ndarray, windows: list[int], stride: int = 1):
     steps = {w: _steps(w) for w in windows}
     coefficients, n = _coefficients(), len(h)
     padded = np.concatenate([h, np.zeros(WINDOW, np.uint64)])
-    for walk in range(WALKS):
-        at = np.arange(0, n, stride)
-        needed = {int(j) for w in windows for t in steps[w][walk] for j in t}
+    for walk in range(max((len(x) for x in steps.values()), default=0)):
+        mine = [w for w in windows if walk < len(steps[w])]
+        at = np.arange(n)
+        needed = {int(j) for w in mine for t in steps[w][walk] for j in t}
         read: dict[int, np.ndarray] = {}
         place: dict[int, np.ndarray] = {}
-        for j in range(max(windows)):
-            if j + 1 in windows:
+        for j in range(max(mine)):
+            if j + 1 in mine:
                 place[j] = at.copy()
             if j in needed:
                 read[j] = np.take(padded, at, mode="clip")
             at += np.take(((padded * coefficients[walk, j]) >> np.uint64(63)).view(np.int64), at, mode="clip")
-        for w in windows:
-            moved = place[w - 1] - np.arange(0, n, stride) >= w // 3
+        for w in mine:
+            moved = place[w - 1] - np.arange(n) >= w // 3
             for k, t in enumerate(steps[w][walk]):
                 key = np.zeros(len(moved), np.uint64)
                 for i, j in enumerate(t.tolist()):
                     key += read[j] * _COEF[i]
-                yield w, walk * TABLES_PER_WALK + k, key * _COEF[SAMPLED], moved
+                yield w, walk * len(steps[w][walk]) + k, key * _COEF[len(t)], moved
 
 
 class Index:
@@ -128,11 +131,11 @@ class Index:
     def candidates(self, h: np.ndarray):
         """(word, item, first word of the item there) for windows of ``h`` that agree with an item's window."""
         out = []
-        for w, table, key, counts in table_keys(h, self.windows, STRIDE) if self.windows and len(h) else ():
+        for w, table, key, counts in table_keys(h, self.windows) if self.windows and len(h) else ():
             keys, item, start, seen = self.tables[w, table]
             at = np.flatnonzero(seen[(key >> np.uint64(64 - _BITS)).view(np.int64)] & counts)
             lo, hi = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
-            at, n = at * STRIDE, hi - lo
+            n = hi - lo
             where = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             at = np.repeat(at, n)
             out.append(np.stack([at, item[where], at - start[where]]))

@@ -103,3 +103,22 @@ def test_walks_of_shared_windows_agree():
     a = {(w, t): k for w, t, k, _ in dc.table_keys(h[10:26], [16])}
     b = {(w, t): k for w, t, k, _ in dc.table_keys(h, [16])}
     assert all(a[x][0] == b[x][10] for x in a)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.25, 0.3])
+def test_recall_by_item_length_at_the_most_edits(share):
+    r, missed, total = random.Random(12), 0, 0
+    word = lambda: f"u{r.randrange(10 ** 9)}"
+    for length in (8, 10, 12, 14, 16, 17, 18, 20, 22, 24, 30, 40):
+        items, texts = [], []
+        for i in range(50):
+            w = [word() for _ in range(length)]
+            items.append((i, " ".join(w)))
+            for _ in range(int(share * length)):
+                at, kind = r.randrange(len(w)), r.randrange(3)
+                w[at:at + (kind < 2)] = [word()] if kind else []
+            texts.append(" ".join([*(word() for _ in range(r.randrange(30))), *w, *(word() for _ in range(30))]))
+        lost = 50 - len(found(items, texts) & {(i, i) for i in range(50)})
+        assert lost <= 2, length
+        missed, total = missed + lost, total + 50
+    assert missed <= (1 - dc.RECALL) * total
