@@ -100,6 +100,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "declared", "lang", "posterior", "accepted")
 
 
+@register("op7_page_languages")
+def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page: text, language its markup declares, host and address suffix."""
+    return language.identify_pages(table(spark, sf_dir, "pages")).select(
+        F.col("id").alias("page_id"), "declared", "lang", "posterior", "accepted")
+
+
 @register("op9_quality_qda")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""

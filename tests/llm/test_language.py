@@ -125,5 +125,20 @@ def test_pages(spark):
     assert got[1] == ("de", "de", True) and got[3] == ("en", "en", True) and got[2][2] is False
 
 
+def test_given_pages(spark, sf):
+    import re
+
+    from tenderlake.llm.queries import op7_pages
+    rows = []
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        url, html = r["url"] or "", r["html"] or ""
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ", html)
+        said = re.search(r"""(?i)<html[^>]*\blang\s*=\s*["']?([^"'\s>]+)""", html)
+        host = re.split("[/?#]", url.partition("://")[2])[0].lower()
+        rows.append((r["page_id"], re.sub("<[^>]*>", " ", text), said and said[1], host))
+    assert len({h.rpartition(".")[2] for *_, h in rows}) > 1 and len({d for _, _, d, _ in rows}) > 3
+    check({r["page_id"]: r for r in op7_pages(spark, sf).collect()}, plain_identify(rows))
+
+
 def test_empty_table(spark, make_docs):
     assert lg.identify_documents(make_docs([])).count() == 0 and lg.drop_rejected(make_docs([])).count() == 0
