@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlake.llm import decontaminate, exact, jaccard, language, packing, quality, suffixes, toxicity, urls, warc
+from tenderlake.llm import decontaminate, exact, jaccard, language, packing, quality, suffixes, toxicity, trie, urls, warc
 from tenderlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,39 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that occur again, in all documents."""
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+#: crc32 of a text, bit by bit: a byte is added to the state, which is then shifted eight times
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(x) + 1), lambda i: ascii(x[i])::BIGINT)),
+    lambda state, byte: list_reduce([xor(state, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+
+
+@register("op11_prefix_trie", f"""
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+               FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC32} % 6 AS h
+          FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS x FROM t)),
+    parts AS (SELECT c.conv_id, 0 AS part, t.i, role, text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+              UNION ALL SELECT c.conv_id, 1, t.i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+    r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, i) AS depth, role, text FROM parts),
+    p AS (SELECT conv_id, depth, len(text) AS chars,
+                 list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY depth) AS seq FROM r
+          UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+    ends AS (SELECT conv_id, max(depth) AS size FROM p GROUP BY conv_id),
+    n AS (SELECT depth, seq, min(p.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+                 sha256(coalesce(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) FILTER (depth = size), '')) AS ends_sha256
+          FROM p JOIN ends ON ends.conv_id = p.conv_id GROUP BY depth, seq),
+    k AS (SELECT a.depth, a.seq, min(b.conv_id) AS parent_conv_id FROM n a JOIN n b ON b.depth = a.depth - 1 AND b.seq = a.seq[:-2] GROUP BY a.depth, a.seq),
+    m AS (SELECT n.*, parent_conv_id FROM n LEFT JOIN k ON k.depth = n.depth AND k.seq = n.seq),
+    kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY ALL),
+    f AS (SELECT m.*, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN kids ON kids.conv_id = m.conv_id AND kids.depth = m.depth)
+    SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, count(*) FILTER (b.n_children = 0) AS n_leaves,
+           CAST(sum(b.saved) AS BIGINT) AS saved_tokens, a.ends_sha256
+    FROM f a JOIN f b ON b.depth >= a.depth AND b.seq[:a.depth] = a.seq
+    GROUP BY a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt on its hundred's first one."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), base=lambda c: c - c % 100,
+                            head=lambda c: F.crc32(c.cast("string").cast("binary")) % 6, most=5).drop("ref_conv", "ref_place")
