@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 _R = 0x9E3779B97F4A7C15  # odd: invertible modulo 2**64
 _MASK = (1 << 64) - 1
 SHINGLE = 5
+#: bytes of a word up to which its polynomial hash has no structured collisions
+PLAIN_BYTES = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,10 +53,10 @@ def text_slices(column: pa.Array, limit: int = 1 << 20):
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray, powers: Powers, plain: bool = False):
+def words(data: np.ndarray, offsets: np.ndarray, powers: Powers, plain: bool = False, fold: bool = True):
     """(hash, document, start, end) of each word: a run of bytes other than
-    0x20 and 0x09-0x0D, A-Z lower-cased, never across documents; ``plain``:
-    a run of letters, digits and bytes from 128 on."""
+    0x20 and 0x09-0x0D, A-Z lower-cased (``fold``), never across documents;
+    ``plain``: a run of letters, digits and bytes from 128 on."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
@@ -70,18 +74,26 @@ def words(data: np.ndarray, offsets: np.ndarray, powers: Powers, plain: bool = F
     at = offsets[1:][offsets[1:] > 0] - 1
     last[at] = word[at]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return hash_spans(data, start, end, powers), np.searchsorted(offsets, start, "right") - 1, start, end
+    return hash_spans(data, start, end, powers, fold), np.searchsorted(offsets, start, "right") - 1, start, end
+
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, A-Z lower-cased (``fold``).
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, A-Z lower-cased."""
+    A polynomial modulo 2**64 has collisions among long words of a regular
+    build, whatever its base; longer words are hashed one by one."""
     low = data.astype(np.uint64)
-    low[(data >= 65) & (data <= 90)] += np.uint64(32)
+    if fold:
+        low[(data >= 65) & (data <= 90)] += np.uint64(32)
     up, down = powers.to(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((low + np.uint64(1)) * up, out=total[1:])
     h = (total[end] - total[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64) * _COEF[63])
+    h = mix(h + (end - start).astype(np.uint64) * _COEF[63])
+    for i in np.flatnonzero(end - start > PLAIN_BYTES).tolist():
+        raw = low[start[i]:end[i]].astype(np.uint8).tobytes()
+        h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+    return h
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
