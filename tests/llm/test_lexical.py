@@ -1,0 +1,106 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tenderlake.llm import lexical
+from tenderlake.llm.queries import op13
+
+
+def brute(docs, items, top=10):
+    counts = [(i, Counter(lexical.terms_of(t))) for i, t in docs]
+    counts = [(i, c) for i, c in counts if c]
+    n_docs, n_terms = len(counts), sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    w = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * k + 1))) for t, k in df.items()}
+    out = []
+    for item, text in items:
+        scored = []
+        for i, c in counts:
+            m = 10 + 90 * sum(c.values()) * n_docs // n_terms
+            s = sum(w[t] * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in set(lexical.terms_of(text)) if t in c)
+            if s > 0:
+                scored.append((-s, i is None, i or 0, i))
+        out += [(item, rank + 1, x[3], -x[0]) for rank, x in enumerate(sorted(scored)[:top])]
+    return sorted(out, key=str)
+
+
+def result(docs, items):
+    return sorted(((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in lexical.rank_documents(docs, items).collect()), key=str)
+
+
+def texts(seed, n=400):
+    """Documents over a few frequent and many rare terms, with copies (equal scores) and items' passages."""
+    r = random.Random(seed)
+    vocab = [f"t{i}" for i in range(300)]
+    common = [f"c{i}" for i in range(12)]
+    docs = []
+    for i in range(n):
+        if docs and r.random() < 0.2:
+            docs.append((i, r.choice(docs)[1]))
+            continue
+        w = r.choices(common, k=r.randrange(0, 30)) + [vocab[int(r.paretovariate(0.7)) % 300] for _ in range(r.randrange(0, 40))]
+        r.shuffle(w)
+        docs.append((i, r.choice([" ", ", ", "-"]).join(w).replace("c1", r.choice(["c1", "C1"]))))
+    items = [(k, " ".join(r.choices(common, k=4) + r.choices(vocab, k=r.randrange(1, 12)))) for k in range(25)]
+    return docs, items
+
+
+def frame(spark, items):
+    return spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x")).withColumn("rank", F.lit(1))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_matches_scoring_every_document(spark, make_docs, seed, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 50)
+    monkeypatch.setattr(lexical, "GROUP_TERMS", 60)
+    monkeypatch.setattr(lexical, "LEAF", 4)
+    docs, items = texts(seed)
+    assert result(make_docs(docs).repartition(4), frame(spark, items)) == brute(docs, items)
+
+
+def test_production_parameters_and_item_blocks(spark, make_docs, monkeypatch):
+    docs, items = texts(8)
+    assert result(make_docs(docs), frame(spark, items)) == brute(docs, items)
+    monkeypatch.setattr(lexical, "BLOCK_WORDS", 40)
+    assert result(make_docs(docs), frame(spark, items)) == brute(docs, items)
+
+
+def test_odd_rows(spark, make_docs):
+    docs = [(1, None), (2, ""), (3, "!!"), (4, "a b"), (None, "a b"), (5, "A, b."), (6, "a " * 200_000), (7, "é"), (7, "é x"), (2**40, "a\x00b_c"), (8, "z" * 5000)]
+    items = [(1, "a b"), (2, None), (3, "..."), (None, "é"), (4, "nowhere"), (5, "a a a"), (5, "z" * 5000), (4, "nowhere")]
+    assert result(make_docs(docs), frame(spark, items)) == brute(docs, items)
+    assert result(make_docs([]), frame(spark, items)) == []
+    assert result(make_docs(docs), frame(spark, [])) == []
+
+
+def test_copies_tie_by_id(spark, make_docs):
+    docs = [(i, "the same rare thing") for i in range(50, 0, -1)] + [(i, "other") for i in range(100, 130)]
+    got = result(make_docs(docs).repartition(5), frame(spark, [(1, "rare thing")]))
+    assert sorted(r[2] for r in got) == list(range(1, 11))
+
+
+def test_tree_bounds_and_sharing():
+    """Every node's bound is at least each document's score below it, and subtrees are left out."""
+    r = np.random.default_rng(4)
+    tf = (r.random((3000, 40)) < np.linspace(0.8, 0.01, 40)).astype(np.int32) * r.integers(1, 5, (3000, 40)).astype(np.int32)
+    m = r.integers(10, 500, 3000)
+    tree = lexical.Tree(tf, m)
+    columns, weights = np.array([0, 3, 38, 39]), np.array([5, 40, 4000, 5000])
+    exact = lexical.Tree.scores(tree.tf[:, columns], tree.m, weights)
+    for (lo, hi), most, least in zip(tree.spans, tree.most, tree.least):
+        assert lexical.Tree.scores(most[None, columns], least[None], weights)[0] >= exact[lo:hi].max()
+    assert all(tree.spans[c][0] >= tree.spans[p][0] and tree.spans[c][1] <= tree.spans[p][1] for p, cs in enumerate(tree.children) for c in cs)
+    where, score = tree.search(columns, weights, 0)
+    best = np.sort(exact)[-10:]
+    assert (np.sort(score)[-10:] == best).all() and len(where) < 2000
+
+
+def test_query_over_the_given_tables(spark, sf):
+    docs = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    got = sorted(((r["item_id"], r["rank"], r["doc_id"], r["score"]) for r in op13(spark, sf).collect()), key=str)
+    assert got == brute(docs, items)
