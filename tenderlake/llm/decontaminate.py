@@ -1,19 +1,20 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, edit verification.
 
-A CGK walk reads a word sequence with a pointer that a random bit of (step,
-word under the pointer) moves on or holds; what it reads at each step is an
-embedding in which sequences a few edits apart agree at most steps, as walks
-fall into step again behind an edit. Tables sample a few steps of a walk;
-windows of items and of documents that agree on all of a table's steps are
-candidates. Windows start at every word of items and documents, and are
-shorter for short items. Several tables over several walks give the recall;
-the exact edit distance between the whole item and the document around the
-window then decides.
-
-With agreement a at a step, one window pair is found with probability
-1 - (1 - a ** sampled) ** (walks * tables), and a leak offers a pair for every
-alignment. SCHEME sets the three numbers per window length so that leaks with
-MAX_EDITS are found with RECALL at any item length.
+A document holds an item if some run of its words is at most MAX_EDITS of the
+item's words away from it. Then of any ``edits + NEAR`` words of the item, NEAR
+are left in place: the item's rarest words (by their count in the documents)
+are its probes, and only places with NEAR probes of one item, as far apart as
+in the item but for the edits, can hold it. This drops nothing and leaves few
+places, each tied to an item by a probe word that both have.
+
+There the item-sized window around the probe is embedded: a CGK walk reads the
+words before or after the probe with a pointer that a random bit of (step, word
+under the pointer) moves on or holds; sequences a few edits apart are read
+alike at most steps, as walks fall into step again behind an edit. A table
+samples SAMPLED steps of a walk; a window that agrees with the item's in all
+steps of a table is a candidate, and several tables over several walks reach
+RECALL. The exact edit distance between the whole item and the document around
+the window then decides.
 """
 
 from __future__ import annotations
@@ -22,127 +23,136 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tenderlake.llm.textops import _COEF, Powers, text_slices, words
+from tenderlake.llm.common import small_batches
+from tenderlake.llm.textops import Powers, text_slices, words
 
-WINDOW = 16
-#: window lengths; an item has the longest one that three quarters of it hold
-WINDOWS = (6, 8, 12, WINDOW)
-#: a shorter item is no evidence that a document holds it
+#: items with fewer words are held only as they are, without edits
 MIN_WORDS = 8
-#: walks, tables per walk and steps sampled per table for each window length, set for RECALL of leaks with MAX_EDITS
-SCHEME = {6: (10, 4, 2), 8: (10, 4, 3), 12: (6, 4, 3), WINDOW: (8, 4, 4)}
-#: share of the leaks found that have just MAX_EDITS, whatever the item's length
-RECALL = 0.99
 #: word edits (insert, delete, substitute) a leak may have, as a share of the item's words
 MAX_EDITS = 0.3
+#: probes that a leak must keep (or all words of the item but its edits)
+NEAR = 2
+#: steps of a walk on either side of a probe: twice the words there, as half of the steps move, up to this
+STEPS = 64
+#: walks, tables per walk, steps sampled per table, set for RECALL of leaks with MAX_EDITS
+WALKS, TABLES, SAMPLED = 8, 12, 2
+#: share of the leaks found that have just MAX_EDITS, whatever the item's length
+RECALL = 0.99
 #: words of items in one pass over the documents; a larger benchmark takes several passes
 BLOCK_WORDS = 400_000
-_BITS = 20
+_BITS = 16
 #: bytes of text handled at once: the arrays stay in a core's cache
 SLICE = 1 << 18
+#: probes found in documents that are walked from at once
+ANCHORS = 4096
 SEED = 11
 
 
 def max_edits(n: int) -> int:
-    return int(MAX_EDITS * n)
-
-
-def window_of(n: int) -> int:
-    return max(w for w in WINDOWS if w <= 3 * n // 4)
-
-
-def _steps(window: int) -> list[list[np.ndarray]]:
-    """The sampled steps of each table, one from each part of a walk over ``window`` words."""
-    r = np.random.default_rng(SEED)
-    walks, tables, sampled = SCHEME[window]
-    bounds = [window * q // sampled for q in range(sampled + 1)]
-    return [[np.array([r.integers(a, max(a + 1, b)) for a, b in zip(bounds, bounds[1:])]) for _ in range(tables)]
-            for _ in range(walks)]
-
-
-def _coefficients() -> np.ndarray:
-    r = np.random.default_rng(SEED + 1)
-    return r.integers(1, 1 << 63, (max(s[0] for s in SCHEME.values()), WINDOW), dtype=np.uint64) | np.uint64(1)
-
-
-def table_keys(h: np.ndarray, windows: list[int]):
-    """(window length, table, key of the window, whether it counts) for all
-    tables, of the windows at every word.
-
-    A walk that mostly stood still has read too few words to tell windows
-    apart: what moved on by less than a third of the window doesn't count.
-
-    ``h``: word hashes; a walk over w words takes w steps, so it never
-    leaves a window of w words; past the end of ``h`` they read zeros."""
-    steps = {w: _steps(w) for w in windows}
-    coefficients, n = _coefficients(), len(h)
-    padded = np.concatenate([h, np.zeros(WINDOW, np.uint64)])
-    for walk in range(max((len(x) for x in steps.values()), default=0)):
-        mine = [w for w in windows if walk < len(steps[w])]
-        at = np.arange(n)
-        needed = {int(j) for w in mine for t in steps[w][walk] for j in t}
-        read: dict[int, np.ndarray] = {}
-        place: dict[int, np.ndarray] = {}
-        for j in range(max(mine)):
-            if j + 1 in mine:
-                place[j] = at.copy()
-            if j in needed:
-                read[j] = np.take(padded, at, mode="clip")
-            at += np.take(((padded * coefficients[walk, j]) >> np.uint64(63)).view(np.int64), at, mode="clip")
-        for w in mine:
-            moved = place[w - 1] - np.arange(n) >= w // 3
-            for k, t in enumerate(steps[w][walk]):
-                key = np.zeros(len(moved), np.uint64)
-                for i, j in enumerate(t.tolist()):
-                    key += read[j] * _COEF[i]
-                yield w, walk * len(steps[w][walk]) + k, key * _COEF[len(t)], moved
+    return int(MAX_EDITS * n) if n >= MIN_WORDS else 0
+
+
+def reads(h: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int, coefficients: np.ndarray) -> np.ndarray:
+    """What walks from ``at`` read at each step (steps x walks): words of ``h``, 0 outside lo..hi-1."""
+    out, at = np.empty((len(coefficients), len(at)), np.uint64), at.copy()
+    for j, c in enumerate(coefficients):
+        word = np.where((at >= lo) & (at < hi), np.take(h, at, mode="clip"), np.uint64(0))
+        out[j] = word
+        at += step * ((word * c) >> np.uint64(63)).view(np.int64)
+    return out
 
 
 class Index:
-    """A block of benchmark items: their words and the keys of their windows."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items = []
-        powers = Powers()
-        for item_id, text in items:
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            h = words(data, np.array([0, len(data)]), powers, plain=True)[0]
-            if len(h) >= MIN_WORDS:
-                self.items.append((item_id, h))
-        self.windows = sorted({window_of(len(h)) for _, h in self.items})
-        found: dict[tuple[int, int], list] = {}
-        for i, (_, h) in enumerate(self.items):
-            w = window_of(len(h))
-            starts = len(h) - w + 1
-            for _, table, key, counts in table_keys(h, [w]):
-                start = np.flatnonzero(counts[:starts])
-                found.setdefault((w, table), []).append((key[start], np.full(len(start), i), start))
-        self.tables = {}
-        for at, parts in found.items():
-            key, item, start = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(key, kind="stable")
-            # a bitmap over the keys' top bits turns most windows away at once
-            seen = np.zeros(1 << _BITS, bool)
-            seen[key >> np.uint64(64 - _BITS)] = True
-            self.tables[at] = key[order], item[order], start[order], seen
-
-    def candidates(self, h: np.ndarray):
-        """(word, item, first word of the item there) for windows of ``h`` that agree with an item's window."""
-        out = []
-        for w, table, key, counts in table_keys(h, self.windows) if self.windows and len(h) else ():
-            keys, item, start, seen = self.tables[w, table]
-            at = np.flatnonzero(seen[(key >> np.uint64(64 - _BITS)).view(np.int64)] & counts)
-            lo, hi = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
-            n = hi - lo
-            where = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            at = np.repeat(at, n)
-            out.append(np.stack([at, item[where], at - start[where]]))
-        if not out:
-            return np.zeros((3, 0), np.int64)
-        found = np.concatenate(out, axis=1)
-        return np.unique(found, axis=1) if found.shape[1] else found
+    """A block of benchmark items: their words, their probes, and what walks from those read.
+
+    ``items``: (item id, word hashes); ``known``, ``counts``: the documents' counts of words (sorted hashes)."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], known: np.ndarray, counts: np.ndarray):
+        self.items = items
+        self.h = np.concatenate([x for _, x in items]) if items else np.zeros(0, np.uint64)
+        n = np.array([len(x) for _, x in items], np.int64)
+        begin = np.cumsum(n) - n
+        item, offset, near = [], [], []
+        for i, (_, x) in enumerate(items):
+            at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
+            seen = np.where(known[at] == x, counts[at], 0) if len(known) else np.zeros(len(x), np.int64)
+            wanted = min(NEAR, len(x) - max_edits(len(x)))
+            rare = np.lexsort((np.arange(len(x)), seen))[:max_edits(len(x)) + wanted]
+            item += [i] * len(rare)
+            offset += rare.tolist()
+            near.append(wanted)
+        self.edits = np.array([max_edits(len(x)) for _, x in items], np.int64)
+        self.near = np.array(near, np.int64)
+        item, offset = np.array(item, np.int64), np.array(offset, np.int64)
+        word = self.h[begin[item] + offset] if len(item) else np.zeros(0, np.uint64)
+        order = np.argsort(word, kind="stable")
+        self.item, self.offset, self.word = item[order], offset[order], word[order]
+        self.whole = n[self.item] < MIN_WORDS  # found by probes alone
+        # a bitmap over the words' top bits turns most of a document's away at once
+        self.seen = np.zeros(1 << _BITS, bool)
+        self.seen[(self.word >> np.uint64(64 - _BITS)).view(np.int64)] = True
+        r = np.random.default_rng(SEED)
+        self.coefficients = r.integers(1, 1 << 63, (WALKS, 2, STEPS), dtype=np.uint64) | np.uint64(1)
+        place, lo = begin[self.item] + self.offset, begin[self.item]
+        hi = lo + n[self.item]
+        after, before = np.minimum(2 * (hi - place - 1), STEPS), np.minimum(2 * (place - lo), STEPS)
+        self.steps, self.wanted = [], []
+        for c in self.coefficients:
+            both = self.walked(self.h, place, lo, hi, c)
+            # a sampled step is a share of the item's steps, those after the probe first
+            step = (r.random(TABLES * SAMPLED)[:, None] * (after + before)).astype(np.int64)
+            step = np.where(step < after, step, STEPS + step - after)
+            self.steps.append(step)
+            self.wanted.append(np.take_along_axis(both, np.minimum(step, 2 * STEPS - 1), axis=0))
+
+    @staticmethod
+    def walked(h, place, lo, hi, coefficients):
+        return np.concatenate([reads(h, place + 1, lo, hi, 1, coefficients[0]), reads(h, place - 1, lo, hi, -1, coefficients[1])])
+
+    def anchors(self, h: np.ndarray, doc: np.ndarray):
+        """(word, probe) of probes in documents that have NEAR of their item's at hand, document by document."""
+        at = np.flatnonzero(self.seen[(h >> np.uint64(64 - _BITS)).view(np.int64)])
+        lo, hi = np.searchsorted(self.word, h[at], "left"), np.searchsorted(self.word, h[at], "right")
+        n = hi - lo
+        probe = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = np.repeat(at, n)
+        item, start = self.item[probe], at - self.offset[probe]
+        order = np.lexsort((start, item, doc[at]))
+        at, probe, item, start, own = at[order], probe[order], item[order], start[order], doc[at][order]
+        # the item would start at ``start`` but for edits: probes left in place tell starts at most as many words apart
+        keep = self.near[item] <= 1
+        for shift in range(1, NEAR):
+            close = (own[shift:] == own[:-shift]) & (item[shift:] == item[:-shift]) & (start[shift:] - start[:-shift] <= self.edits[item[shift:]])
+            if shift == NEAR - 1:
+                for k in range(NEAR):
+                    keep[k:len(keep) - (NEAR - 1 - k)] |= close
+        return at[keep], probe[keep]
+
+    def alike(self, h: np.ndarray, at: np.ndarray, probe: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Which windows around probes agree with their item's in all steps of some table."""
+        out = self.whole[probe]
+        for c, step, wanted in zip(self.coefficients, self.steps, self.wanted):
+            rest = np.flatnonzero(~out)
+            if not len(rest):
+                break
+            p = probe[rest]
+            both = self.walked(h, at[rest], lo[rest], hi[rest], c)
+            same = np.take_along_axis(both, step[:, p], axis=0) == wanted[:, p]
+            out[rest] = same.reshape(TABLES, SAMPLED, len(p)).all(axis=1).any(axis=0)
+        return out
+
+    def candidates(self, h: np.ndarray, doc: np.ndarray, begin: np.ndarray):
+        """(document, item, first word of the item there), sorted, for windows of documents that agree with an item's."""
+        at, probe = self.anchors(h, doc)
+        good = np.zeros(len(at), bool)
+        for a in range(0, len(at), ANCHORS):
+            z = slice(a, a + ANCHORS)
+            own = doc[at[z]]
+            good[z] = self.alike(h, at[z], probe[z], begin[own], begin[own + 1])
+        at, probe = at[good], probe[good]
+        return doc[at], self.item[probe], at - self.offset[probe]
 
 
 def best_match(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -171,16 +181,13 @@ def best_match(pattern: list[int], text: list[int]) -> tuple[int, int]:
 def matches(index: Index, data: np.ndarray, offsets: np.ndarray, powers: Powers):
     """(document, item id, first word, word after the last, edits, item words) of every leak, the best place of each."""
     h, doc, _, _ = words(data, offsets, powers, plain=True)
-    at, item, start = index.candidates(h)
-    if not len(at):
-        return
     begin = np.searchsorted(doc, np.arange(len(offsets)))
-    owner = doc[at]
-    order = np.lexsort((start, item, owner))
-    owner, item, start = owner[order], item[order], start[order]
-    new = np.ones(len(order), bool)
+    owner, item, start = index.candidates(h, doc, begin)
+    if not len(owner):
+        return
+    new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1])
-    for group in np.split(np.arange(len(order)), np.flatnonzero(new)[1:]):
+    for group in np.split(np.arange(len(owner)), np.flatnonzero(new)[1:]):
         d, i = int(owner[group[0]]), int(item[group[0]])
         item_id, pattern = index.items[i]
         n, lo, hi = len(pattern), int(begin[d]), int(begin[d + 1])
@@ -188,7 +195,7 @@ def matches(index: Index, data: np.ndarray, offsets: np.ndarray, powers: Powers)
         starts = start[group]
         # starts that lie close are one place
         for place in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
-            a, z = max(lo, int(place[0]) - allowed), min(hi, int(place[-1]) + n + allowed)
+            a, z = max(lo, int(place[0]) - allowed), min(hi, int(place[-1]) + n + 2 * allowed)
             if z <= a:
                 continue
             edits, end = best_match(wanted, h[a:z].tolist())
@@ -206,8 +213,8 @@ _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_wor
 FOUND = "doc_id long, item_id long, start_word long, end_word long, edits long, item_words long"
 
 
-def _find(batches, index):
-    powers = Powers()
+def _find(batches, block):
+    powers, index = Powers(), Index(*block)
     for b in batches:
         for lo, hi, data, offsets in text_slices(b.column(1), SLICE):
             rows = [(b.column(0)[lo + m[0]].as_py(), *m[1:]) for m in matches(index, data, offsets, powers)]
@@ -215,8 +222,8 @@ def _find(batches, index):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FOUND.types)], schema=_FOUND)
 
 
-def _clean(batches, index):
-    powers = Powers()
+def _clean(batches, block):
+    powers, index = Powers(), Index(*block)
     for b in batches:
         clean = np.ones(b.num_rows, bool)
         for lo, hi, data, offsets in text_slices(b.column("text"), SLICE):
@@ -224,19 +231,46 @@ def _clean(batches, index):
         yield b.filter(pa.array(clean))
 
 
-def benchmark_blocks(benchmark: DataFrame) -> list[Index]:
-    """The benchmark's indexes, each of at most BLOCK_WORDS words (or one item).
+def _count(batches, known):
+    """How often each of the words ``known`` (sorted hashes) occurs in a task's texts."""
+    powers, total, seen = Powers(), np.zeros(len(known), np.int64), np.zeros(1 << _BITS, bool)
+    seen[(known >> np.uint64(64 - _BITS)).view(np.int64)] = True
+    for b in batches:
+        for _, _, data, offsets in text_slices(b.column(0), SLICE):
+            h = words(data, offsets, powers, plain=True)[0]
+            h = h[seen[(h >> np.uint64(64 - _BITS)).view(np.int64)]]
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            total += np.bincount(at[known[at] == h], minlength=len(known))
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["word", "n"])
+
+
+def benchmark_blocks(benchmark: DataFrame) -> list[list[tuple[int, np.ndarray]]]:
+    """The benchmark's items as (item id, word hashes), in blocks of at most BLOCK_WORDS words (or one item).
 
     Items are the stated query set: they pass the driver a block at a time."""
-    blocks, block, size = [], [], 0
+    powers, blocks, size = Powers(), [], 0
     for item_id, text in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        n = len((text or "").split())
-        if block and size + n > BLOCK_WORDS:
-            blocks.append(Index(block))
-            block, size = [], 0
-        block.append((item_id, text))
-        size += n
-    return blocks + [Index(block)]
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        h = words(data, np.array([0, len(data)]), powers, plain=True)[0]
+        if not len(h):
+            continue
+        if not blocks or size + len(h) > BLOCK_WORDS:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((item_id, h))
+        size += len(h)
+    return blocks
+
+
+def counted(docs: DataFrame, items: list[tuple[int, np.ndarray]]) -> tuple:
+    """What tasks build their Index of: the items, their words, and those words' counts in all texts of ``docs``."""
+    known = np.unique(np.concatenate([x for _, x in items]))
+    counts = np.zeros(len(known), np.int64)
+    # a row per word of the items
+    for r in docs.select("text").mapInArrow(lambda it: _count(it, known), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["word"]] = r["n"]
+    return items, known, counts
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -245,17 +279,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are runs of letters, digits and non-ASCII characters, A-Z
     lower-cased. An item is held if some run of the document's words is at
-    most 30 % of the item's words away from it. Null and empty texts hold
-    nothing, items under 8 words are held by nothing, null ids are reported
-    as null, repeated rows are reported each, equal items each under their
-    id; other columns are ignored; an empty table gives no rows.
+    most 30 % of the item's words away from it; an item under MIN_WORDS words
+    only if it is there word for word. Null and empty texts hold nothing,
+    items without words are held by nothing, null ids are reported as null,
+    repeated rows are reported each, equal items each under their id; other
+    columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text")
-    return reduce(DataFrame.unionByName, [d.mapInArrow(lambda it, x=x: _find(it, x), FOUND) for x in benchmark_blocks(benchmark)])
+    blocks = [counted(d, x) for x in benchmark_blocks(benchmark)]
+    if not blocks:
+        return docs.sparkSession.createDataFrame([], FOUND)
+    return reduce(DataFrame.unionByName, [d.mapInArrow(lambda it, x=x: _find(it, x), FOUND) for x in blocks])
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, all columns."""
-    for x in benchmark_blocks(benchmark):
-        docs = docs.mapInArrow(lambda it, x=x: _clean(it, x), docs.schema)
+    small_batches(docs.sparkSession)
+    whole = docs
+    for items in benchmark_blocks(benchmark):
+        docs = docs.mapInArrow(lambda it, x=counted(whole, items): _clean(it, x), docs.schema)
     return docs
