@@ -37,14 +37,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
-    """Arrow batches of at most ``rows`` rows and about ``size`` bytes in this session, unless it has smaller ones:
-    texts are long, and a Python worker holds a batch several times over."""
-    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        name = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(name).lower().rstrip("b"))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20, read: int = 256) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes, and Parquet batches of ``read`` rows, in this
+    session, unless it has smaller ones: texts are long, and reader and Python worker hold a batch several times over."""
+    for name, most in (("execution.arrow.maxRecordsPerBatch", rows), ("execution.arrow.maxBytesPerBatch", size),
+                       ("parquet.columnarReaderBatchSize", read)):
+        now = int(spark.conf.get(f"spark.sql.{name}").lower().rstrip("b"))
         if now <= 0 or now > most:
-            spark.conf.set(name, str(most))
+            spark.conf.set(f"spark.sql.{name}", str(most))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

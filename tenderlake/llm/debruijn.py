@@ -25,15 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tenderlake.llm.common import cut
+from tenderlake.llm.common import cut, small_batches
 from tenderlake.llm.textops import _COEF, Powers, grams, mix, text_slices, words
 
 WORDS = 20
 GRAM = 6
 #: k-mers that a task gathers before it sends them to their buckets
-FLUSH = 1_500_000
+FLUSH = 500_000
 #: k-mers in a bucket, on average
-BUCKET = 750_000
+BUCKET = 500_000
+#: bytes of text handled at once: the arrays stay in a core's cache
+SLICE = 1 << 18
 #: a minimiser ranks last if it begins more than this share of the runs
 HEAVY = 1 / 4096
 #: bytes of a k-mer's hash sent along, next to its minimiser's
@@ -83,23 +85,33 @@ def kmers(data: np.ndarray, offsets: np.ndarray, powers: Powers, heavy: np.ndarr
 def runs(*same: np.ndarray) -> np.ndarray:
     """Where a new run begins: one of ``same`` (differences to the place before, which a run keeps at 0) is not 0."""
     new = np.ones(len(same[0]), bool)
-    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in same])
+    for i, x in enumerate(same):
+        new[1:] = x[1:] != x[:-1] if i == 0 else new[1:] | (x[1:] != x[:-1])
     return np.flatnonzero(new)
 
 
 def _heavy(batches, seed: int):
     """rank, n: minimisers that begin many of a task's runs (a share of HEAVY at least); null: how many runs, and k-mers."""
-    powers, none = Powers(), np.zeros(0, np.uint64)
+    powers, none, parts, seen = Powers(), np.zeros(0, np.uint64), [], [0, 0]
+
+    def often():
+        value, n = np.unique(np.concatenate(parts), return_counts=True)
+        many = n > max(1, HEAVY * n.sum())
+        rows = [*zip(value[many].tolist(), n[many].tolist(), [0] * int(many.sum())), (None, *seen)]
+        parts.clear()
+        seen[:] = 0, 0
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["rank", "n", "kmers"])
+
     for b in batches:
-        for lo, hi, data, offsets in text_slices(b.column(0), 1 << 22):
-            doc, start, _, low = kmers(data, offsets, powers, none, seed)
-            if not len(doc):
-                continue
-            at = runs(doc, low)
-            value, n = np.unique(low[at], return_counts=True)
-            often = n > max(1, HEAVY * len(at))
-            rows = [(int(v), int(k), 0) for v, k in zip(value[often].tolist(), n[often].tolist())] + [(None, len(at), len(doc))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["rank", "n", "kmers"])
+        for _, _, data, offsets in text_slices(b.column(0), SLICE):
+            doc, _, _, low = kmers(data, offsets, powers, none, seed)
+            parts.append(low[runs(doc, low)])
+            seen[0] += len(parts[-1])
+            seen[1] += len(doc)
+            if seen[1] >= FLUSH:
+                yield often()
+    if seen[1]:
+        yield often()
 
 
 _POSTS = "bucket int, n int, kmers int, low binary, len binary, hash binary, doc binary, tkey binary, start binary, claims binary"
@@ -176,7 +188,7 @@ def _posts(heavy: np.ndarray, buckets: int, seed: int, mask: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo:lo + 64]), kinds)], names=[x.split()[0] for x in _POSTS.split(", ")])
 
         for b in batches:
-            for lo, hi, data, offsets in text_slices(b.column(2)):
+            for lo, hi, data, offsets in text_slices(b.column(2), SLICE):
                 doc, start, key, low = kmers(data, offsets, powers, heavy, seed)
                 parts.append((doc + sum(map(len, ids)), start, key, low))
                 ids.append(b.column(0).slice(lo, hi - lo).to_numpy())
@@ -290,6 +302,7 @@ def cut_repeats(docs: DataFrame, keep_text: bool = True, sent_bits: tuple[int, .
     text, rows alike in both are one document, each returned; null doc_ids
     come last of all. Other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     d = docs.select("doc_id", "text").withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tkey", F.hash("text"))
     for seed, bits in enumerate(sent_bits):
         counts = d.select("text").mapInArrow(lambda it, s=seed: _heavy(it, s), "rank long, n long, kmers long").groupBy("rank").agg(
