@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +25,22 @@ import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tenderlake.llm.common import small_batches
 from tenderlake.llm.textops import Powers, hash_spans, text_slices
 
 CAPACITY = 2048
 BLOCK_TAILS = 768
 END_ID = 1
-#: text whose different words are encoded together
+#: text whose new words are encoded together
 GROUP_BYTES = 6 << 20
+#: different words whose ids a task keeps; with more it begins anew
+KNOWN_WORDS = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class TextEncoder:
-    """Token ids as little-endian uint32 bytes, by encoding each different word of a group of texts once.
+    """Token ids as little-endian uint32 bytes, by encoding each different word once.
 
     For tokenizers like ``word_bpe_49k``: white space is dropped, runs of
     letters, single digits and runs of symbols are separate words, upper case
@@ -63,6 +67,23 @@ class TextEncoder:
         hidden = [b for b in range(256) if b not in shown]  # the space among them: it never gets here but between words
         self.alphabet = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden) if b != 32}
         self.powers = Powers()
+        self.forget()
+
+    def forget(self):
+        # the known words' hashes, sorted, and for each where in ``flat`` its ids begin and how many
+        self.known, self.first, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]):
+        """Encode words that aren't known yet (``hashes``: sorted)."""
+        lower = b" ".join(words).decode().lower().encode()  # no word holds a space
+        mapped = lower.decode("latin-1").translate(self.alphabet).split(" ")
+        coded = [e.ids for e in self.model.encode_batch_fast(mapped, add_special_tokens=False)]
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        flat = np.fromiter(chain.from_iterable(coded), "<u4", size.sum())
+        at = np.searchsorted(self.known, hashes)
+        self.first = np.insert(self.first, at, len(self.flat) + np.cumsum(size) - size)
+        self.known, self.size = np.insert(self.known, at, hashes), np.insert(self.size, at, size)
+        self.flat = np.concatenate([self.flat, flat])
 
     def raw(self, text: str) -> bytes:
         if self.tokenizer is None:
@@ -107,19 +128,23 @@ class TextEncoder:
         out = [b""] * len(texts)
         h, doc = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         if len(h):
-            _, at, where = np.unique(h, return_index=True, return_inverse=True)
-            edge, words = np.cumsum([0, *(len(p[0]) for p in parts)]), np.empty(len(at), object)
-            for (data, start, end), a, z in zip(slices, edge, edge[1:]):
-                mine = np.flatnonzero((at >= a) & (at < z))
-                raw = data.tobytes()
-                words[mine] = [raw[i:j] for i, j in zip(start[at[mine] - a].tolist(), end[at[mine] - a].tolist())]
-            lower = b" ".join(words).decode().lower().encode()  # no word holds a space
-            mapped = lower.decode("latin-1").translate(self.alphabet).split(" ")
-            coded = [array("I", e.ids) for e in self.model.encode_batch_fast(mapped, add_special_tokens=False)]
-            size = np.array([len(c) for c in coded], np.int64)
-            flat = np.frombuffer(b"".join(coded), "<u4")
-            n = size[where]
-            ids = flat[np.repeat((np.cumsum(size) - size)[where] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+            different, at, which = np.unique(h, return_index=True, return_inverse=True)
+            place = np.minimum(np.searchsorted(self.known, different), max(0, len(self.known) - 1))
+            new = np.flatnonzero(self.known[place] != different) if len(self.known) else np.arange(len(different))
+            if len(new) and len(self.known) + len(new) > KNOWN_WORDS:
+                self.forget()
+                new = np.arange(len(different))
+            if len(new):
+                edge, words = np.cumsum([0, *(len(p[0]) for p in parts)]), np.empty(len(new), object)
+                at = at[new]
+                for (data, start, end), a, z in zip(slices, edge, edge[1:]):
+                    mine = np.flatnonzero((at >= a) & (at < z))
+                    raw = data.tobytes()
+                    words[mine] = [raw[i:j] for i, j in zip(start[at[mine] - a].tolist(), end[at[mine] - a].tolist())]
+                self.learn(different[new], words)
+            where = np.searchsorted(self.known, different)[which]
+            n = self.size[where]
+            ids = self.flat[np.repeat(self.first[where] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
             per = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
             edge = (4 * np.concatenate(([0], np.cumsum(per)))).tolist()
             out = [ids[a:z] for a, z in zip(edge, edge[1:])]
@@ -279,4 +304,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     the end id alone. A null doc_id stays null; repeated rows are packed
     each; other columns are ignored; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_packer(tokenizer_path, capacity, block_tails, end_id, keep_ids), PIECES)
