@@ -12,11 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tenderlake.llm.common import cut
+from tenderlake.llm.common import cut, small_batches
 from tenderlake.llm.textops import text_slices
 
+#: languages that are told apart in any corpus; others join where enough rows declare them
 LANGUAGES = ("en", "de", "fr", "es")
 UNKNOWN = "und"
+#: a further language is one that this share of the rows declares, and so many rows at least
+DECLARED_SHARE, DECLARED_ROWS = 0.01, 50
 BINS = 1 << 14
 #: a text speaks with the weight of at most this many independent trigrams
 TEXT_WEIGHT = 64
@@ -90,9 +93,19 @@ def _score(batches, logp):
                 names=[*rows.schema.names, "trigrams", "text_ll"])
 
 
-def identify(docs: DataFrame, languages=LANGUAGES) -> DataFrame:
+def languages_of(docs: DataFrame) -> tuple[str, ...]:
+    """LANGUAGES, then others that enough rows of ``docs`` declare, by name: 1 / DECLARED_SHARE at most."""
+    tags = docs.groupBy(primary(F.col("declared")).alias("tag")).agg(F.count("*").alias("n"))
+    total = docs.count()
+    often = tags.where((F.col("tag") != "") & (F.col("n") >= DECLARED_ROWS) & (F.col("n") >= DECLARED_SHARE * total)).collect()
+    return LANGUAGES + tuple(sorted({r["tag"] for r in often} - {*LANGUAGES, UNKNOWN}))
+
+
+def identify(docs: DataFrame, languages: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` (id, text, declared, host) as id, text_key, declared, lang, posterior, accepted.
 
+    ``languages``: by default what ``languages_of`` finds.
+
     lang is the language with the largest posterior, ``und`` for none of
     them; a text without letters is judged by its other evidence alone and
     is not accepted. accepted: lang is one of ``languages`` with at least
@@ -102,6 +115,8 @@ def identify(docs: DataFrame, languages=LANGUAGES) -> DataFrame:
     has the corpus prior. Repeated rows are judged alike; an empty table
     gives no rows.
     """
+    small_batches(docs.sparkSession)
+    languages = languages or languages_of(docs)
     kinds = len(languages) + 1
     docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"), primary(F.col("declared")).alias("declared"),
                        F.coalesce("host", F.lit("")).alias("host"))
