@@ -3,6 +3,8 @@
 import re
 from collections import defaultdict
 
+import numpy as np
+
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -60,23 +62,25 @@ def plain_words(text):
 
 
 def infix_distance(pattern, text):
-    """Least edit distance of ``pattern`` to any run of ``text``."""
-    row = [0] * (len(text) + 1)
+    """Least edit distance of ``pattern`` to any run of ``text``: the whole distance table, a row at a time."""
+    numbers = {w: i for i, w in enumerate(dict.fromkeys([*pattern, *text]))}
+    t = np.array([numbers[w] for w in text], np.int64)
+    places = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
     for i, p in enumerate(pattern):
-        new = [i + 1]
-        for j, t in enumerate(text):
-            new.append(min(row[j] + (p != t), row[j + 1] + 1, new[j] + 1))
-        row = new
-    return min(row)
+        new = np.concatenate(([i + 1], np.minimum(row[:-1] + (t != numbers[p]), row[1:] + 1)))
+        row = np.minimum.accumulate(new - places) + places
+    return int(row.min())
 
 
 def leaks(docs, items, share=0.3, least=8):
+    """{(doc, item)}: some run of the document is within ``share`` edits of the item; short items are held as they are."""
     out = set()
+    plain = [(i, plain_words(t)) for i, t in items]
     for d, t in docs:
         text = plain_words(t)
-        for i, item in items:
-            p = plain_words(item)
-            if len(p) >= least and infix_distance(p, text) <= int(share * len(p)):
+        for i, p in plain:
+            if p and infix_distance(p, text) <= (int(share * len(p)) if len(p) >= least else 0):
                 out.add((d, i))
     return out
 

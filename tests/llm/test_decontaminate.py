@@ -105,11 +105,11 @@ def test_empty_tables(spark, make_docs):
 
 
 def test_given_documents(spark, sf):
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").where("n_chars < 3000").collect()]
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = {(r["doc_id"], r["item_id"]) for r in op3(spark, sf).collect()}
     want = brute.leaks(docs, items)
-    assert got & {(d, i) for d, _ in docs for i, _ in items} == want
+    assert got == want
 
 
 def test_walks_fall_into_step_again():

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tenderlake.llm import language as lg
 from tenderlake.llm.queries import op7
@@ -142,3 +143,15 @@ def test_given_pages(spark, sf):
 
 def test_empty_table(spark, make_docs):
     assert lg.identify_documents(make_docs([])).count() == 0 and lg.drop_rejected(make_docs([])).count() == 0
+
+
+def test_a_further_language_joins_where_enough_rows_declare_it(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(lg, "DECLARED_ROWS", 10)
+    pl = "i to jest polski tekst, który nie jest napisany w żadnym z innych języków świata "
+    rows = [(i, f"{pl} {i % 7} {pl[i % 20:]}", "pl", "p.pl") for i in range(30)] + [(100 + i, EN + f" {i}", "en", "a.org") for i in range(60)]
+    rows += [(200, pl, None, "a.org"), (201, EN, "xx", "a.org")]
+    docs = make_docs(rows)
+    assert lg.languages_of(docs.select("text", F.col("lang").alias("declared"))) == (*lg.LANGUAGES, "pl")
+    got = {r["id"]: (r["lang"], r["accepted"]) for r in lg.identify_documents(docs).collect()}
+    assert got[3] == got[200] == ("pl", True) and got[105] == got[201] == ("en", True)
+    assert lg.languages_of(make_docs([]).select("text", F.col("lang").alias("declared"))) == lg.LANGUAGES

@@ -101,3 +101,22 @@ def test_differencing_is_near_equal():
 def test_encoder_is_the_tokenizer(texts):
     e = packing.TextEncoder(tokenizer_path())
     assert e.many(pa.array(texts, pa.string())) == [e.raw(t) for t in texts]
+
+
+def test_words_kept_between_groups(monkeypatch):
+    """Ids of known words are used again, however few of them are kept, and each text's ids are the tokenizer's."""
+    monkeypatch.setattr(packing, "KNOWN_WORDS", 60)
+    e = packing.TextEncoder(tokenizer_path())
+    texts = [" ".join(f"word{i * k % 37}" for i in range(20)) + " Ünïcode, 12!" for k in range(30)]
+    for lo in range(0, 30, 4):
+        assert e.many(pa.array(texts[lo:lo + 4], pa.string())) == [e.raw(t) for t in texts[lo:lo + 4]]
+        assert len(e.known) <= 60 + 30 and (np.diff(e.known.astype(object)) > 0).all()
+
+
+def test_long_words_of_a_regular_build(spark, make_docs, tokenizer):
+    """Words on which a polynomial hash modulo 2**64 collides have their own ids."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate({97: 98, 98: 97})
+    docs = [(1, a), (2, a.translate({97: 98, 98: 97})), (3, a[:1024]), (4, a[:1024].translate({97: 98, 98: 97}))]
+    assert check(packing.pack_documents(make_docs(docs), tokenizer_path()).collect(), docs, tokenizer) == 0
