@@ -89,6 +89,24 @@ def ranking_by_group_year(stg_titulaires: DataFrame, approx_distinct: bool = Fal
 
 
 # --------------------------------------------------------------------- A2
+def buyer_cells(stg_titulaires: DataFrame) -> DataFrame:
+    """Contracts per buyer, year and IT contract id; all other contracts of a buyer's year are one cell."""
+    base = stg_titulaires.filter(~F.col("flag_montant_suspect") & ~F.col("flag_date_suspecte")
+                                 & in_year_window("annee"))
+    is_it = F.coalesce(F.col("famille_cpv") == IT_FAMILY, F.lit(False))
+    return base.groupBy("acheteur_siret", "annee", is_it.alias("is_it"),
+                         F.when(is_it, F.col("marche_id")).alias("it_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(to_amount("montant_eur")).alias("s"))
+
+
+def profiled(per_buyer: DataFrame) -> DataFrame:
+    return per_buyer.select(
+        "acheteur_siret", "nb_marches_total", "nb_annees_actives", "nb_marches_it",
+        "total_millions_eur", "total_millions_it", "premiere_annee", "derniere_annee",
+        label_bands(F.col("nb_annees_actives"), BUYER_PROFILE_BANDS, BUYER_PROFILE_DEFAULT)
+        .alias("profil_publication"))
+
+
 def buyer_activity(stg_titulaires: DataFrame) -> DataFrame:
     """Per buyer: volume, active years, IT share and publication profile.
 
@@ -97,12 +115,7 @@ def buyer_activity(stg_titulaires: DataFrame) -> DataFrame:
     row. The per-buyer step with its distinct counts and the text min/max of
     the years, which a hash aggregation can't buffer, runs on that.
     """
-    base = stg_titulaires.filter(~F.col("flag_montant_suspect") & ~F.col("flag_date_suspecte")
-                                 & in_year_window("annee"))
-    is_it = F.coalesce(F.col("famille_cpv") == IT_FAMILY, F.lit(False))
-    cells = base.groupBy("acheteur_siret", "annee", is_it.alias("is_it"),
-                         F.when(is_it, F.col("marche_id")).alias("it_id")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(to_amount("montant_eur")).alias("s"))
+    cells = buyer_cells(stg_titulaires)
     per_buyer = (cells.groupBy("acheteur_siret").agg(
         F.sum("n").alias("nb_marches_total"),
         F.countDistinct("annee").alias("nb_annees_actives"),
@@ -113,11 +126,7 @@ def buyer_activity(stg_titulaires: DataFrame) -> DataFrame:
         F.min("annee").alias("premiere_annee"),
         F.max("annee").alias("derniere_annee"))
         .filter(F.col("nb_marches_total") >= 3))
-    return per_buyer.select(
-        "acheteur_siret", "nb_marches_total", "nb_annees_actives", "nb_marches_it",
-        "total_millions_eur", "total_millions_it", "premiere_annee", "derniere_annee",
-        label_bands(F.col("nb_annees_actives"), BUYER_PROFILE_BANDS, BUYER_PROFILE_DEFAULT)
-        .alias("profil_publication"))
+    return profiled(per_buyer)
 
 
 # --------------------------------------------------------------------- A3

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.operators import enrich
+from tenderlake.operators import enrich, party_counts, text_index
 from tenderlake.plans import job
+from tenderlake.plans.catalog import Catalog
 from tenderlake.session import checkpoint_dir
 from tenderlake.sources import bridge, contracts
 
@@ -86,6 +87,31 @@ def refresh_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(report.items()), "table_name string, nb_rows long")
 
 
-QUERIES = {"landed_register": landed_register, "load_rejects": register_rejects, "groups_seed": groups_seed,
+def _indexed_search(q: str, limit: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = _folder(spark)
+        text_index.write_index(Catalog.from_driver_tables(spark, sf_dir).stg_titulaires, at)
+        return text_index.search(spark, at, q, limit)
+    run.__doc__ = f"Q5: {q!r} looked up in a written trigram index of all contracts."
+    return run
+
+
+def _from_counts(read):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = _folder(spark)
+        party_counts.write_counts(Catalog.from_driver_tables(spark, sf_dir).stg_titulaires, at)
+        return read(spark, at)
+    run.__doc__ = read.__doc__
+    return run
+
+
+COUNTED = {"ranking_bitmaps": party_counts.ranking_by_group_year, "global_stats_bitmaps": party_counts.global_stats,
+           "group_reach": party_counts.group_reach, "buyer_activity_cells": party_counts.buyer_activity}
+
+SEARCHES = {"search_indexed": ("50%_net", 100), "search_group_indexed": ("group_1", 20), "search_pair_indexed": ("bu", 100)}
+
+QUERIES = {name: _indexed_search(*q) for name, q in SEARCHES.items()}
+QUERIES |= {name: _from_counts(read) for name, read in COUNTED.items()}
+QUERIES |= {"landed_register": landed_register, "load_rejects": register_rejects, "groups_seed": groups_seed,
            "population_seed": population_seed, "resolved_lookup": resolved_lookup, "reference_csv": reference_csv,
            "refresh_report": refresh_report}

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderlake.operators import explore, quality
+from tenderlake.operators import explore, quality, text_index
 from tenderlake.plans import export
 from tenderlake.plans.catalog import Catalog
 from tenderlake.operators.staging import clean_groups
@@ -82,6 +82,7 @@ def refresh(spark: SparkSession, raw: DataFrame, groups: DataFrame, out_dir: str
     catalog = Catalog(raw, groups, population, groups_are_clean=True)
     full, marches, titulaires = stage(catalog, path)
     report = export.export_tables(spark, build_tables(catalog, full, marches, titulaires), f"{path}/serving")
+    text_index.write_index(titulaires, f"{path}/search")
     publish(spark, out_dir, version)
     return report
 

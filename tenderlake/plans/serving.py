@@ -75,30 +75,42 @@ def top_buyers(buyer_activity: DataFrame, profil: str | None = None, limit: int
 
 
 # Q5
-def search(stg_titulaires: DataFrame, q: str, limit: int = 20) -> DataFrame:
-    """Case-insensitive text search in the subject, group or company name.
+def check_search(q: str, limit: int) -> None:
+    if q is None or len(q) < 2:
+        raise ValueError("q must have at least 2 characters")
+    _limit(limit, 100)
+
+
+def search_hit(q: str) -> F.Column:
+    """Whether the subject, group or company name holds ``q``, whatever the case.
 
     '%' and '_' in ``q`` act as wildcards; a backslash is a plain character.
     """
-    if q is None or len(q) < 2:
-        raise ValueError("q must have at least 2 characters")
-    limit = _limit(limit, 100)
     pattern = F.lower(F.lit("%" + like_literal(q) + "%"))
 
     def hit(c):
         return F.like(F.lower(F.col(c).cast("string")), pattern)
 
-    return (stg_titulaires
-            .filter((hit("objet") | hit("groupe") | hit("nom_entreprise")) & ~F.col("flag_montant_suspect"))
-            .select("marche_id", "groupe", F.col("siret").cast("string").alias("siret"),
-                    F.col("nom_entreprise").cast("string").alias("nom_entreprise"),
-                    "montant_eur", "annee", "code_cpv",
-                    F.left(F.col("objet").cast("string"), F.lit(150)).alias("objet"),
-                    "acheteur_siret")
+    return hit("objet") | hit("groupe") | hit("nom_entreprise")
+
+
+def search_result(hits: DataFrame, limit: int) -> DataFrame:
+    """The contracts found, largest amount first."""
+    return (hits.select("marche_id", "groupe", F.col("siret").cast("string").alias("siret"),
+                        F.col("nom_entreprise").cast("string").alias("nom_entreprise"),
+                        "montant_eur", "annee", "code_cpv",
+                        F.left(F.col("objet").cast("string"), F.lit(150)).alias("objet"),
+                        "acheteur_siret")
             .orderBy(desc("montant_eur"), asc("marche_id"))
             .limit(limit))
 
 
+def search(stg_titulaires: DataFrame, q: str, limit: int = 20) -> DataFrame:
+    """Case-insensitive text search by a scan; ``operators.text_index`` has the same over an index."""
+    check_search(q, limit)
+    return search_result(stg_titulaires.filter(search_hit(q) & ~F.col("flag_montant_suspect")), limit)
+
+
 # Q6
 def global_stats(stg_titulaires: DataFrame) -> DataFrame:
     """Dataset totals (neither flag set).

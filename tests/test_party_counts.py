@@ -1,0 +1,90 @@
+"""Distinct buyers and holders from bitmaps: exact, mergeable, without an Expand."""
+
+import contextlib
+import io
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from rows import contract, groups_df, raw_df
+from tenderlake.operators import marts, party_counts, staging
+from tenderlake.plans import serving
+
+
+def plan(df):
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
+def titulaires(spark, rows):
+    return staging.stg_titulaires(staging.stg_marches(raw_df(spark, rows)), groups_df(spark, [(f"H{i}", f"Soc {i}", f"GROUP_{i % 4}") for i in range(20)]))
+
+
+def some_rows(seed, n=600):
+    r = random.Random(seed)
+    return [contract(i % 500, montant=r.choice([0.5, 2.0, 1234.567, 9e6, float("nan"), None]), buyer=r.choice([None, *(f"B{k}" for k in range(40))]),
+                     holder=r.choice([None, *(f"H{k}" for k in range(30))]), cpv=r.choice(["72000000", "48000000", None]),
+                     date=r.choice(["2018-01-01", "2019/05/05", "2026-12-31", "2031-01-01", "x", "20185-01-01"])) for i in range(n)]
+
+
+def rows_of(df):
+    return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
+
+
+@pytest.fixture(scope="module", params=[1, 2])
+def counted(spark, request, tmp_path_factory):
+    t = titulaires(spark, some_rows(request.param))
+    path = str(tmp_path_factory.mktemp("counts"))
+    party_counts.write_counts(t.repartition(4), path)
+    return t, path
+
+
+def test_ranking_equals_distinct_counts(spark, counted):
+    t, path = counted
+    assert rows_of(party_counts.ranking_by_group_year(spark, path)) == rows_of(marts.ranking_by_group_year(t))
+
+
+def test_totals_equal_distinct_counts(spark, counted):
+    t, path = counted
+    assert rows_of(party_counts.global_stats(spark, path)) == rows_of(serving.global_stats(t))
+
+
+def test_bitmaps_merge_over_years(spark, counted):
+    t, path = counted
+    it = t.filter((F.col("famille_cpv") == "72") & F.col("annee").between("2018", "2026") & ~F.col("flag_montant_suspect"))
+    want = it.groupBy("groupe").agg(F.count("*").alias("nb_marches"), F.countDistinct("siret").alias("nb_entites_juridiques"),
+                                    F.countDistinct("acheteur_siret").alias("nb_acheteurs_distincts"))
+    assert rows_of(party_counts.group_reach(spark, path)) == rows_of(want)
+
+
+def test_no_expand_and_no_contracts_read(spark, counted):
+    _, path = counted
+    for read in (party_counts.ranking_by_group_year, party_counts.global_stats, party_counts.group_reach, party_counts.buyer_activity):
+        p = plan(read(spark, path))
+        assert "Expand" not in p and "flag_montant_suspect" not in p and "number" not in p
+
+
+def test_buyer_activity_equals_distinct_counts(spark, counted):
+    t, path = counted
+    assert rows_of(party_counts.buyer_activity(spark, path)) == rows_of(marts.buyer_activity(t))
+
+
+def test_many_parties_fill_several_buckets(spark, tmp_path):
+    """70 000 holders of one group and year: several bitmaps of one (group, year), and an exact count."""
+    t = titulaires(spark, [contract(1, holder="H1", montant=5.0)])
+    many = spark.range(70_000).select(*[F.concat(F.lit("S"), F.col("id") % 69_000).alias(c) if c == "siret" else F.lit(v).alias(c)
+                                        for c, v in t.first().asDict().items()])
+    party_counts.write_counts(many.repartition(2), str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/holders_bitmaps").count() >= 3
+    got = party_counts.ranking_by_group_year(spark, str(tmp_path)).first()
+    assert (got["nb_entites_juridiques"], got["nb_acheteurs_distincts"], got["nb_marches"]) == (69_000, 1, 70_000)
+
+
+def test_empty(spark, tmp_path):
+    t = titulaires(spark, [])
+    party_counts.write_counts(t, str(tmp_path))
+    assert party_counts.ranking_by_group_year(spark, str(tmp_path)).count() == 0
+    assert rows_of(party_counts.global_stats(spark, str(tmp_path))) == rows_of(serving.global_stats(t))
