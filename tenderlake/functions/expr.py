@@ -70,6 +70,19 @@ def mean_eur(col: Column | str) -> Column:
     return sum_eur(c) / F.count(c)
 
 
+def eur_parts(col: Column | str) -> list[Column]:
+    """What ``sum_eur`` and ``mean_eur`` of a column are made of, as columns that can be summed again."""
+    c = amount(col)
+    fixed = to_amount(c)
+    return [F.count(c).alias("n_amounts"), F.sum(fixed).alias("fixed"), F.sum(F.when(fixed.isNull(), c)).alias("rest")]
+
+
+def parts_sum() -> Column:
+    """``sum_eur`` of rows that hold ``eur_parts``."""
+    zero = F.lit(0.0)
+    return F.when(F.sum("n_amounts") > 0, F.coalesce(F.sum("fixed").cast("double"), zero) + F.coalesce(F.sum("rest"), zero))
+
+
 def safe_divide(num: Column, den: Column) -> Column:
     """Division that gives NULL on a zero denominator (ANSI-safe)."""
     return F.try_divide(num, den)

@@ -6,10 +6,10 @@ from per-row network calls; a missing name becomes 'INCONNU'.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenderlake.functions.groups import KEYWORDS_ENRICHMENT, KEYWORDS_REFERENCE, map_group
+from tenderlake.functions.groups import DEFAULT_GROUP, KEYWORDS_ENRICHMENT, KEYWORDS_REFERENCE, map_group
 from tenderlake.operators import explore
 
 # Name for an unresolved id, source tag of rebuilt rows.
@@ -56,6 +56,44 @@ def map_groups(names: DataFrame, keywords=KEYWORDS_REFERENCE) -> DataFrame:
     return names.select("siret", "nom", map_group(F.col("nom"), keywords).alias("groupe"))
 
 
+#: characters of the piece by which a keyword is looked for (all of it, if it has fewer)
+GRAM = 3
+
+
+def _grams(text: F.Column, size: int) -> F.Column:
+    """The different runs of ``size`` characters of a text."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.expr("array()"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, size)))
+
+
+def map_groups_by_table(names: DataFrame, keywords: DataFrame, default: str = DEFAULT_GROUP) -> DataFrame:
+    """``map_groups`` with the keyword table as data: (ordinal, keyword, groupe), of any size.
+
+    A keyword is looked for by one of its GRAM-character pieces, the one that
+    fewest keywords have; names meet it by theirs, the whole keyword decides,
+    and of all that a name holds the one with the smallest ordinal gives the
+    group. Names are looked at once each, however many companies share one.
+    """
+    size = F.least(F.length("keyword"), F.lit(GRAM))
+    pieces = keywords.select("ordinal", "keyword", "groupe", F.explode_outer(
+        F.when(F.length("keyword") >= GRAM, _grams(F.col("keyword"), GRAM)).otherwise(F.array("keyword"))).alias("gram"))
+    shared = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    anchors = (pieces.join(shared, "gram").groupBy("ordinal", "keyword", "groupe")
+               .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
+    sizes = [r[0] for r in keywords.select(size).distinct().collect()]  # GRAM + 1 of them at most
+    distinct = names.select(F.upper("nom").alias("name")).filter(F.col("name").isNotNull()).distinct()
+    grams = F.concat(*[_grams(F.col("name"), k) if k else F.array(F.lit("")) for k in sizes]) if sizes else F.expr("array()").cast("array<string>")
+    found = (distinct.select("name", F.explode(grams).alias("gram")).join(anchors, "gram")
+             .filter(F.col("name").contains(F.col("keyword")))
+             .groupBy("name").agg(F.min_by("groupe", "ordinal").alias("groupe")))
+    return (names.withColumn("name", F.upper("nom")).join(found, "name", "left")
+            .select("siret", "nom", F.coalesce("groupe", F.lit(default)).alias("groupe")))
+
+
+def keyword_table(spark: SparkSession, keywords=KEYWORDS_REFERENCE) -> DataFrame:
+    return spark.createDataFrame([(i, k, g) for i, (k, g) in enumerate(keywords)], "ordinal int, keyword string, groupe string")
+
+
 # S10
 def rebuild_reference(resolved: DataFrame, keywords=KEYWORDS_REFERENCE) -> DataFrame:
     """Six-column company table from resolved companies, tagged 'api_auto'."""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tenderlake.functions.expr import (in_year_window, label_bands, mean_eur, round_half_away,
+from tenderlake.functions.expr import (eur_parts, in_year_window, label_bands, mean_eur, parts_sum, round_half_away,
                                        safe_divide, sum_eur, to_amount)
 
 IT_FAMILY = "72"
@@ -138,12 +138,20 @@ def concentration_by_cpv(stg_titulaires: DataFrame) -> DataFrame:
     are windows over the aggregated rows; the rank <= 3 filter becomes a
     WindowGroupLimit.
     """
+    return concentration_of_cells(concentration_cells(stg_titulaires))
+
+
+def concentration_cells(stg_titulaires: DataFrame, *by: str) -> DataFrame:
+    """Contracts and amount per CPV code and group (and ``by``)."""
     base = stg_titulaires.filter(~F.col("flag_montant_suspect") & in_year_window("annee")
                                  & (F.col("montant_eur") < F.lit(AMOUNT_STAGED_MAX))
                                  & F.col("code_cpv").isNotNull())
-    per = base.groupBy("code_cpv", "groupe").agg(
+    return base.groupBy(*by, "code_cpv", "groupe").agg(
         F.count(F.lit(1)).alias("nb_marches"),
         F.sum(to_amount("montant_eur")).alias("s"))
+
+
+def concentration_of_cells(per: DataFrame) -> DataFrame:
     by_code = Window.partitionBy("code_cpv")
     per = (per.withColumn("nb_total", F.sum("nb_marches").over(by_code))
               .withColumn("montant_total", F.sum("s").over(by_code).cast("double"))
@@ -177,15 +185,22 @@ def spending_by_department(raw: DataFrame) -> DataFrame:
     (department, family) almost entirely map-side, one sum per row; the few
     cells are then folded into columns.
     """
+    return spending_of_cells(spending_cells(raw))
+
+
+def spending_cells(raw: DataFrame, *by: F.Column) -> DataFrame:
+    """Contracts and amount per department and CPV family (and ``by``)."""
     place = F.col("lieuExecution")
     fam = F.left(F.col("codeCPV"), F.lit(2))
     rows = (raw.filter(F.col("montant").isNotNull() & (F.col("montant") < F.lit(AMOUNT_STAGED_MAX))
                        & place.isNotNull() & place.getField("typeCode").isNotNull())
-            .select(department_of(place).alias("dept"), fam.alias("fam"), F.col("montant")))
+            .select(*by, department_of(place).alias("dept"), fam.alias("fam"), F.col("montant")))
     rows = rows.filter(F.col("dept").isNotNull() & (F.length("dept") == 2)
                        & ~F.col("dept").isin(*EXCLUDED_DEPTS))
-    cells = rows.groupBy("dept", "fam").agg(F.count(F.lit(1)).alias("n"), F.sum(to_amount("montant")).alias("s"))
+    return rows.groupBy(*[c for c in rows.columns if c != "montant"]).agg(F.count(F.lit(1)).alias("n"), F.sum(to_amount("montant")).alias("s"))
+
 
+def spending_of_cells(cells: DataFrame) -> DataFrame:
     def millions(cond):
         kept = F.col("s") if cond is None else F.when(cond, F.col("s"))
         return round_half_away(F.coalesce(F.sum(kept).cast("double"), F.lit(0.0)) / F.lit(1e6), 2)
@@ -210,14 +225,23 @@ def procedures_by_buyer(stg_titulaires: DataFrame) -> DataFrame:
     Categories with fewer than 3 contracts are dropped *before* the share is
     taken, so the share is among the kept categories of the buyer.
     """
+    return procedures_of_cells(procedure_cells(stg_titulaires))
+
+
+def procedure_cells(stg_titulaires: DataFrame, *by: str) -> DataFrame:
+    """Contracts and amount per buyer and procedure category (and ``by``)."""
     base = (stg_titulaires
             .filter(~F.col("flag_montant_suspect") & in_year_window("annee")
                     & F.col("procedure_type").isNotNull())
-            .select("acheteur_siret", procedure_category(F.col("procedure_type")).alias("categorie_procedure"),
+            .select(*by, "acheteur_siret", procedure_category(F.col("procedure_type")).alias("categorie_procedure"),
                     "montant_eur"))
-    agg = (base.groupBy("acheteur_siret", "categorie_procedure")
-           .agg(F.count(F.lit(1)).alias("nb_marches"),
-                _millions("montant_eur", 2).alias("total_millions_eur"))
+    return base.groupBy(*by, "acheteur_siret", "categorie_procedure").agg(F.count(F.lit(1)).alias("n"), *eur_parts("montant_eur"))
+
+
+def procedures_of_cells(cells: DataFrame) -> DataFrame:
+    agg = (cells.groupBy("acheteur_siret", "categorie_procedure")
+           .agg(F.sum("n").alias("nb_marches"),
+                round_half_away(parts_sum() / F.lit(1e6), 2).alias("total_millions_eur"))
            .filter(F.col("nb_marches") >= 3))
     buyer_total = F.sum("nb_marches").over(Window.partitionBy("acheteur_siret"))
     return agg.withColumn(
@@ -253,14 +277,24 @@ def recurring_pairs(stg_titulaires: DataFrame) -> DataFrame:
     date text) first, and the pair's min, max and distinct years come from
     that smaller result. One scan, no join.
     """
-    keys = ["acheteur_siret", "siret", "groupe", "nom_entreprise"]
+    return pairs_of_days(pair_days(stg_titulaires))
+
+
+PAIR = ["acheteur_siret", "siret", "groupe", "nom_entreprise"]
+
+
+def pair_days(stg_titulaires: DataFrame) -> DataFrame:
+    """IT contracts and amount per buyer/holder pair, year and notification date."""
     base = stg_titulaires.filter(~F.col("flag_montant_suspect") & in_year_window("annee")
                                  & (F.col("famille_cpv") == IT_FAMILY)
                                  & F.col("siret").isNotNull() & F.col("acheteur_siret").isNotNull())
-    days = base.groupBy(*keys, "annee", "date_notification").agg(
+    return base.groupBy(*PAIR, "annee", "date_notification").agg(
         F.count(F.lit(1)).alias("n"), F.sum(to_amount("montant_eur")).alias("s"))
+
+
+def pairs_of_days(days: DataFrame) -> DataFrame:
     total = F.sum("s").cast("double")
-    agg = (days.groupBy(*keys).agg(
+    agg = (days.groupBy(*PAIR).agg(
         F.sum("n").alias("nb_marches"),
         F.countDistinct("annee").alias("nb_annees_communes"),
         round_half_away(total / F.lit(1e6), 2).alias("total_millions_eur"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tenderlake.functions.expr import amount, in_year_window, round_half_away, safe_divide, to_amount
+from tenderlake.functions.expr import eur_parts, in_year_window, parts_sum, round_half_away, safe_divide, to_amount
 from tenderlake.operators.marts import IT_FAMILY, buyer_cells, profiled
 
 #: what totals and bitmaps are kept by
@@ -30,13 +30,11 @@ def write_counts(stg_titulaires: DataFrame, path: str) -> None:
     """Write cells, totals, and numbers and bitmaps of both parties below ``path``, for contracts of plausible amount;
     and the cells of each buyer's years and IT contracts."""
     buyer_cells(stg_titulaires).write.parquet(f"{path}/buyer_cells")
-    fixed = to_amount(amount("montant_eur"))
     cells = _written(
         stg_titulaires.filter(~F.col("flag_montant_suspect"))
         .groupBy("groupe", "annee", F.coalesce(F.col("famille_cpv") == IT_FAMILY, F.lit(False)).alias("is_it"),
                  (~F.col("flag_date_suspecte")).alias("dated"), "siret", "acheteur_siret")
-        .agg(F.count(F.lit(1)).alias("n"), F.count(amount("montant_eur")).alias("n_amounts"), F.sum(fixed).alias("fixed"),
-             F.sum(F.when(fixed.isNull(), amount("montant_eur"))).alias("rest"), F.max("montant_eur").alias("top")),
+        .agg(F.count(F.lit(1)).alias("n"), *eur_parts("montant_eur"), F.max("montant_eur").alias("top")),
         f"{path}/cells")
     cells.groupBy(*BY).agg(F.sum("n").alias("n"), F.sum("n_amounts").alias("n_amounts"), F.sum("fixed").alias("fixed"),
                            F.sum("rest").alias("rest"), F.max("top").alias("top")).write.parquet(f"{path}/totals")
@@ -58,14 +56,9 @@ def distinct_parties(spark: SparkSession, path: str, name: str, by: list[str], w
     return merged.groupBy(*by).agg(F.sum(F.bitmap_count("bits")).alias(name))
 
 
-def _sum(fixed: str, rest: str, n: str) -> Column:
-    zero = F.lit(0.0)
-    return F.when(F.sum(n) > 0, F.coalesce(F.sum(fixed).cast("double"), zero) + F.coalesce(F.sum(rest), zero))
-
-
 def _totals(spark: SparkSession, path: str, by: list[str], where: Column) -> DataFrame:
     return spark.read.parquet(f"{path}/totals").filter(where).groupBy(*by).agg(
-        F.sum("n").alias("n"), F.sum("n_amounts").alias("n_amounts"), _sum("fixed", "rest", "n_amounts").alias("total"),
+        F.sum("n").alias("n"), F.sum("n_amounts").alias("n_amounts"), parts_sum().alias("total"),
         F.max("top").alias("top"))
 
 
@@ -91,7 +84,11 @@ def ranking_by_group_year(spark: SparkSession, path: str) -> DataFrame:
 def buyer_activity(spark: SparkSession, path: str) -> DataFrame:
     """``marts.buyer_activity`` from the written cells: a row per buyer and year, and one per buyer and IT contract,
     make distinct years and contracts plain counts."""
-    cells = spark.read.parquet(f"{path}/buyer_cells")
+    return activity_of_cells(spark.read.parquet(f"{path}/buyer_cells"))
+
+
+def activity_of_cells(cells: DataFrame) -> DataFrame:
+    """Buyers' activity of written ``marts.buyer_cells``, which are read twice."""
     it = F.col("is_it")
     years = cells.groupBy("acheteur_siret", "annee").agg(
         F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.when(it, F.col("s"))).alias("s_it"))
@@ -114,7 +111,7 @@ def global_stats(spark: SparkSession, path: str) -> DataFrame:
     years = F.collect_set("annee")  # a row per year
     total = spark.read.parquet(f"{path}/totals").filter(where).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_marches"),
-        round_half_away(_sum("fixed", "rest", "n_amounts") / F.lit(1e9), 2).alias("total_milliards_eur"))
+        round_half_away(parts_sum() / F.lit(1e9), 2).alias("total_milliards_eur"))
     span = per_year.agg(F.array_min(years).alias("premiere_annee"), F.array_max(years).alias("derniere_annee"))
     for name, alias in (("buyers", "nb_acheteurs"), ("holders", "nb_titulaires")):
         count = distinct_parties(spark, path, name, [], where)

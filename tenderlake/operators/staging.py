@@ -129,6 +129,40 @@ def linked_contracts(staged: DataFrame, groups: DataFrame, groups_are_clean: boo
             .select(*staged.columns, "nom_entreprise", F.coalesce(F.col("groupe"), F.lit(UNMAPPED)).alias("groupe")))
 
 
+#: holders that a sketch follows, and the largest share of all contracts that one task should join
+FOLLOWED, SHARE = 1000, 1 / 200
+
+
+def heavy_holders(staged: DataFrame, share: float = SHARE) -> DataFrame:
+    """(siret, parts): holders with more than ``share`` of the contracts, 1 / share at most, and the parts to deal them to.
+
+    A sketch of fixed size counts the holders in one pass, with partial
+    sketches per task."""
+    sketch = F.expr(f"approx_top_k(titulaire_siret_1, {round(1 / share)}, {max(FOLLOWED, round(4 / share))})")
+    top = staged.agg(F.count(F.lit(1)).alias("total"), sketch.alias("top"))
+    return (top.select("total", F.explode("top").alias("t"))
+            .select(F.col("t.item").alias("siret"), F.ceil(F.col("t.count") / (F.col("total") * F.lit(share))).cast("int").alias("parts"))
+            .filter(F.col("siret").isNotNull() & (F.col("parts") > 1)))
+
+
+def linked_by_share(staged: DataFrame, groups: DataFrame, share: float = SHARE) -> DataFrame:
+    """``linked_contracts`` with heavy holders dealt out by their measured share of the contracts.
+
+    Only the reference rows of heavy holders are repeated, one per part; all
+    other holders, and contracts without one, join as they are."""
+    heavy = heavy_holders(staged, share)
+    g = clean_groups(groups).select(F.col("siret").alias("_siret"), "nom_entreprise", "groupe")
+    g = (g.join(F.broadcast(heavy.withColumnRenamed("siret", "_siret")), "_siret", "left")
+         .withColumn("_g_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts"))
+    row = F.xxhash64("marche_id", "acheteur_siret", "date_notification", "montant_eur", "objet")
+    m = staged.join(F.broadcast(heavy.withColumnRenamed("siret", "_heavy")), F.col("titulaire_siret_1") == F.col("_heavy"), "left")
+    m = m.withColumn("_part", F.pmod(row, F.coalesce(F.col("parts"), F.lit(1)).cast("long")).cast("int"))
+    # a contract without a holder gets a key of its own, which no reference row has
+    m = m.withColumn("_key", F.coalesce(F.col("titulaire_siret_1"), F.concat(F.lit("\u0000"), row.cast("string"))))
+    return (m.join(g, (F.col("_key") == F.col("_siret")) & (F.col("_part") == F.col("_g_part")), "left")
+            .select(*staged.columns, "nom_entreprise", F.coalesce(F.col("groupe"), F.lit(UNMAPPED)).alias("groupe")))
+
+
 def linked_to_titulaires(linked: DataFrame) -> DataFrame:
     return (linked.filter(~F.col("flag_montant_aberrant"))
             .select(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tenderlake.operators import selection
+
 SAMPLE_MAX = 50000
 SAMPLE_COLUMNS = ["marche_id", "groupe", "siret", "nom_entreprise", "montant_eur", "annee",
                   "code_cpv", "famille_cpv", "objet", "acheteur_siret", "flag_montant_suspect",
@@ -30,6 +32,23 @@ def contract_sample(stg_titulaires: DataFrame, limit: int = SAMPLE_MAX) -> DataF
     """
     if limit < 0:
         raise ValueError("limit must be >= 0")
+    order = [F.col("montant_eur").desc_nulls_last(), F.col("marche_id").asc_nulls_last()]
+    part = Window.partitionBy("_part").orderBy(*order)
+    return (_sample_candidates(stg_titulaires, limit)
+            .withColumn("_part", F.pmod(F.xxhash64("marche_id", "acheteur_siret", "objet"), F.lit(PARTS)))
+            .withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= limit)
+            .orderBy(*order).limit(limit).select(*SAMPLE_COLUMNS))
+
+
+def write_contract_sample(stg_titulaires: DataFrame, path: str, limit: int = SAMPLE_MAX) -> DataFrame:
+    """``contract_sample`` written below ``path``: the candidates are sorted over all tasks, so that any number of equal
+    amounts is dealt out by contract id, and only the first ``limit`` rows leave their tasks."""
+    order = [F.col("montant_eur").desc_nulls_last(), F.col("marche_id").asc_nulls_last()]
+    return selection.write_first(_sample_candidates(stg_titulaires, limit).select(*SAMPLE_COLUMNS), order, limit, path)
+
+
+def _sample_candidates(stg_titulaires: DataFrame, limit: int) -> DataFrame:
+    """Contracts of the amount classes that can hold one of the first ``limit``."""
     base = (stg_titulaires.filter(~F.col("flag_montant_suspect"))
             .select(*[F.left(F.col("objet"), F.lit(150)).alias("objet") if c == "objet" else F.col(c)
                       for c in SAMPLE_COLUMNS])
@@ -39,12 +58,7 @@ def contract_sample(stg_titulaires: DataFrame, limit: int = SAMPLE_MAX) -> DataF
     # classes number a few thousand at most; those before which less than ``limit`` rows stand can hold one of the first
     needed = (base.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).withColumn("above", above)
               .filter(F.coalesce(F.col("above"), F.lit(0)) < limit).agg(F.min("_class")))
-    order = [F.col("montant_eur").desc_nulls_last(), F.col("marche_id").asc_nulls_last()]
-    part = Window.partitionBy("_part").orderBy(*order)
-    return (base.filter(F.col("_class") >= needed.scalar())
-            .withColumn("_part", F.pmod(F.xxhash64("marche_id", "acheteur_siret", "objet"), F.lit(PARTS)))
-            .withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= limit)
-            .orderBy(*order).limit(limit).select(*SAMPLE_COLUMNS))
+    return base.filter(F.col("_class") >= needed.scalar())
 
 
 # S6

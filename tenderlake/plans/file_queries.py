@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenderlake.operators import enrich, party_counts, text_index
-from tenderlake.plans import job
+from tenderlake.plans import export, incremental, job
 from tenderlake.plans.catalog import Catalog
 from tenderlake.session import checkpoint_dir
-from tenderlake.sources import bridge, contracts
+from tenderlake.functions.expr import year_text
+from tenderlake.sources import bridge, contracts, versions
 
 
 def _folder(spark: SparkSession) -> str:
@@ -105,6 +106,31 @@ def _from_counts(read):
     return run
 
 
+def sample_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7: the ordered sample by a sort over all tasks."""
+    return export.write_contract_sample(Catalog.from_driver_tables(spark, sf_dir).stg_titulaires, _folder(spark))
+
+
+def _after_changes(table: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t, at = bridge.load_tables(spark, sf_dir), _folder(spark)
+        bridge.raw_contracts(t).write.parquet(f"{at}/raw")
+        raw, groups = spark.read.parquet(f"{at}/raw"), bridge.groups_reference(t)
+        # an earlier register: of two years some contracts lacked, some had another amount, and some were withdrawn later
+        k, old = F.crc32("id"), year_text("dateNotification").isin("2019", "2020")
+        before = (raw.filter(~F.coalesce(old & (k % 7 == 0), F.lit(False)))
+                  .withColumn("montant", F.when(old & (k % 11 == 0), F.col("montant") * 2).otherwise(F.col("montant"))))
+        before = before.unionByName(raw.filter(old & (k % 13 == 0)).withColumn("id", F.concat("id", F.lit("-withdrawn"))))
+        incremental.refresh_changed(spark, before, groups, f"{at}/store")
+        incremental.refresh_changed(spark, raw, groups, f"{at}/store")
+        return spark.read.parquet(f"{versions.current(spark, f'{at}/store')}/serving/{table}")
+    run.__doc__ = f"R1: {table} after a refresh by difference from an earlier register of all contracts."
+    return run
+
+
+CHANGED = {"incremental_buyers": "mart_acheteurs_actifs", "incremental_monopolies": "mart_monopoles_cpv",
+           "incremental_departments": "mart_geo_departements"}
+
 COUNTED = {"ranking_bitmaps": party_counts.ranking_by_group_year, "global_stats_bitmaps": party_counts.global_stats,
            "group_reach": party_counts.group_reach, "buyer_activity_cells": party_counts.buyer_activity}
 
@@ -112,6 +138,8 @@ SEARCHES = {"search_indexed": ("50%_net", 100), "search_group_indexed": ("group_
 
 QUERIES = {name: _indexed_search(*q) for name, q in SEARCHES.items()}
 QUERIES |= {name: _from_counts(read) for name, read in COUNTED.items()}
+QUERIES |= {name: _after_changes(mart) for name, mart in CHANGED.items()}
+QUERIES |= {"export_contract_sample_sorted": sample_sorted}
 QUERIES |= {"landed_register": landed_register, "load_rejects": register_rejects, "groups_seed": groups_seed,
            "population_seed": population_seed, "resolved_lookup": resolved_lookup, "reference_csv": reference_csv,
            "refresh_report": refresh_report}

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tenderlake.operators import explore, quality, text_index
+from tenderlake.operators import explore, party_counts, quality, text_index
 from tenderlake.plans import export
 from tenderlake.plans.catalog import Catalog
 from tenderlake.operators.staging import clean_groups
@@ -81,7 +81,13 @@ def refresh(spark: SparkSession, raw: DataFrame, groups: DataFrame, out_dir: str
     groups = spark.read.parquet(ref_path)
     catalog = Catalog(raw, groups, population, groups_are_clean=True)
     full, marches, titulaires = stage(catalog, path)
-    report = export.export_tables(spark, build_tables(catalog, full, marches, titulaires), f"{path}/serving")
+    party_counts.write_counts(titulaires, f"{path}/counts")
+    tables = build_tables(catalog, full, marches, titulaires)
+    # distinct parties come from the written bitmaps and cells, which served queries can merge further
+    tables["mart_classement_groupes"] = party_counts.ranking_by_group_year(spark, f"{path}/counts")
+    tables["mart_acheteurs_actifs"] = party_counts.buyer_activity(spark, f"{path}/counts")
+    tables["stg_titulaires_sample"] = export.write_contract_sample(titulaires, f"{path}/staging/sample")
+    report = export.export_tables(spark, tables, f"{path}/serving")
     text_index.write_index(titulaires, f"{path}/search")
     publish(spark, out_dir, version)
     return report
@@ -98,6 +104,16 @@ def refresh_from_files(spark: SparkSession, register_path: str, groups_csv: str,
     return refresh(spark, raw, groups, out_dir, pop)
 
 
+def refresh_changed_from_files(spark: SparkSession, register_path: str, groups_csv: str, out_dir: str,
+                               multiline: bool = True, keep: int = 3) -> dict[str, object]:
+    """Land a register file and build the years that it changes (``plans.incremental``)."""
+    from tenderlake.plans import incremental
+    raw_path = f"{out_dir}/raw_marches"
+    contracts.land_register(spark, register_path, raw_path, multiline=multiline)
+    return incremental.refresh_changed(spark, contracts.read_raw(spark, raw_path), contracts.read_groups_seed(spark, groups_csv),
+                                       f"{out_dir}/changed", keep)
+
+
 def refresh_from_driver_tables(spark: SparkSession, sf_dir: str, out_dir: str) -> dict[str, object]:
     """The same build on the register derived from the driver tables."""
     t = bridge.load_tables(spark, sf_dir)
@@ -126,7 +142,7 @@ def main(argv=None) -> None:
     """Command line of the refresh (see ``refresh.py`` at the repository root):
 
     spark-submit --py-files tenderlake.zip refresh.py --register PATH --groups CSV --out DIR
-        [--population CSV] [--ndjson] [--snapshots]
+        [--population CSV] [--ndjson] [--snapshots | --changed [--keep N]]
     """
     import argparse
     import json
@@ -140,9 +156,13 @@ def main(argv=None) -> None:
     p.add_argument("--population", help="department population CSV")
     p.add_argument("--ndjson", action="store_true", help="one contract per line instead of one document")
     p.add_argument("--snapshots", action="store_true", help="land new snapshots incrementally first")
+    p.add_argument("--changed", action="store_true", help="build only the years that changed since the last version")
+    p.add_argument("--keep", type=int, default=3, help="versions left by --changed")
     a = p.parse_args(argv)
     spark = build_session()
-    if a.snapshots:
+    if a.changed:
+        report = refresh_changed_from_files(spark, a.register, a.groups, a.out, multiline=not a.ndjson, keep=a.keep)
+    elif a.snapshots:
         report = refresh_from_snapshots(spark, a.register, a.groups, a.out, a.population,
                                         multiline=not a.ndjson)
     else:

@@ -4,7 +4,7 @@ optional filters)."""
 
 from __future__ import annotations
 
-from tenderlake.operators import enrich, explore, quality
+from tenderlake.operators import enrich, explore, quality, staging
 from tenderlake.plans import export, serving
 from tenderlake.plans.registry import register
 
@@ -21,6 +21,7 @@ register("global_stats")(lambda c: serving.global_stats(c.stg_titulaires))
 register("overrun_list")(lambda c: serving.overrun_list(c.overruns()))
 register("overrun_list_200")(lambda c: serving.overrun_list(c.overruns(), 20.0, 200))
 register("overrun_stats")(lambda c: serving.overrun_stats(c.overruns()))
+register("overrun_stats_histogram")(lambda c: serving.overrun_stats_selected(c.overruns()))
 register("monopolies")(lambda c: serving.monopolies(c.concentration_by_cpv()))
 register("monopolies_it_present")(
     lambda c: serving.monopolies(c.concentration_by_cpv(), "72", "PRESENT", 200))
@@ -52,6 +53,7 @@ register("group_family_mix_group_1")(lambda c: explore.group_family_mix(c.stg_ti
 # ------------------------------------------------------------ enrichment
 register("identify_companies")(lambda c: enrich.identify_companies(c.raw, c.names))
 register("map_groups")(lambda c: enrich.map_groups(c.names))
+register("map_groups_table")(lambda c: enrich.map_groups_by_table(c.names, enrich.keyword_table(c.names.sparkSession)))
 register("rebuild_reference")(
     lambda c: enrich.rebuild_reference(enrich.identify_companies(c.raw, c.names)))
 register("enrich_unmapped")(lambda c: enrich.enrich_unmapped(c.raw, c.groups, c.names))
@@ -64,6 +66,10 @@ register("not_null_check")(lambda c: quality.not_null_check(c.stg_marches))
 register("unparsable_dates")(lambda c: quality.unparsable_dates(c.raw))
 register("reference_key_check")(lambda c: quality.reference_key_check(c.groups))
 
+# --------------------------------------------------------------- staging
+register("stg_titulaires_by_share")(
+    lambda c: staging.linked_to_titulaires(staging.linked_by_share(c.stg_marches, c.groups)))
+
 # ---------------------------------------------------------------- export
 register("export_contract_sample")(lambda c: export.contract_sample(c.stg_titulaires))
 register("resolve_names")(

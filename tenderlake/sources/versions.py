@@ -2,7 +2,8 @@
 
 A writer fills ``<root>/versions/<version>`` and publishes it when complete;
 readers take the newest published one. Nothing is overwritten, so a failing
-run leaves what was published before as it is.
+run leaves what was published before as it is. Old versions are removed one by
+one, never the newest.
 """
 
 from __future__ import annotations
@@ -38,8 +39,25 @@ def read_if_there(load) -> DataFrame | None:
         raise
 
 
+def published(spark: SparkSession, root: str) -> list[str]:
+    """Names of the published versions, oldest first."""
+    marks = read_if_there(lambda: spark.read.text(f"{root}/published/*"))
+    return sorted(r["value"] for r in marks.distinct().collect()) if marks is not None else []
+
+
+def newest(spark: SparkSession, root: str) -> str | None:
+    names = published(spark, root)
+    return names[-1] if names else None
+
+
+def remove(spark: SparkSession, root: str, version: str) -> None:
+    """Withdraw a version, then delete its files."""
+    for path in (f"{root}/published/{version}", version_path(root, version)):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def current(spark: SparkSession, root: str) -> str:
     """Path of the newest published version; ``root`` itself if none was ever published."""
-    marks = read_if_there(lambda: spark.read.text(f"{root}/published/*"))
-    newest = marks.agg(F.max("value")).first()[0] if marks is not None else None
-    return version_path(root, newest) if newest else root
+    name = newest(spark, root)
+    return version_path(root, name) if name else root
