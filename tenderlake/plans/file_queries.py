@@ -3,6 +3,7 @@ under the session's shared folder, read back by the operator, and returned."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,12 @@ from tenderlake.sources import bridge, contracts, versions
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
+    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that is unset on a single machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared or checkpoint_dir(spark, tempfile.mkdtemp(prefix='tenderlake-'))}/files-{uuid.uuid4().hex}"
+    if not shared:
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)
+        shared = checkpoint_dir(spark, tempfile.mkdtemp(prefix="tenderlake-") if local else None)
+    return f"{shared}/files-{uuid.uuid4().hex}"
 
 
 def _csv(df: DataFrame, path: str) -> str:

@@ -12,6 +12,8 @@ folder.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tenderlake.operators import explore, party_counts, quality, text_index
@@ -81,14 +83,19 @@ def refresh(spark: SparkSession, raw: DataFrame, groups: DataFrame, out_dir: str
     groups = spark.read.parquet(ref_path)
     catalog = Catalog(raw, groups, population, groups_are_clean=True)
     full, marches, titulaires = stage(catalog, path)
-    party_counts.write_counts(titulaires, f"{path}/counts")
-    tables = build_tables(catalog, full, marches, titulaires)
-    # distinct parties come from the written bitmaps and cells, which served queries can merge further
-    tables["mart_classement_groupes"] = party_counts.ranking_by_group_year(spark, f"{path}/counts")
-    tables["mart_acheteurs_actifs"] = party_counts.buyer_activity(spark, f"{path}/counts")
-    tables["stg_titulaires_sample"] = export.write_contract_sample(titulaires, f"{path}/staging/sample")
-    report = export.export_tables(spark, tables, f"{path}/serving")
-    text_index.write_index(titulaires, f"{path}/search")
+    # the index, the counts and the sample read the staged table only: they are written side by side
+    with ThreadPoolExecutor(max_workers=3) as pool:
+        index = pool.submit(text_index.write_index, titulaires, f"{path}/search")
+        counts = pool.submit(party_counts.write_counts, titulaires, f"{path}/counts")
+        sample = pool.submit(export.write_contract_sample, titulaires, f"{path}/staging/sample")
+        tables = build_tables(catalog, full, marches, titulaires)
+        counts.result()
+        # distinct parties come from the written bitmaps and cells, which served queries can merge further
+        tables["mart_classement_groupes"] = party_counts.ranking_by_group_year(spark, f"{path}/counts")
+        tables["mart_acheteurs_actifs"] = party_counts.buyer_activity(spark, f"{path}/counts")
+        tables["stg_titulaires_sample"] = sample.result()
+        report = export.export_tables(spark, tables, f"{path}/serving")
+        index.result()
     publish(spark, out_dir, version)
     return report
 

@@ -77,7 +77,7 @@ def order_lines(lineitem: DataFrame) -> DataFrame:
     """One row per order: its lines and its returned lines, in line order."""
     li = lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
                          "l_returnflag", "l_shipdate", "l_extendedprice")
-    returned = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") != 7)
+    returned = F.col("l_returnflag") == "R"
     return li.groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey"))).alias("lines"),
         F.array_sort(F.collect_list(F.when(returned, F.struct("l_linenumber", "l_shipdate", "l_extendedprice")))).alias("amends"),
