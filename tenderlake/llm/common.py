@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -15,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without one (as in tests) gets a temporary folder.
+    Only a session of one machine without one (as in tests) gets a temporary
+    folder; on a cluster it must be set.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set")
         d = "file://" + tempfile.mkdtemp(prefix="tenderlake-")
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -33,10 +39,20 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     survives lost executors, compressed and readable by column."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def per_number(df: DataFrame, column: str, n: int, fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``fn`` of all rows with each value of ``column`` (0 to n - 1): a task per value, dealt out by the number itself,
+    so that no two of them meet in a task by their hashes."""
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from fn(pa.Table.from_batches(held)).to_batches()
+    return df.repartitionById(n, F.col(column)).mapInArrow(run, schema)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20, read: int = 256) -> None:
     """Arrow batches of at most ``rows`` rows and about ``size`` bytes, and Parquet batches of ``read`` rows, in this
     session, unless it has smaller ones: texts are long, and reader and Python worker hold a batch several times over."""
@@ -61,7 +77,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = (e.select(F.col("a").alias("u"), F.col("b").alias("v"))
                 .unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))) if larger else (
             e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written first, so that the join is of plain shuffles and AQE splits a star's centre
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         out = both.join(low, "u")
         if larger:
             out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
