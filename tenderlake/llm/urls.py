@@ -8,6 +8,7 @@ pair of hosts before any iteration.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -62,21 +63,27 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85,
-              tolerance: float = 1e-4, rounds: int = 50) -> DataFrame:
+              tolerance: float = 1e-4, rounds: int | None = None) -> DataFrame:
     """(host, trust, distrust) of two personalised PageRanks in one iteration.
 
     ``seeds``: (host, trust, distrust) masses; ``edges``: (src, dst, weight).
     Trust follows links, distrust runs against them. A host without onward
     edges passes nothing on: returning its mass to the seeds would scale all
     scores of that kind alike. Stops when the total change is under
-    ``tolerance`` of the seed mass. Each round's ranks are written to the
-    shared folder; (kind, host) keys join as plain shuffles, so AQE splits a
-    hub's edges.
+    ``tolerance`` of the seed mass: a change shrinks by ``damping`` a round, so
+    that is so after log(tolerance) / log(damping) rounds at the latest, and a
+    host further away than that gets less than ``tolerance``. With a smaller
+    ``rounds``, ranks that still change raise. Each round's ranks are written
+    to the shared folder, and so are the sums that edges are joined to: (kind,
+    host) keys join as plain shuffles, so AQE splits a hub's edges.
     """
-    fwd = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("t")), "src").select(
+    rounds = rounds or math.ceil(math.log(tolerance) / math.log(damping)) + 1
+    out = cut(edges.groupBy("src").agg(F.sum("weight").alias("t")), "out")
+    into = cut(edges.groupBy("dst").agg(F.sum("weight").alias("t")), "into")
+    fwd = edges.join(out, "src").select(
         F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"),
         (F.col("weight") / F.col("t")).alias("p"))
-    back = edges.join(edges.groupBy("dst").agg(F.sum("weight").alias("t")), "dst").select(
+    back = edges.join(into, "dst").select(
         F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"),
         (F.col("weight") / F.col("t")).alias("p"))
     steps = cut(fwd.unionByName(back), "steps")
@@ -95,15 +102,20 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85,
         ranks = ranks.drop("old")
         if change <= tolerance * total:
             break
+    else:
+        raise RuntimeError(f"ranks still change by {change / total:.2g} of the seeds after {rounds} rounds")
     mass = lambda k: F.sum(F.when(F.col("kind") == k, F.col("r")).otherwise(0.0)).alias(k)
     return ranks.groupBy("host").agg(mass("trust"), mass("distrust"))
 
 
 def judge_urls(pages: DataFrame, rules: Rules, block_share: float = 0.5) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, distrust_share.
+    """One row per page: page_id, host, path, rule, verdict, distrust_share, evidence.
 
-    Seeds are the rules' own decisions: a host's trust is its number of pages
-    that a rule allows, its distrust the number that a rule blocks. Where no
+    Seeds are the rules' own decisions: a host's trust is its share of all
+    pages that a rule allows, its distrust its share of those that a rule
+    blocks, so neither kind wins by its number of pages. evidence tells what
+    a verdict rests on: ``rule``, ``host`` (pages of the host that rules
+    judge, and what links bring), ``links`` alone, or ``none``. Where no
     rule fits, the page is blocked if its host's propagated distrust is at
     least ``block_share`` of trust + distrust. A host without any evidence,
     and a null, empty or host-less url, is allowed (share null). Repeated
@@ -117,9 +129,15 @@ def judge_urls(pages: DataFrame, rules: Rules, block_share: float = 0.5) -> Data
     seeds = (judged.where("host <> ''").groupBy("host").agg(
         F.sum(F.when(F.col("fit.verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"),
         F.sum(F.when(F.col("fit.verdict") == "block", 1.0).otherwise(0.0)).alias("distrust")))
+    seeds = cut(seeds.where("trust > 0 or distrust > 0"), "judged")
+    total = seeds.agg(*[F.coalesce(F.sum(k), F.lit(0.0)).alias(k) for k in ("trust", "distrust")]).first()
+    seeds = seeds.select("host", *[(F.col(k) / F.lit(total[k] or 1.0)).alias(k) for k in ("trust", "distrust")])
     scores = propagate(seeds, cut(host_links(pages), "links"))
-    shares = scores.select("host", (F.col("distrust") / (F.col("trust") + F.col("distrust"))).alias("distrust_share"))
+    shares = scores.join(seeds.select("host", F.lit("host").alias("own")), "host", "left").select(
+        "host", (F.col("distrust") / (F.col("trust") + F.col("distrust"))).alias("distrust_share"), F.coalesce("own", F.lit("links")).alias("evidence"))
+    shares = cut(shares, "shares")  # pages of a big host are split by AQE
     blocked = F.coalesce(F.col("distrust_share") >= block_share, F.lit(False))
     return judged.join(shares, "host", "left").select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"),
-        F.coalesce("fit.verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "distrust_share")
+        F.coalesce("fit.verdict", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "distrust_share",
+        F.when(F.col("fit.rule").isNotNull(), "rule").otherwise(F.coalesce("evidence", F.lit("none"))).alias("evidence"))
