@@ -129,3 +129,14 @@ def test_every_link_counts_once(spark, make_docs, monkeypatch, shingles):
     got = jaccard.linked_classes(make_docs(rows), count=True).collect()
     assert {x["doc_id"]: x["n_links"] for x in got} == want
     assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == brute.near_classes(rows)
+
+
+def test_texts_that_only_rows_without_an_id_have(spark, make_docs):
+    words = [f"w{i}" for i in range(40)]
+    near = words[:20] + ["changed"] + words[21:]
+    rows = [(1, " ".join(words)), (None, " ".join(near)), (None, " ".join(near)), (None, "quite another text that nothing else is like at all")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.linked_classes(make_docs(rows)).collect()), key=str)
+    assert 100 * 31 >= 75 * 41  # they link
+    assert got == [(1, 36, 1), (None, 36, 1), (None, 36, 1), (None, 6, None)]
+    far = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.linked_classes(make_docs(rows[1:])).collect()), key=str)
+    assert far == [(None, None)] * 3

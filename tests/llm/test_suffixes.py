@@ -103,3 +103,13 @@ def test_chained_and_partly_shared_passages_keep_a_copy(spark, make_docs):
                    20: text(d), 21: text(d[20:], a[:40]), 22: text([3])}
     first = {x["doc_id"]: x["first_doc"] for x in suffixes.repeated_passages(df).collect()}
     assert first == {3: 3, 7: 7, 9: 7, 12: 12, 13: 12, 20: 20, 22: 20}
+
+
+def test_rows_of_one_id_and_other_texts(spark, make_docs):
+    r = random.Random(4)
+    text = lambda n: " ".join(f"v{r.randrange(10 ** 6)}" for _ in range(n))
+    shared, own, other = text(60), text(100), text(40)
+    rows = [(1, shared + " " + other), (5, own), (5, text(40) + " " + shared), (6, own), (6, own)]
+    got = sorted((x["doc_id"], len((x["text"] or "").split())) for x in suffixes.cut_repeats(make_docs(rows)).collect())
+    # only the row of id 5 that holds the passage loses it; the other keeps all, and so the copies under id 6 go
+    assert got == [(1, 100), (5, 40), (5, 100), (6, 0), (6, 0)]

@@ -54,5 +54,78 @@ def test_distrust_runs_against_links(spark):
     assert got[5]["distrust_share"] is None
 
 
+def test_far_hosts_of_a_ring_and_too_few_rounds(spark):
+    hosts = [f"h{i}.net" for i in range(80)]
+    edges = spark.createDataFrame([(a, b, 1) for a, b in zip(hosts, hosts[1:] + hosts[:1])], "src string, dst string, weight long")
+    seeds = spark.createDataFrame([(hosts[0], 1.0, 0.0)], "host string, trust double, distrust double")
+    got = {x["host"]: x["trust"] for x in urls.propagate(seeds, edges).collect()}
+    want = brute.pagerank({hosts[0]: 1.0}, [(a, b, 1) for a, b in zip(hosts, hosts[1:] + hosts[:1])], rounds=400)
+    assert all(got.get(h, 0.0) == pytest.approx(want[h], abs=1e-4) for h in hosts) and len(got) >= 57
+    with pytest.raises(RuntimeError):
+        urls.propagate(seeds, edges, rounds=5)
+
+
+def test_number_of_pages_does_not_decide_between_kinds(spark):
+    """A host with a blocked page and many allowed ones, in a table where rules block often."""
+    rows = [page(i, f"http://x{i}.com/de/1") for i in range(30)] + [page(100 + i, f"http://both.com/fr/{i}") for i in range(3)]
+    rows += [page(200, "http://both.com/de/1"), page(201, "http://both.com/other"), page(202, "http://far.net/", "http://both.com/")]
+    got = judge(spark, rows)
+    assert got[201]["verdict"] == "allow" and got[201]["distrust_share"] < 0.1 and got[201]["evidence"] == "host"
+    assert (got[200]["evidence"], got[202]["evidence"], got[202]["verdict"]) == ("rule", "links", "block")
+
+
+def whole(rows, rules):
+    """Every page judged plainly: rules, seeds per host, ranks over host links, verdicts."""
+    import re
+    from collections import Counter, defaultdict
+    lower = str.maketrans(urls.UPPER, urls.LOWER)
+    judged, links = {}, Counter()
+    for i, url, html, *_ in rows:
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host):])[0]
+        host = host.translate(lower)
+        fits = [(len(r), r, v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        judged[i] = (host, path, *(max(fits)[1:] if fits else (None, None)))
+        for dst in re.findall(r"""href\s*=\s*["']?\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#"'\s<>]+)""", html or "", re.I):
+            if host and dst.translate(lower) != host:
+                links[host, dst.translate(lower)] += 1
+    seeds = {k: defaultdict(float) for k in ("allow", "block")}
+    for host, _, _, verdict in judged.values():
+        if verdict and host:
+            seeds[verdict][host] += 1
+    ranks = {}
+    for k, flip in (("allow", False), ("block", True)):
+        total = sum(seeds[k].values()) or 1
+        ranks[k] = brute.pagerank({h: v / total for h, v in seeds[k].items()}, [(b, a, w) if flip else (a, b, w) for (a, b), w in links.items()])
+    out = {}
+    for i, (host, path, rule, verdict) in judged.items():
+        t, d = ranks["allow"].get(host, 0), ranks["block"].get(host, 0)
+        share = d / (t + d) if t + d else None
+        out[i] = (host, path, rule, verdict or ("block" if share is not None and share >= 0.5 else "allow"), share)
+    return out
+
+
+def test_whole_query_over_the_given_table_and_with_links(spark, sf):
+    given = [(r["page_id"], r["url"], r["html"], "x", "x") for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    r = random.Random(5)
+    hosts = [f"s{i}.{d}" for i in range(8) for d in ("com", "org", "net")] + ["example.org"]
+    made = [page(i, f"http://{r.choice(hosts)}/{r.choice(['de', 'fr', 'es', 'en'])}/{r.randrange(20)}", *(f"//{r.choice(hosts)}/" for _ in range(r.randrange(4))))
+            for i in range(150)]
+    for rows in (given, made):
+        got, want = judge(spark, rows), whole(rows, URL_RULES)
+        assert set(got) == set(want)
+        for i, (host, path, rule, verdict, share) in want.items():
+            assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+            if share is None or abs(share - 0.5) > 1e-3:
+                assert got[i]["verdict"] == verdict, i
+            assert (got[i]["distrust_share"] is None and (share or 0) < 1) or got[i]["distrust_share"] == pytest.approx(share, abs=5e-3)
+
+
+def test_very_long_url_and_page(spark):
+    got = judge(spark, [page(1, "http://a.com/de/" + "x" * 100_000), page(2, "http://b.net/", *(["http://a.com/"] * 5000))])
+    assert got[1]["verdict"] == "block" and got[2]["verdict"] == "block"
+
+
 def test_empty_table(spark):
     assert judge(spark, []) == {}
