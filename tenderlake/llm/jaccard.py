@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tenderlake.llm.common import components, cut
+from tenderlake.llm.common import components, cut, per_number
 from tenderlake.llm.textops import SHINGLE, Powers, mix, shingle_sets, text_slices
 
 #: link when 100 * intersection >= PERCENT * union
@@ -33,6 +33,8 @@ PERCENT = 75
 EXTRA = 0.15
 #: shingles in a task's trie; a larger block is dealt out as pairs of chunks
 BLOCK_SHINGLES = 6_000_000
+#: shingles in a bucket, on average, where there are more than the session's shuffle partitions
+BUCKET_SHINGLES = 2_000_000
 #: shingle occurrences gathered before a task sends them to their buckets
 FLUSH = 1_500_000
 
@@ -89,6 +91,10 @@ class _Gather:
         sids = np.concatenate([p[2] for p in self.parts])
         sizes = np.concatenate([p[3] for p in self.parts])
         self.parts, self.size = [], 0
+        # a set is sent once, however many copies of its text are here
+        once = np.zeros(len(sids), bool)
+        once[np.unique(sids, return_index=True)[1]] = True
+        values, counts, sids, sizes = values[np.repeat(once, counts)], counts[once], sids[once], sizes[once]
         owner = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
         bucket = ((values >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
@@ -347,10 +353,12 @@ def _links(sets: DataFrame, count: bool = False) -> DataFrame:
     token = F.explode("prefix").alias("token")
     low = sets.select("sid", token).groupBy("token").agg(F.min("sid").alias("low"), F.count("*").alias("n")).where("n > 1")
     edges = sets.select("sid", token).join(low, "token").where("sid <> low").select(F.col("sid").alias("a"), F.col("low").alias("b"))
-    blocks = components(edges)
+    blocks = cut(components(edges), "blocks")
+    volume = sets.select("sid", "m").join(blocks, sets["sid"] == blocks["id"]).groupBy("component").agg(
+        F.ceil(F.sum("m") / BLOCK_SHINGLES).cast("int").alias("chunks"))
+    # every set with its block's number of chunks, without its tokens: those meet by set, never by block
+    blocks = cut(blocks.join(volume, "component"), "blocks")
     s = sets.select("sid", "n", "m", "tokens").join(blocks, sets["sid"] == blocks["id"]).drop("id")
-    chunks = s.groupBy("component").agg(F.ceil(F.sum("m") / BLOCK_SHINGLES).cast("int").alias("chunks"))
-    s = s.join(chunks, "component")
     mine = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
     # a block of several chunks is joined chunk with chunk, so that no task holds it whole
     other = F.when(F.col("chunks") > 1, F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != mine)).otherwise(F.array(F.lit(0)))
@@ -372,18 +380,24 @@ def linked_classes(docs: DataFrame, k: int = SHINGLE, count: bool = False) -> Da
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
     sets = cut(keyed.mapInArrow(lambda it: _sets(it, k), "doc_id long, text_key long, n_shingles long, sid long"), "sets")
+    total = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_SHINGLES))
     spread = docs.select("text").mapInArrow(lambda it: _smallest(it, k, buckets), POSTINGS)
-    likely = cut(spread.groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), SHARED)
-                 .groupBy("part").applyInArrow(_likely, "sid long"), "likely")
+    shared = per_number(spread, "bucket", buckets, lambda t: _shared(t, buckets), SHARED)
+    likely = cut(per_number(shared, "part", buckets, _likely, "sid long"), "likely")
     one = sets.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     wanted = one.join(likely, "sid").select(F.col("sid"), F.col("doc_id").alias("id"))
-    whole = (docs.join(wanted, docs["doc_id"] == wanted["id"]).select("sid", "text")
+    texts = docs.join(wanted, docs["doc_id"] == wanted["id"]).select("sid", "text")
+    # sets that only rows without an id have: one row of each text
+    nameless = sets.where("n_shingles > 0 and doc_id is null").select("sid", "text_key").distinct().join(wanted.where("id is null").select("sid"), "sid")
+    unnamed = keyed.where("doc_id is null").select("text_key", "text").dropDuplicates(["text_key"])
+    texts = texts.unionByName(unnamed.join(nameless, "text_key").select("sid", "text"))
+    whole = (texts
              .mapInArrow(lambda it: _whole(it, k, buckets), POSTINGS))
-    ordered = cut(whole.groupBy("bucket").applyInArrow(lambda t: _ranked(t, buckets), RANKED)
-                  .groupBy("part").applyInArrow(_ordered, "sid long, n long, m long, tokens binary, prefix array<long>"), "ordered")
+    ranked = per_number(whole, "bucket", buckets, lambda t: _ranked(t, buckets), RANKED)
+    ordered = cut(per_number(ranked, "part", buckets, _ordered, "sid long, n long, m long, tokens binary, prefix array<long>"), "ordered")
     links = cut(_links(ordered, count), "links")
     linked = components(links.select("a", "b"))
     classes = cut(one.join(linked, one["sid"] == linked["id"], "left")
