@@ -14,12 +14,13 @@ CLASS = 2048
 
 
 def median_of_steps(df: DataFrame, value: Column, step: float) -> DataFrame:
-    """One row with ``median``: of values that are whole numbers of ``step``s; null without any. Null values don't count.
+    """One row with ``median``: of values that are whole numbers of ``step``s; null without any. Null values don't
+    count, nor do NaN and infinite ones.
 
     The first histogram counts classes of CLASS steps and names those that
     hold the middle ranks; the second counts the steps of these alone. Rows
     that meet in one task are a class or a step each, never a value."""
-    steps = df.select(F.round(value / F.lit(step)).cast("long").alias("k")).filter(F.col("k").isNotNull())
+    steps = df.select(F.round(value / F.lit(step)).try_cast("long").alias("k")).filter(F.col("k").isNotNull())
     steps = steps.withColumn("class", F.floor(F.col("k") / F.lit(CLASS)))
     everything = Window.orderBy("class")
     classes = (steps.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
