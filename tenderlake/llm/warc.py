@@ -14,12 +14,12 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tenderlake.llm.common import new_path
+from tenderlake.llm.common import cut, new_path
 
 CRLF = "\r\n"
 MIN_PAYLOAD = 100
-#: payloads are held a file at a time when read, so files are kept short
-RECORDS_PER_FILE = 4000
+#: payloads are held a file at a time when read, so files are kept short: by records, and by bytes of average payloads
+RECORDS_PER_FILE, BYTES_PER_FILE = 4000, 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 HEADERS = "page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_to_id string"
@@ -60,7 +60,9 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -
                      F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumns({"payload_bytes": F.octet_length("html").cast("long"),
                        "payload_digest": F.sha2(F.col("html").cast("binary"), 256)})
-    firsts = resolve(p.select("page_id", "payload_bytes", "payload_digest"), min_payload)
+    # written first, so that the join is of plain shuffles and AQE splits a digest that very many pages share
+    firsts = cut(resolve(p.select("page_id", "payload_bytes", "payload_digest"), min_payload), "firsts")
+    mean = p.agg(F.coalesce(F.avg("payload_bytes"), F.lit(0.0))).first()[0]
     p = p.join(firsts, "payload_digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (
         F.col("payload_bytes") >= min_payload)
@@ -74,7 +76,7 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -
     record = F.concat(
         F.lit(f"WARC/1.1{CRLF}"), line("WARC-Type", F.when(F.col("revisit"), "revisit").otherwise("response")),
         line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("payload_digest"))),
-        line("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         line("WARC-Target-URI", F.col("url")), line("WARC-Page-ID", F.col("page_id").cast("string")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")),
         line("WARC-Payload-Length", F.col("payload_bytes").cast("string")),
@@ -85,7 +87,7 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD) -
         F.lit(CRLF * 2), F.col("http"), F.when(F.col("revisit"), "").otherwise(F.col("html")))
     (p.withColumns({"revisit": revisit, "http": http}).select(record.alias("value"))
      .write.option("lineSep", CRLF * 2).option("compression", "gzip")
-     .option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
+     .option("maxRecordsPerFile", max(1, min(RECORDS_PER_FILE, int(BYTES_PER_FILE / max(1.0, mean))))).text(path))
 
 
 def parse_archive(data: bytes):
@@ -143,9 +145,10 @@ def resolve_revisits(headers: DataFrame) -> DataFrame:
     """``headers`` with refers_to: the page_id of the response that a revisit names.
 
     Joined on digest and record id; the response side has one row per record
-    id, and a digest shared by very many revisits is split by AQE."""
-    responses = (headers.where("record_type = 'response'").groupBy("payload_digest", F.col("record_id").alias("refers_to_id"))
-                 .agg(F.min("page_id").alias("refers_to")))
+    id and is written first, so a digest shared by very many revisits is split
+    by AQE."""
+    responses = cut(headers.where("record_type = 'response'").groupBy("payload_digest", F.col("record_id").alias("refers_to_id"))
+                    .agg(F.min("page_id").alias("refers_to")), "responses")
     return headers.join(responses, ["payload_digest", "refers_to_id"], "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"), "record_id", "refers_to_id")
