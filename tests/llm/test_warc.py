@@ -44,4 +44,36 @@ def test_empty_table(spark):
 
 
 def test_given_pages(spark, sf):
-    assert op5(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
+    import hashlib
+    pages = [(r["page_id"], (r["html"] or "").encode()) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    first = {}
+    for i, raw in sorted(pages):
+        first.setdefault(raw, i)
+    want = [(i, len(raw), hashlib.sha256(raw).hexdigest(), *(("revisit", first[raw]) if len(raw) >= 100 and first[raw] != i else ("response", None)))
+            for i, raw in pages]
+    got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in op5(spark, sf).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_dates_are_utc_whatever_the_session_says(spark, scratch):
+    from datetime import datetime, timedelta, timezone
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        warc.write_archive(spark.createDataFrame([(1, "http://a/", "x")], "page_id long, url string, html string"), scratch + "/w")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    head = next(h for f in glob.glob(scratch + "/w/*.gz") for h, _ in warc.parse_archive(open(f, "rb").read()))
+    at = datetime.strptime(head["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc)
+    assert abs(datetime.now(timezone.utc) - at) < timedelta(minutes=10)
+
+
+def test_large_pages_make_short_files_and_a_third_alike(spark, scratch, monkeypatch):
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 3 << 20)
+    rows = [(i, f"http://a/{i}", ("same " if i % 3 == 0 else f"page {i} ") * 120_000) for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(df, scratch + "/w")
+    files = [open(f, "rb").read() for f in glob.glob(scratch + "/w/*.gz")]
+    assert len(files) >= 3 and sum(len(list(warc.parse_archive(x))) for x in files) == 12
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in archive(spark, [(*r, "c", "c") for r in rows]).collect()}
+    assert got == {i: ("revisit", 0) if i % 3 == 0 and i else ("response", None) for i in range(12)}
