@@ -254,6 +254,22 @@ def test_failing_refresh_leaves_the_store_alone(spark, scratch, monkeypatch):
     assert versions.current(spark, scratch) == before and serving.open_store(spark, scratch)["mart_anomalies"].count() > 0
 
 
+def test_tables_are_written_beside_the_counts(spark, scratch, monkeypatch):
+    """Only the tables that come from the written counts wait for them."""
+    import time
+    real, seen = job.party_counts.write_counts, []
+
+    def late(titulaires, path):
+        table, end = f"{os.path.dirname(path)}/serving/mart_anomalies/_SUCCESS", time.time() + 60
+        while not os.path.exists(table) and time.time() < end:
+            time.sleep(0.2)
+        seen.append(os.path.exists(table))
+        real(titulaires, path)
+    monkeypatch.setattr(job.party_counts, "write_counts", late)
+    report = job.refresh_from_driver_tables(spark, SF, scratch)
+    assert seen == [True] and set(job.FROM_PARTS) < set(report)
+
+
 def test_command_line_refresh(spark, scratch, capsys):
     t = bridge.load_tables(spark, SF)
     bridge.raw_contracts(t).write.mode("overwrite").json(f"{scratch}/reg")

@@ -12,6 +12,7 @@ from rows import contract, groups_df, raw_df
 from tenderlake.operators import staging, text_index
 from tenderlake.plans import export, incremental
 from tenderlake.sources import bridge
+from tenderlake.sources.schemas import CONTRACT
 
 
 def plan(df):
@@ -99,3 +100,18 @@ def test_sample_of_a_year_ranks_its_largest_amounts(spark, monkeypatch):
         of_year = sorted(((r["montant_eur"], r["marche_id"]) for r in t.filter(F.col("annee").eqNullSafe(year)).collect()), key=lambda x: (-x[0], x[1]))
         want += [(str(year), *x) for x in of_year[:7]]
     assert got == sorted(want)
+
+
+def test_nested_columns_are_not_built_anew(spark):
+    """A cast that changes nullability alone would copy every holder and amendment of the register."""
+    raw = bridge.raw_contracts(tables(spark))
+    assert raw.schema.simpleString() == CONTRACT.simpleString()
+    assert "as array<" not in plan(raw) and "as struct<" not in plan(raw)
+
+
+def test_places_are_never_null(spark):
+    """Spark sorts an array that can't hold nulls as plain integers, without an object per place."""
+    rows = spark.createDataFrame([(0, 1, "abc"), (0, 2, "abcd")], "block long, place int, objet string")
+    lists = rows.coalesce(1).mapInArrow(text_index._places, text_index.LISTS)
+    assert not lists.select(F.flatten(F.collect_list("places")).alias("p")).schema["p"].dataType.containsNull
+    assert {r.trigram: r.places for r in lists.collect() if r.trigram in ("abc", "bcd")} == {"abc": [1, 2], "bcd": [2]}
